@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massloom.llm import exact, mixing, packing
+from massloom.llm import chat, exact, mixing, packing, secrets, warc
 from massloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,20 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=1024, with_ids=False)
 
 
+def op4_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    probe = spark.createDataFrame([(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_turns(chat.canonical_turns(rows).unionByName(probe)))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -34,5 +48,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op7_exact_dedup": exact.ORACLE, "op10_source_mix": mixing.ORACLE}
+    own = {"op4_warc_assembly": warc.ORACLE, "op7_exact_dedup": exact.ORACLE, "op8_chat_format": chat.ORACLE, "op10_source_mix": mixing.ORACLE}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
