@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massloom.llm import chat, exact, mixing, packing, quality, secrets, warc
+from massloom.llm import chat, exact, fingerprint, mixing, packing, quality, secrets, warc
 from massloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -52,5 +56,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    own = {"op4_warc_assembly": warc.ORACLE, "op7_exact_dedup": exact.ORACLE, "op8_chat_format": chat.ORACLE, "op10_source_mix": mixing.ORACLE}
+    own = {"op3_merkle_fingerprint": fingerprint.ORACLE, "op4_warc_assembly": warc.ORACLE, "op7_exact_dedup": exact.ORACLE, "op8_chat_format": chat.ORACLE, "op10_source_mix": mixing.ORACLE}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
