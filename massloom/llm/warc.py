@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -55,7 +56,7 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, digest
     asked = f"GET {parts.path or '/'} HTTP/1.1\r\nHost: {parts.netloc}\r\n\r\n".encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     whole = b"".join(
-        gzip.compress(record, compresslevel=6, mtime=0)
+        gzip.compress(record, compresslevel=4, mtime=0)
         for record in (
             _record("request", request, target, "application/http; msgtype=request", asked, Concurrent_To=answer),
             _record(
@@ -72,27 +73,34 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, digest
 
 
 def _with_originals(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """page_id, url, packed payload, digest, nth, original and revisit of each page."""
+    """page_id, url, packed payload, digest, nth, original and revisit of each page.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The payload passes one shuffle, packed; which page is the original is found from digests alone.
+    """
+    pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payloads = [(x.as_py() or "").encode() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bare_digest(x) for x in payloads], pa.string()), pa.array([len(x) for x in payloads], pa.int64())], ["page_id", "digest", "bytes"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        engine = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 ids, urls, htmls = (batch.column(i).slice(low, 256) for i in range(3))
                 payloads = [(x or "").encode() for x in htmls.to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, urls, pa.array([bare_digest(x) for x in payloads]), pa.array([len(x) for x in payloads], pa.int64()), pa.array([zlib.compress(x, 6) for x in payloads], pa.binary())],
-                    ["page_id", "url", "digest", "bytes", "packed"],
-                )
+                yield pa.RecordBatch.from_arrays([ids, urls, pa.array([bare_digest(x) for x in payloads], pa.string()), pa.array([engine.compress(x) for x in payloads], pa.binary())], ["page_id", "url", "digest", "packed"])
 
     scratch = Scratch(pages.sparkSession, "warc-pages")
-    packed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, digest string, bytes long, packed binary")
-    packed = scratch.keep(packed, "packed")
+    keys = scratch.keep(pages.select("page_id", "html").mapInArrow(digests, "page_id long, digest string, bytes long"), "digests")
     # The largest page_id of each payload; counted before the shuffle, so copies of one page stay few rows.
-    keys = packed.select("digest", "bytes", "page_id")
     largest = scratch.keep(keys.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("original")), "originals")
-    flags = keys.distinct().join(largest, ["digest", "bytes"], "left").select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "original")
-    rows = packed.join(flags, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))).drop("id", "d")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1)
+    page_key = F.coalesce("page_id", F.lit(-(1 << 63))).alias("key")
+    flags = keys.distinct().join(largest, ["digest", "bytes"], "left").select(page_key, "digest", "original")
+    rows = pages.mapInArrow(pack, "page_id long, url string, digest string, packed binary").withColumn("key", page_key)
+    rows = rows.join(flags.hint("shuffle_merge"), ["key", "digest"])
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "digest").orderBy("url")) - 1).drop("key")
     is_first = F.col("page_id").eqNullSafe(F.col("original")) & (F.col("nth") == 0)
     return rows.withColumn("revisit", F.col("original").isNotNull() & ~is_first)
 
@@ -112,6 +120,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
         store.create_dir(root, recursive=True)
         partition, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         held, size, files, total = [], 0, 0, 0
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def flush() -> None:
             nonlocal held, size, files
@@ -125,7 +134,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
 
         for batch in batches:
             for page_id, url, packed, digest, nth, original, revisit in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                held.append(capture_records(page_id, url, zlib.decompress(packed), digest, nth, original, revisit))
+                held.append(capture_records(page_id, url, unpack(packed), digest, nth, original, revisit))
                 size += len(held[-1])
                 total += 1
                 if size >= file_bytes:
@@ -140,12 +149,17 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record of a file gzipped record by record."""
-    view = memoryview(data)
-    while len(view):
-        inflater = zlib.decompressobj(31)
-        record = inflater.decompress(view)
-        view = view[len(view) - len(inflater.unused_data) :]
-        head, _, rest = record.partition(b"\r\n\r\n")
+    at, step = 0, 1 << 14
+    while at < len(data):
+        inflater, parts = zlib.decompressobj(31), []
+        while not inflater.eof:  # in steps, since what follows a record is copied each time
+            parts.append(inflater.decompress(data[at : at + step]))
+            at += min(step, len(data) - at)
+            if at >= len(data) and not inflater.eof:
+                parts.append(inflater.flush())
+                break
+        at -= len(inflater.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")[1:]
         headers = {name.lower(): value for name, _, value in (line.partition(": ") for line in lines)}
         yield headers, rest[: int(headers["content-length"])]
@@ -200,7 +214,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def archive_digests(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of each capture that the archives hold."""
-    records = read_records(spark, folder).drop("payload").withColumn("payload", F.lit(None).cast("binary"))
+    # Parsed once; all but the payloads, which nothing below reads.
+    records = Scratch(spark, "warc-records").keep(read_records(spark, folder).drop("payload"), "records").withColumn("payload", F.lit(None).cast("binary"))
     captures = assemble(records)
     number = lambda name: F.nullif(F.col("metadata.fields")[name], F.lit("")).cast("long")
     return captures.select(
