@@ -14,11 +14,12 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 17
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 THRESHOLD = 0.3
 
 
@@ -33,8 +34,8 @@ class Indicators:
         self.size, self.bits, self.block = 1 << bits, bits, block
         self._seen = np.zeros(self.size, bool)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        whole = (text or "").encode()
+    def __call__(self, text: str | bytes | None) -> np.ndarray:
+        whole = text if isinstance(text, bytes) else (text or "").encode()
         data = np.frombuffer(whole, np.uint8)
         for low in range(0, max(len(data), 1), self.block):
             part = data[low : low + self.block + 3].astype(np.uint32)
@@ -52,11 +53,24 @@ class Indicators:
         return found.astype(np.int32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: int) -> DataFrame:
-    """text and y of the labelled rows that may be learned from."""
-    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).filter("y IN (0, 1)")
-    joined = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id"))
-    return joined.filter(F.crc32(F.col("doc_id").cast("string")) % held_out != 0).select("doc_id", "text", "y")
+def training_labels(labels: DataFrame, label: str, held_out: int) -> DataFrame:
+    """id and y of the labels that may be learned from."""
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
+    return known.filter("id IS NOT NULL AND y IN (0, 1)").filter(F.crc32(F.col("id").cast("string")) % held_out != 0)
+
+
+def _packed(docs: DataFrame, held_out: int) -> DataFrame:
+    """(id, packed text) of the documents that may be learned from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                ids, texts = batch.column(0).slice(low, 512), batch.column(1).slice(low, 512)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([pack((t.as_py() or "").encode()) for t in texts], pa.binary())], ["id", "packed"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).filter("id IS NOT NULL")
+    return rows.filter(F.crc32(F.col("id").cast("string")) % held_out != 0).mapInArrow(run, "id long, packed binary")
 
 
 def count_features(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +82,10 @@ def count_features(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, counts, n = Indicators(bits), np.zeros((2, 1 << bits), np.int64), np.zeros(2, np.int64)
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                counts[y, features(text.as_py())] += 1
+            for packed, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                counts[y, features(unpack(packed.as_py()))] += 1
                 n[y] += 1
         for y in (0, 1):
             slots = np.flatnonzero(counts[y])
@@ -78,7 +93,7 @@ def count_features(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
                 [pa.array(np.full(len(slots) + 1, y), pa.int32()), pa.array(np.append(slots, -1), pa.int32()), pa.array(np.append(counts[y, slots], n[y]), pa.int64())], ["y", "slot", "n"]
             )
 
-    total = rows.select("text", "y").mapInArrow(run, "y int, slot int, n long").groupBy("y", "slot").agg(F.sum("n").alias("n")).toArrow()
+    total = rows.select("packed", "y").mapInArrow(run, "y int, slot int, n long").groupBy("y", "slot").agg(F.sum("n").alias("n")).toArrow()
     y, slot, n = (total.column(c).to_numpy() for c in ("y", "slot", "n"))
     counts, rows_of = np.zeros((2, 1 << bits)), np.zeros(2)
     inside = slot >= 0
@@ -160,12 +175,14 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: int = 5, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, cost: float = 1.0, epochs: int = 30, seed: int = 7) -> QualityModel:
     """Fit on rows whose crc32(doc_id as text) mod ``held_out`` is not 0.
 
-    Counts are over all of them; the hinge-loss fit takes at most ``sample_rows`` rows, those with
-    the smallest seeded hash of doc_id, half of them from either class where there are enough. Of
+    Counts are over all of them; the hinge-loss fit takes at most ``sample_rows`` rows, from either
+    class at most half, those with the smallest seeded hash of doc_id. Of
     these, one row in five sets the probabilities. Without rows of both classes every score is the
     share of class 1 (0.5 without any).
     """
-    rows = training_rows(docs, labels, label, held_out)
+    known = training_labels(labels, label, held_out)
+    # Labels grow with the documents, so this is a shuffle at every size; the texts pass it packed.
+    rows = _packed(docs, held_out).join(known.hint("merge"), "id")
     counts, n = count_features(rows, bits)
     if not n.all():
         share = (n[1] + 1) / (n.sum() + 2)
@@ -181,12 +198,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held
                 part = batch.slice(low, 256)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([features(t.as_py()) for t in part.column(0)], pa.list_(pa.int32()))], ["y", "slots"])
 
-    share = [min(1.0, 1.2 * (sample_rows / 2) / c) for c in n]  # a hash bound that leaves a little over, before the exact limit
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40))
-    bound = F.when(F.col("y") == 1, F.lit(int(share[1] * (1 << 40)))).otherwise(F.lit(int(share[0] * (1 << 40))))
-    chosen = rows.withColumn("place", place).filter(F.col("place") <= bound)
-    parts = [chosen.filter(F.col("y") == y).orderBy("place", "doc_id").limit(sample_rows // 2) for y in (0, 1)]
-    got = parts[0].unionByName(parts[1]).select("text", "y").mapInArrow(extract, "y int, slots array<int>").toArrow()
+    place = F.xxhash64(F.col("id"), F.lit(seed))
+    parts = [known.filter(F.col("y") == y).orderBy(place, "id").limit(sample_rows // 2) for y in (0, 1)]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # sample_rows rows of two numbers at most
+    got = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id")).select("text", "y").mapInArrow(extract, "y int, slots array<int>").toArrow()
     y = np.where(got.column("y").to_numpy() == 1, 1.0, -1.0)
     flat = [np.asarray(x.values, np.int32) for chunk in got.column("slots").chunks for x in chunk]
     lengths = np.array([max(1, len(r)) for r in flat])
