@@ -8,8 +8,9 @@ own suffixes without seeing others, and equal identifiers mean equal bytes acros
 Only sampled suffixes are sorted across documents. Every window of the match length is represented
 by its least q-gram bucket, its anchor; equal windows have equal anchors at equal offsets. The
 windows of one anchor make a segment. Segments are sorted by (bucket, refined identifier,
-document): later copies of a segment are removed whole; where a bucket holds different segments,
-their first copies are split into windows, and these are sorted in the same way.
+document): later copies of a segment are removed whole. Where a bucket holds different segments,
+their first copies are cut into parts, whose buckets are refined by what the windows of a part
+have in common, and sorted again; where parts still differ, their windows are sorted one by one.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from massloom.session import Scratch
 
 LENGTH = 100
 GRAM = 16
+PARTS = 8  # of a segment whose bucket holds others too
 BLOCK = 1 << 17  # window starts refined at once; a segment cut at a block's end is a segment of its own
 FLUSH = 300_000  # rows that a task sorts before the shuffle
 _DRAW = np.random.default_rng(6_021_023)
@@ -73,7 +75,7 @@ class Segments:
 
     def __init__(self, data: np.ndarray):
         self.data = data
-        lows, highs, buckets, ids = [], [], [], []
+        lows, highs, buckets, ids, places = [], [], [], [], []
         for base in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
             part = data[base : base + BLOCK + LENGTH - 1]
             grams = refine(part, 0, GRAM)[GRAM]
@@ -85,9 +87,9 @@ class Segments:
             shape = ((high - low).astype(np.uint64) << np.uint64(32)) + (at - low).astype(np.uint64)
             identity = full[low] * _MIX[0] + full[high - 1] * _MIX[1] + shape * _MIX[2]
             identity ^= identity >> np.uint64(31)
-            lows.append(low + base), highs.append(high + base), buckets.append(grams[at]), ids.append(identity * _MIX[3])
+            lows.append(low + base), highs.append(high + base), places.append(at + base), buckets.append(grams[at]), ids.append(identity * _MIX[3])
         empty = [np.zeros(0, np.int64)]
-        self.low, self.high = (np.concatenate(x or empty).astype(np.int64) for x in (lows, highs))
+        self.low, self.high, self.anchor = (np.concatenate(x or empty).astype(np.int64) for x in (lows, highs, places))
         self.bucket, self.id = (np.concatenate(x or empty).astype(np.uint64) for x in (buckets, ids))
 
     def __len__(self) -> int:
@@ -208,10 +210,53 @@ def _own_marks(marks: list[int] | None, check: int) -> tuple[np.ndarray, np.ndar
     return (at[mine & ((marks & 1) == 0)] & 0xFFFFFFFF), (at[mine & ((marks & 1) == 1)] & 0xFFFFFFFF)
 
 
-def _split_windows(segments: Segments, split: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, first lane, second lane, first in the text) of the windows of the segments to be split, in order of start."""
-    split = np.sort(split)
-    starts = np.concatenate([np.arange(segments.low[s], segments.high[s]) for s in split]) if len(split) else np.zeros(0, np.int64)
+def _bounds(segments: Segments, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index, first start, last start, least offset) of the parts of the segments to be cut, in order of start.
+
+    Part q has the windows whose anchor lies q / PARTS to (q + 1) / PARTS of the way into the range
+    of offsets; the index is PARTS times the segment plus q.
+    """
+    edges = -(-(LENGTH - GRAM + 1) * np.arange(PARTS + 1) // PARTS)
+    index = (np.sort(cut)[:, None] * PARTS + np.arange(PARTS - 1, -1, -1)).ravel().astype(np.int64)
+    of, part = index // PARTS, index % PARTS
+    first = np.maximum(segments.low[of], segments.anchor[of] - edges[part + 1] + 1)
+    last = np.minimum(segments.high[of] - 1, segments.anchor[of] - edges[part])
+    some = first <= last
+    return index[some], first[some], last[some], edges[part[some]]
+
+
+def _part_rows(segments: Segments, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index, first start, last start, bucket, identifier, first in the text) of the parts."""
+    index, first, last, offset = _bounds(segments, cut)
+    edges = -(-(LENGTH - GRAM + 1) * np.arange(PARTS + 1) // PARTS)
+    bucket, identity = np.zeros(len(index), np.uint64), np.zeros(len(index), np.uint64)
+    anchor, part = segments.anchor[index // PARTS], index % PARTS
+    for base in range(0, len(segments.data), BLOCK):
+        low, high = np.searchsorted(first, [base, base + BLOCK])
+        if low < high:
+            data = segments.data[base : base + BLOCK + LENGTH - 1]
+            full = refine(data, 1, LENGTH)[LENGTH]
+            found = refine(data, 0, 64)
+            at = slice(low, high)
+            # What all windows of the part have in common, from its largest start to the end of its least.
+            start = anchor[at] - edges[part[at]] - base
+            length = LENGTH - (edges[part[at] + 1] - 1 - edges[part[at]])
+            wide = found[64]
+            s, e = start, start + length - 64
+            core = wide[s] * _MIX[0] + wide[e] * _MIX[1] + (part[at].astype(np.uint64) + np.uint64(1)) * _MIX[6]
+            core ^= core >> np.uint64(30)
+            a, b = full[first[at] - base], full[last[at] - base]
+            shape = ((last[at] - first[at]).astype(np.uint64) << np.uint64(32)) + (anchor[at] - first[at]).astype(np.uint64)
+            name = a * _MIX[0] + b * _MIX[1] + shape * _MIX[2]
+            name ^= name >> np.uint64(31)
+            bucket[at], identity[at] = core, name * _MIX[3]
+    return index, first, last, bucket, identity, first_in_order(bucket, identity)
+
+
+def _window_keys(segments: Segments, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, first lane, second lane, first in the text) of the windows of parts, in order of start."""
+    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]) if len(first) else np.zeros(0, np.int64)
+    starts = np.sort(starts)
     one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
     for base in range(0, len(segments.data), BLOCK):
         low, high = np.searchsorted(starts, [base, base + BLOCK])
@@ -222,21 +267,27 @@ def _split_windows(segments: Segments, split: np.ndarray) -> tuple[np.ndarray, n
     return starts, one, two, first_in_order(one, two)
 
 
-def _window_rows(flagged: DataFrame) -> DataFrame:
-    """Rows of the windows to be told apart, of rows (doc_id, packed, marks)."""
+def _finer_rows(flagged: DataFrame, windows: bool) -> DataFrame:
+    """Rows of the parts to be told apart, of rows (doc_id, packed, marks), or of their windows, of rows with part_marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         parts, held = [], 0
         for batch in batches:
-            for doc, packed, marks in zip(*(batch.column(i) for i in range(3)), strict=True):
+            for doc, packed, *marks in zip(*batch.columns, strict=True):
                 raw = unpack(packed.as_py())
                 check = _check(raw)
-                split = _own_marks(marks.as_py(), check)[1]
-                if len(split):
-                    starts, one, two, first = _split_windows(Segments(np.frombuffer(raw, np.uint8)), split)
-                    parts.append((one[first], two[first], np.full(first.sum(), doc.as_py(), np.int64), starts[first] + (check << 32)))
-                    held += len(parts[-1][0])
+                cut = _own_marks(marks[0].as_py(), check)[1]
+                if not len(cut) or (windows and not len(_own_marks(marks[1].as_py(), check)[1])):
+                    continue
+                segments = Segments(np.frombuffer(raw, np.uint8))
+                index, first, last, k, i, new = _part_rows(segments, cut)
+                at = index
+                if windows:
+                    split = np.isin(index, _own_marks(marks[1].as_py(), check)[1])
+                    at, k, i, new = _window_keys(segments, first[split], last[split])
+                parts.append((k[new], i[new], np.full(new.sum(), doc.as_py(), np.int64), at[new] + (check << 32)))
+                held += len(parts[-1][0])
                 if held >= FLUSH:
                     yield _combined(parts)
                     parts, held = [], 0
@@ -246,10 +297,12 @@ def _window_rows(flagged: DataFrame) -> DataFrame:
     return flagged.mapInArrow(run, ROW)
 
 
-def removed_windows(raw: bytes, marks: list[int] | None, window_marks: list[int] | None) -> np.ndarray:
+def removed_windows(raw: bytes, marks: list[int] | None, part_marks: list[int] | None, window_marks: list[int] | None) -> np.ndarray:
     """Starts of the windows of one text that stand earlier, in this text or before it."""
+    if len(raw) <= LENGTH:
+        return np.zeros(0, np.int64)
     check = _check(raw)
-    whole, split = _own_marks(marks, check)
+    whole, cut = _own_marks(marks, check)
     segments = Segments(np.frombuffer(raw, np.uint8))
     gone = np.zeros(max(0, len(raw) - LENGTH + 1), bool)
     if not len(segments):
@@ -258,11 +311,16 @@ def removed_windows(raw: bytes, marks: list[int] | None, window_marks: list[int]
     covered[whole] = True
     for low, high in zip(segments.low[covered], segments.high[covered], strict=True):
         gone[low:high] = True
-    if len(split):
-        starts, _, _, first = _split_windows(segments, split)
-        gone[starts[~first]] = True
-        gone[_own_marks(window_marks, check)[0]] = True
-        # A later window of this text is gone with the first, and it is not first itself.
+    if len(cut):
+        index, first, last, _, _, new = _part_rows(segments, cut)
+        earlier, split = _own_marks(part_marks, check)
+        for low, high in zip(first[~new | np.isin(index, earlier)], last[~new | np.isin(index, earlier)], strict=True):
+            gone[low : high + 1] = True
+        divided = np.isin(index, split)
+        if divided.any():
+            starts, _, _, new = _window_keys(segments, first[divided], last[divided])
+            gone[starts[~new]] = True
+            gone[_own_marks(window_marks, check)[0]] = True
     return np.flatnonzero(gone)
 
 
@@ -294,10 +352,13 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = later_occurrences(_segment_rows(rows), shared=True)
     marks = scratch.keep(marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")), "marks")
-    packed = _packed(rows)
-    flagged = packed.join(marks.hint("shuffle_merge"), "doc_id")
-    windows = later_occurrences(_window_rows(flagged.select("doc_id", "packed", "marks")), shared=False)
-    windows = scratch.keep(windows.groupBy("doc_id").agg(F.collect_list("mark").alias("window_marks")), "windows")
+    # One plan from here on, so that the texts' shuffle by doc_id is made once and used by all three.
+    packed = _packed(rows).filter("doc_id IS NOT NULL")  # as inner joins would, so that the outer join's plan is the same
+    flagged = packed.join(marks.hint("merge"), "doc_id").select("doc_id", "packed", "marks")
+    of_doc = lambda found, name: found.groupBy("doc_id").agg(F.collect_list("mark").alias(name))
+    part_marks = of_doc(later_occurrences(_finer_rows(flagged, windows=False), shared=True), "part_marks")
+    divided = packed.join(marks.join(part_marks, "doc_id").hint("merge"), "doc_id").select("doc_id", "packed", "marks", "part_marks")
+    window_marks = of_doc(later_occurrences(_finer_rows(divided, windows=True), shared=False), "window_marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -306,17 +367,17 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 sizes, spans, kept = [], [], []
-                for data, own, split in zip(*(part.column(i) for i in (1, 2, 3)), strict=True):
+                for data, *own in zip(*part.columns[1:], strict=True):
                     raw = unpack(data.as_py())
-                    runs, rest = _kept(raw, removed_windows(raw, own.as_py(), split.as_py()))
+                    runs, rest = _kept(raw, removed_windows(raw, *(x.as_py() for x in own)))
                     sizes.append(len(raw)), spans.append([{"start": s, "end": e} for s, e in runs])
                     kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pair)), pa.array(kept, pa.string() if digest else pa.binary())], ["doc_id", "n_bytes", "removed", "kept"]
                 )
 
-    both = marks.join(windows, "doc_id", "left")
-    whole = packed.join(both.hint("shuffle_merge"), "doc_id", "left").select("doc_id", "packed", "marks", "window_marks")
+    all_marks = marks.join(part_marks, "doc_id", "left").join(window_marks, "doc_id", "left")
+    whole = packed.join(all_marks.hint("merge"), "doc_id", "left").select("doc_id", "packed", "marks", "part_marks", "window_marks")
     out = whole.mapInArrow(run, f"doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept {'string' if digest else 'binary'}")
     out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
