@@ -43,10 +43,11 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, that with the smallest doc_id; all columns stay."""
-    keep = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    left = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    return left.withColumn("__nth", first).filter("__nth = 1").drop("__nth")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__key")  # so that join and window share one shuffle
+    keep = exact_groups(docs).filter("kept").select(key).distinct()
+    left = docs.withColumn("__key", key).join(keep.hint("merge"), "__key", "left_semi")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.col("text").isNull(), "text"))
+    return left.withColumn("__nth", first).filter("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 17
-SAMPLE_ROWS = 8_000
+SAMPLE_ROWS = 6_000
 THRESHOLD = 0.3
 
 
@@ -102,23 +102,26 @@ def count_features(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return counts, rows_of
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], size: int, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, factor: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
     """Weights and bias of an L2-regularised linear model under hinge loss, by dual coordinate descent.
 
-    Row i has values[i] at the slots rows[i]; its dual variable stays within [0, cost[i]].
+    Row i has factor[i] * scale[j] at each slot j of rows[i]; its dual variable stays within
+    [0, cost[i]]. Values are made as they are needed, so memory is that of the slots.
     """
-    weights, bias = np.zeros(size), 0.0
+    weights, bias = np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(rows))
-    norms = np.array([v @ v + 1.0 for v in values])
+    norms = np.array([float((scale[r] ** 2).sum()) * f * f + 1.0 for r, f in zip(rows, factor, strict=True)])
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         largest = 0.0
         for i in order.permutation(len(rows)):
-            gradient = y[i] * (weights[rows[i]] @ values[i] + bias) - 1.0
+            slots = rows[i]
+            values = scale[slots] * factor[i]
+            gradient = y[i] * (weights[slots] @ values + bias) - 1.0
             new = min(max(alpha[i] - gradient / norms[i], 0.0), cost[i])
             if step := (new - alpha[i]) * y[i]:
                 largest = max(largest, abs(step) * math.sqrt(norms[i]))
-                weights[rows[i]] += step * values[i]
+                weights[slots] += step * values
                 bias += step
                 alpha[i] = new
         if largest < 1e-3:
@@ -204,7 +207,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held
     got = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id")).select("text", "y").mapInArrow(extract, "y int, slots array<int>").toArrow()
     y = np.where(got.column("y").to_numpy() == 1, 1.0, -1.0)
     flat = [np.asarray(x.values, np.int32) for chunk in got.column("slots").chunks for x in chunk]
-    lengths = np.array([max(1, len(r)) for r in flat])
+    del got, counts
+    lengths = np.array([max(1, len(r)) for r in flat], float)
     order = np.random.default_rng(seed).permutation(len(flat))
     hold, fit = order[: len(order) // 5], order[len(order) // 5 :]
 
@@ -212,8 +216,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held
         chosen_y = y[index]
         balance = {s: len(index) / 2 / max(1, (chosen_y == s).sum()) for s in (-1.0, 1.0)}
         # Divided by the root of the number of indicators, so long texts weigh like short ones.
-        values = [ratio[flat[i]] / math.sqrt(lengths[i]) for i in index]
-        return dual_coordinate_descent([flat[i] for i in index], values, len(ratio), chosen_y, cost * np.array([balance[s] for s in chosen_y]), epochs, seed)
+        return dual_coordinate_descent([flat[i] for i in index], ratio, 1 / np.sqrt(lengths[index]), chosen_y, cost * np.array([balance[s] for s in chosen_y]), epochs, seed)
 
     weights, bias = fitted(fit)
     model = QualityModel(bits, weights * ratio, bias, 1.0, 0.0)
