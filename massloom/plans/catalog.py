@@ -1,3 +1,5 @@
-"""name -> (query, oracle SQL)."""
+"""name -> (query, oracle SQL), gathered from the catalogue modules."""
 
-CATALOG = {}
+from massloom.plans import catalog_cluster, catalog_joins, catalog_scores, catalog_select, catalog_space
+
+CATALOG = {name: entry for module in (catalog_joins, catalog_cluster, catalog_select, catalog_scores, catalog_space) for name, entry in module.CATALOG.items()}
