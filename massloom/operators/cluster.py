@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.session import shuffle_width
+
 
 def gap_split(df: DataFrame, keys: list[str], at: str, gap: float, ties: list[str] | None = None, name: str = "piece") -> DataFrame:
     """Number the pieces of each key, from 0; a piece ends where the next value is more than ``gap`` further."""
@@ -53,9 +55,15 @@ def greedy_mass_clusters(df: DataFrame, keys: list[str], mass: str, intensity: s
     Rows are first split where neighbouring masses lie further apart than any cluster can reach, so
     each piece is clustered by itself.
     """
-    pieces = relative_gap_groups(df, keys, mass, 2 * tolerance, [ident], "__piece")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    pieces = relative_gap_groups(df, keys, mass, 2 * tolerance, [ident], "piece")
+    size = F.count("*").over(Window.partitionBy(*keys, "piece"))
+    pieces = pieces.withColumn("__size", size)
+    alone = pieces.filter("__size = 1").drop("__size").withColumn("cluster", F.lit(0).cast("long")).withColumn("centre", F.col(mass).cast("double"))
+    # Many pieces go to one call, as most are a few rows.
+    bucket = F.pmod(F.xxhash64(*keys, "piece"), F.lit(64 * shuffle_width(df.sparkSession)))
+    crowded = pieces.filter("__size > 1").drop("__size").withColumn("__bucket", bucket)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([intensity, ident], ascending=[False, True], kind="stable")
         centres, weights, chosen = [], [], []
         for m, w in zip(rows[mass], rows[intensity], strict=True):
@@ -69,5 +77,9 @@ def greedy_mass_clusters(df: DataFrame, keys: list[str], mass: str, intensity: s
             chosen.append(best)
         return rows.assign(cluster=pd.Series(chosen, index=rows.index, dtype="int64"), centre=[centres[i] for i in chosen])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", cluster long, centre double"
-    return pieces.groupBy(*keys, "__piece").applyInPandas(run, schema).withColumnRenamed("__piece", "piece")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="__bucket")
+        return pd.concat([one(group) for _, group in rows.groupby([*keys, "piece"], dropna=False, sort=False)])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in crowded.dtypes if c != "__bucket") + ", cluster long, centre double"
+    return alone.unionByName(crowded.groupBy("__bucket").applyInPandas(run, schema))

@@ -21,6 +21,11 @@ def _orders(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
 
 
+def _parts(spark, d):
+    """Parts with a hundred times their price, which is where order totals lie."""
+    return table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("p_retailprice"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, o_orderkey, o_totalprice FROM lineitem JOIN orders ON abs(o_totalprice - l_extendedprice) <= l_extendedprice * 1e-5")
 def ppm_join(spark, d):
     return rangejoin.ppm_join(_lines(spark, d), _orders(spark, d).drop("o_orderpriority"), "l_extendedprice", "o_totalprice", PPM)
@@ -31,10 +36,9 @@ def ppm_join_strict(spark, d):
     return rangejoin.ppm_join(_lines(spark, d), _orders(spark, d).drop("o_orderpriority"), "l_extendedprice", "o_totalprice", 5e-6, strict=True)
 
 
-@query("SELECT p_partkey, p_retailprice, o_orderkey, o_totalprice FROM part LEFT JOIN orders ON abs(o_totalprice - p_retailprice) <= p_retailprice * 1e-4")
+@query("SELECT p_partkey, p_retailprice, o_orderkey, o_totalprice FROM (SELECT p_partkey, p_retailprice * 100 AS p_retailprice FROM part) LEFT JOIN orders ON abs(o_totalprice - p_retailprice) <= p_retailprice * 1e-5")
 def ppm_left(spark, d):
-    parts = table(spark, d, "part").select("p_partkey", "p_retailprice")
-    return rangejoin.ppm_join(parts, _orders(spark, d).drop("o_orderpriority"), "p_retailprice", "o_totalprice", 1e-4, key=["p_partkey"], how="left")
+    return rangejoin.ppm_join(_parts(spark, d), _orders(spark, d).drop("o_orderpriority"), "p_retailprice", "o_totalprice", 1e-5, key=["p_partkey"], how="left")
 
 
 @query("SELECT p_partkey, p_retailprice FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE abs(l_extendedprice - p_retailprice) <= p_retailprice * 1e-5)")
@@ -49,15 +53,15 @@ def ppm_unmatched(spark, d):
     return rangejoin.ppm_join(parts, _lines(spark, d).select("l_extendedprice"), "p_retailprice", "l_extendedprice", PPM, key=["p_partkey"], how="anti")
 
 
-@query("SELECT o_orderkey, o_totalprice, p_partkey, p_retailprice FROM orders JOIN part ON p_retailprice BETWEEN o_totalprice - 0.5 AND o_totalprice + 0.5")
+@query("SELECT o_orderkey, o_totalprice, p_partkey, p_retailprice FROM orders JOIN part ON p_retailprice BETWEEN o_totalprice / 100 - 0.005 AND o_totalprice / 100 + 0.005")
 def absolute_window_join(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_retailprice")
-    return rangejoin.window_join(_orders(spark, d).drop("o_orderpriority"), parts, F.col("o_totalprice") - 0.5, F.col("o_totalprice") + 0.5, "p_retailprice", 1.0)
+    return rangejoin.window_join(_orders(spark, d).drop("o_orderpriority"), parts, F.col("o_totalprice") / 100 - 0.005, F.col("o_totalprice") / 100 + 0.005, "p_retailprice", 0.01)
 
 
-@query("SELECT p_partkey, p_retailprice, p_size FROM part WHERE p_retailprice BETWEEN 1000 AND 1100")
+@query("SELECT p_partkey, p_retailprice, p_size FROM part WHERE p_retailprice BETWEEN 950 AND 960")
 def mass_between(spark, d):
-    return table(spark, d, "part").filter(F.col("p_retailprice").between(1000, 1100)).select("p_partkey", "p_retailprice", "p_size")
+    return table(spark, d, "part").filter(F.col("p_retailprice").between(950, 960)).select("p_partkey", "p_retailprice", "p_size")
 
 
 @query("SELECT a.p_partkey AS light_key, b.p_partkey AS heavy_key, a.p_retailprice AS light, b.p_retailprice AS heavy FROM part a JOIN part b ON abs(b.p_retailprice - (a.p_retailprice + 17.5)) <= (a.p_retailprice + 17.5) * 1e-6")
@@ -67,12 +71,11 @@ def shift_self_join(spark, d):
     return rangejoin.ppm_join(a, b, "light", "heavy", 1e-6, shift=17.5)
 
 
-@query("""SELECT s.p_partkey, s.i, s.shift, o.o_orderkey FROM (SELECT p_partkey, p_retailprice, i, shift FROM part, generate_series(0, 2) g(i), (VALUES (0.0::DOUBLE), (18.01::DOUBLE)) v(shift)) s
+@query("""SELECT s.p_partkey, s.i, s.shift, o.o_orderkey FROM (SELECT p_partkey, p_retailprice * 100 AS p_retailprice, i, shift FROM part, generate_series(0, 2) g(i), (VALUES (0.0::DOUBLE), (18.01::DOUBLE)) v(shift)) s
 JOIN orders o ON abs(o.o_totalprice - (s.p_retailprice - s.i * 1.003 - s.shift)) <= (s.p_retailprice - s.i * 1.003 - s.shift) * 1e-5""")
 def precursor_probing(spark, d):
     """Isotopes probed downwards, and mass shifts: a small bounded fan-out per query, then one mass join."""
-    part = table(spark, d, "part").select("p_partkey", "p_retailprice")
-    fan = part.withColumn("i", F.explode(F.array(*map(F.lit, range(3))))).withColumn("shift", F.explode(F.array(F.lit(0.0), F.lit(18.01))))
+    fan = _parts(spark, d).withColumn("i", F.explode(F.array(*map(F.lit, range(3))))).withColumn("shift", F.explode(F.array(F.lit(0.0), F.lit(18.01))))
     fan = fan.withColumn("i", F.col("i").cast("long")).withColumn("mass", F.col("p_retailprice") - F.col("i") * 1.003 - F.col("shift"))
     return rangejoin.ppm_join(fan, _orders(spark, d), "mass", "o_totalprice", PPM).select("p_partkey", "i", "shift", "o_orderkey")
 
@@ -100,11 +103,10 @@ def overlap_join(spark, d):
     return rangejoin.overlap_join(c, w, "d0", "d1", "s0", "s1", 200.0).groupBy("cust").agg(F.count("*").alias("overlaps"), F.min("supp").alias("first_supplier"))
 
 
-@query("""SELECT p_partkey, p_retailprice, o_totalprice, o_orderkey, round(distance, 6) AS distance FROM (SELECT *, abs(o_totalprice - p_retailprice) AS distance,
-row_number() OVER (PARTITION BY p_partkey ORDER BY abs(o_totalprice - p_retailprice), o_orderkey) AS n FROM part JOIN orders ON abs(o_totalprice - p_retailprice) <= 2.0) WHERE n = 1""")
+@query("""SELECT p_partkey, p_retailprice, o_totalprice, o_orderkey, round(distance, 6) AS distance FROM (SELECT p_partkey, p_retailprice, o_totalprice, o_orderkey, abs(o_totalprice - p_retailprice) AS distance,
+row_number() OVER (PARTITION BY p_partkey ORDER BY abs(o_totalprice - p_retailprice), o_orderkey) AS n FROM (SELECT p_partkey, p_retailprice * 100 AS p_retailprice FROM part) JOIN orders ON abs(o_totalprice - p_retailprice) <= 2.0) WHERE n = 1""")
 def nearest_lookup(spark, d):
-    parts = table(spark, d, "part").select("p_partkey", "p_retailprice")
-    found = rangejoin.nearest_within(parts, _orders(spark, d).select("o_orderkey", "o_totalprice"), "p_retailprice", "o_totalprice", ["p_partkey"], 2.0, ["o_orderkey"])
+    found = rangejoin.nearest_within(_parts(spark, d), _orders(spark, d).select("o_orderkey", "o_totalprice"), "p_retailprice", "o_totalprice", ["p_partkey"], 2.0, ["o_orderkey"])
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -171,22 +173,23 @@ def id_list_load(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name").join(chosen, "p_partkey", "left_semi")
 
 
-@query("""WITH f AS (SELECT p_partkey, floor(p_retailprice * 100)::BIGINT // 50 AS bin, p_retailprice AS mass FROM part), o AS (SELECT o_orderkey, floor(o_totalprice * 100)::BIGINT // 50 AS bin, o_totalprice FROM orders)
+@query("""WITH f AS (SELECT p_partkey, floor(p_retailprice * 100)::BIGINT // 10 AS bin, p_retailprice AS mass FROM part), o AS (SELECT o_orderkey, floor(o_totalprice / 100 * 100)::BIGINT // 10 AS bin, o_totalprice / 100 AS o_totalprice FROM orders)
 SELECT o_orderkey, count(*) AS fragments, min(p_partkey) AS first_part FROM o JOIN f ON f.bin BETWEEN o.bin - 1 AND o.bin + 1 AND abs(mass - o_totalprice) <= o_totalprice * 1e-4 GROUP BY 1""")
 def fragment_index(spark, d):
     """Inverted index on mass bins: the query side looks into its own and the neighbouring bins."""
-    bin_of = lambda c: F.floor(F.floor(F.col(c) * 100) / 50)
+    bin_of = lambda c: F.floor(F.floor(F.col(c) * 100) / 10)
     f = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("mass"), bin_of("p_retailprice").alias("bin"))
-    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.explode(F.sequence(bin_of("o_totalprice") - 1, bin_of("o_totalprice") + 1)).alias("bin"))
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("o_totalprice"))
+    o = o.select("o_orderkey", "o_totalprice", F.explode(F.sequence(bin_of("o_totalprice") - 1, bin_of("o_totalprice") + 1)).alias("bin"))
     found = o.join(f, "bin").filter(F.abs(F.col("mass") - F.col("o_totalprice")) <= F.col("o_totalprice") * 1e-4)
     return found.groupBy("o_orderkey").agg(F.count("*").alias("fragments"), F.min("p_partkey").alias("first_part"))
 
 
-@query("""SELECT o_orderkey, a.p_partkey AS peptide, b.p_partkey AS glycan FROM (SELECT * FROM orders WHERE o_totalprice BETWEEN 2400 AND 2700) o JOIN (SELECT * FROM part WHERE p_size <= 3) a ON TRUE
+@query("""SELECT o_orderkey, a.p_partkey AS peptide, b.p_partkey AS glycan FROM (SELECT * FROM orders WHERE o_totalprice BETWEEN 1800 AND 2000) o JOIN (SELECT * FROM part WHERE p_size <= 3) a ON TRUE
 JOIN (SELECT * FROM part WHERE p_size >= 49) b ON abs(a.p_retailprice + b.p_retailprice - o_totalprice) <= o_totalprice * 1e-4""")
 def bounded_cross_product(spark, d):
     """Two parts whose masses add up to an observed one: the second is looked up at the complement mass."""
-    part, orders = table(spark, d, "part"), table(spark, d, "orders").filter(F.col("o_totalprice").between(2400, 2700)).select("o_orderkey", "o_totalprice")
+    part, orders = table(spark, d, "part"), table(spark, d, "orders").filter(F.col("o_totalprice").between(1800, 2000)).select("o_orderkey", "o_totalprice")
     light = part.filter("p_size <= 3").select(F.col("p_partkey").alias("peptide"), F.col("p_retailprice").alias("m1"))
     heavy = part.filter("p_size >= 49").select(F.col("p_partkey").alias("glycan"), F.col("p_retailprice").alias("m2"))
     low, high = F.col("o_totalprice") * (1 - 1e-4) - F.col("m1"), F.col("o_totalprice") * (1 + 1e-4) - F.col("m1")
@@ -197,10 +200,9 @@ def bounded_cross_product(spark, d):
     return found.filter(F.abs(F.col("m1") + F.col("m2") - F.col("o_totalprice")) <= F.col("o_totalprice") * 1e-4).select("o_orderkey", "peptide", "glycan")
 
 
-@query("""WITH h AS (SELECT p_partkey, o_orderkey, o_totalprice, o_orderpriority FROM part JOIN orders ON abs(o_totalprice - p_retailprice) <= p_retailprice * 1e-4)
+@query("""WITH h AS (SELECT p_partkey, o_orderkey, o_totalprice FROM part JOIN orders ON abs(o_totalprice - p_retailprice * 100) <= p_retailprice * 100 * 1e-4)
 SELECT p_partkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM h) WHERE n = 1""")
 def most_intense_in_window(spark, d):
     """Of all features within tolerance the most intense."""
-    parts = table(spark, d, "part").select("p_partkey", "p_retailprice")
-    found = rangejoin.ppm_join(parts, _orders(spark, d), "p_retailprice", "o_totalprice", 1e-4)
+    found = rangejoin.ppm_join(_parts(spark, d), _orders(spark, d), "p_retailprice", "o_totalprice", 1e-4)
     return select.best_per_key(found, ["p_partkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()]).select("p_partkey", "o_orderkey", "o_totalprice")
