@@ -37,9 +37,9 @@ def composition_list_round_trip(spark, d):
 @query("SELECT 's' || l_orderkey AS scan_id, l_partkey AS peptide_id, round(l_extendedprice, 2) AS total_score, count(*) AS n FROM lineitem WHERE l_quantity >= 45 GROUP BY ALL")
 def journal_round_trip(spark, d):
     rows = table(spark, d, "lineitem").filter("l_quantity >= 45").select(F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("scan_id"), F.col("l_partkey").alias("peptide_id"), F.round("l_extendedprice", 2).alias("total_score"))
-    for f in text.JOURNAL.fields:
-        if f.name not in rows.columns:
-            rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+    for name, kind in text.JOURNAL_FIELDS:
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
     path = Scratch(spark, "journal").path("shards")
     writers.write_journal(rows, path)
     return text.read_journal(spark, path).groupBy("scan_id", "peptide_id", "total_score").agg(F.count("*").alias("n"))

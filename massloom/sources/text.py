@@ -6,14 +6,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from massloom.functions import compositions, sequences
 
-JOURNAL = T.StructType.fromDDL(
+JOURNAL = (
     "scan_id string, precursor_mass_accuracy double, peptide_start long, peptide_end long, peptide_id long, protein_id long, hypothesis_id long, glycan_combination_id long, match_type string, "
     "site_combination_index int, glycosylation_type string, glycopeptide_sequence string, mass_shift string, total_score double, peptide_score double, glycan_score double, glycan_coverage double"
 )
+JOURNAL_FIELDS = [tuple(part.split()) for part in JOURNAL.split(", ")]
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions import compositions, sequences
-from massloom.sources.text import JOURNAL
+from massloom.sources.text import JOURNAL_FIELDS
 
 
 def write_table(df: DataFrame, path: str, separator: str = ",") -> None:
@@ -38,7 +38,7 @@ def write_spectra(df: DataFrame, path: str) -> None:
 
 def write_journal(df: DataFrame, path: str) -> None:
     """Match journal: one compressed shard per task."""
-    df.select(*JOURNAL.fieldNames()).write.csv(path, sep="\t", header=True, compression="gzip")
+    df.select(*(name for name, _ in JOURNAL_FIELDS)).write.csv(path, sep="\t", header=True, compression="gzip")
 
 
 def write_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
