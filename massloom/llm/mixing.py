@@ -117,7 +117,7 @@ def draw_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: i
     """``docs`` with each row as often as the mix takes it; rows taken 0 times go, all columns stay."""
     plan = mix_sources(docs, weights, max_repeats, seed).filter("taken > 0")
     plan = plan.groupBy(F.col("doc_id").alias("__id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times"))
-    drawn = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    drawn = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return drawn.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -37,8 +37,8 @@ DEVIATIONS = 4.5  # how far below the threshold, in standard deviations, a signa
 def trees_for(similarity: float, recall: float, depth: int = DEPTH, branches: int = BRANCHES) -> int:
     """Trees that a pair of just this similarity needs to share a leaf with probability ``recall``."""
     reach = 1.0
-    for _ in range(depth):
-        reach = 1 - (1 - similarity * reach) ** branches
+    for level in range(depth, 0, -1):  # from the lowest level up; the root selects one token more
+        reach = 1 - (1 - similarity * reach) ** (branches if level == 1 else branches - 1)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - reach)))
 
 
@@ -166,7 +166,7 @@ def _packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids_, pa.array([pack((t.as_py() or "").encode()) for t in texts], pa.binary())], ["id", "packed"])
 
     packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, packed binary")
-    return packed.join(ids.select("id").distinct(), "id", "left_semi")
+    return packed.join(ids.select("id").distinct().hint("merge"), "id", "left_semi")  # ids grow with the documents
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -321,4 +321,4 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99999) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest doc_id; all columns stay."""
     gone = near_duplicates(docs, width, similarity, recall).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
