@@ -34,9 +34,9 @@ def composition_list_round_trip(spark, d):
     return back.groupBy(comp.to_text(F.col("composition")).alias("text"), F.col("classes")[0].alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 's' || l_orderkey AS scan_id, l_partkey AS peptide_id, round(l_extendedprice, 2) AS total_score, count(*) AS n FROM lineitem WHERE l_quantity >= 45 GROUP BY ALL")
+@query("SELECT 's' || l_orderkey AS scan_id, l_partkey AS peptide_id, round(l_extendedprice, 2) AS total_score, count(*) AS n FROM lineitem GROUP BY ALL")
 def journal_round_trip(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_quantity >= 45").select(F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("scan_id"), F.col("l_partkey").alias("peptide_id"), F.round("l_extendedprice", 2).alias("total_score"))
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_orderkey").cast("string")).alias("scan_id"), F.col("l_partkey").alias("peptide_id"), F.round("l_extendedprice", 2).alias("total_score"))
     for name, kind in text.JOURNAL_FIELDS:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
@@ -45,9 +45,9 @@ def journal_round_trip(spark, d):
     return text.read_journal(spark, path).groupBy("scan_id", "peptide_id", "total_score").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'scan=' || l_orderkey AS title, count(*) AS peaks, round(sum(i), 2) AS signal, round(max(mz), 2) AS highest FROM (SELECT DISTINCT l_orderkey, l_extendedprice AS mz, l_quantity AS i FROM lineitem WHERE l_orderkey <= 1000) GROUP BY 1""")
+@query("""SELECT 'scan=' || l_orderkey AS title, count(*) AS peaks, round(sum(i), 2) AS signal, round(max(mz), 2) AS highest FROM (SELECT DISTINCT l_orderkey, l_extendedprice AS mz, l_quantity AS i FROM lineitem) GROUP BY 1""")
 def spectra_round_trip(spark, d):
-    peaks = table(spark, d, "lineitem").filter("l_orderkey <= 1000").groupBy("l_orderkey").agg(F.collect_set(F.struct(F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))).alias("peaks"))
+    peaks = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.struct(F.col("l_extendedprice").alias("mz"), F.col("l_quantity").alias("intensity"))).alias("peaks"))
     rows = peaks.select(F.concat(F.lit("scan="), F.col("l_orderkey").cast("string")).alias("title"), F.col("l_orderkey").cast("double").alias("mass"), F.lit(2).alias("charge"), "peaks")
     path = Scratch(spark, "spectra").path("text")
     writers.write_spectra(rows, path)
@@ -151,14 +151,6 @@ def lone_member_patch(spark, d):
     return s.withColumn("kinds", kinds).select("user_id", "event_type", F.when(F.col("kinds") == 1, 0.0).otherwise(F.col("v")).alias("entry"))
 
 
-@query("""SELECT a.l_orderkey AS low, b.l_orderkey AS high, count(*) AS shared FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity = 50) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_quantity = 50) b USING (l_suppkey) WHERE a.l_orderkey < b.l_orderkey GROUP BY ALL""")
-def candidate_graph(spark, d):
-    """Edges between scans that share a candidate."""
-    rows = table(spark, d, "lineitem").filter("l_quantity = 50").select("l_orderkey", "l_suppkey").distinct()
-    a, b = rows.withColumnRenamed("l_orderkey", "low"), rows.withColumnRenamed("l_orderkey", "high")
-    return a.join(b, "l_suppkey").filter("low < high").groupBy("low", "high").agg(F.count("*").alias("shared"))
-
-
 @query("""WITH d AS (SELECT user_id, t, value, lag(t) OVER w AS pt, lag(value) OVER w AS pv FROM (SELECT user_id, event_id, value, epoch_us(ts) / 1e6 AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
 SELECT user_id, round(avg(t - pt), 3) AS mean_step, round(stddev_pop(t - pt), 3) AS spread FROM d WHERE pt IS NOT NULL GROUP BY 1""")
 def sampling_intervals(spark, d):

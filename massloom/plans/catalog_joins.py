@@ -94,13 +94,13 @@ def interval_join(spark, d):
     return found.groupBy("owner", "kind").agg(F.count("*").alias("hits"), F.round(F.sum("value"), 4).alias("signal"))
 
 
-@query("""WITH c AS (SELECT o_custkey AS cust, min(epoch_us(o_orderdate)) / 86400000000 AS d0, max(epoch_us(o_orderdate)) / 86400000000 AS d1 FROM orders GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5),
+@query("""WITH c AS (SELECT o_custkey AS cust, min(epoch_us(o_orderdate)) / 86400000000 AS d0, min(epoch_us(o_orderdate)) / 86400000000 + 30 AS d1 FROM orders GROUP BY 1),
 w AS (SELECT l_suppkey AS supp, min(epoch_us(l_shipdate)) / 86400000000 AS s0, min(epoch_us(l_shipdate)) / 86400000000 + 30 AS s1 FROM lineitem GROUP BY 1)
 SELECT cust, count(*) AS overlaps, min(supp) AS first_supplier FROM c JOIN w ON d0 <= s1 AND s0 <= d1 GROUP BY cust""")
 def overlap_join(spark, d):
-    c = table(spark, d, "orders").select(F.col("o_custkey").alias("cust"), days("o_orderdate")).groupBy("cust").agg(F.min("day").alias("d0"), F.max("day").alias("d1"), F.count("*").alias("n")).filter("n BETWEEN 2 AND 5").drop("n")
+    c = table(spark, d, "orders").select(F.col("o_custkey").alias("cust"), days("o_orderdate")).groupBy("cust").agg(F.min("day").alias("d0")).withColumn("d1", F.col("d0") + 30)
     w = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("supp"), days("l_shipdate")).groupBy("supp").agg(F.min("day").alias("s0")).withColumn("s1", F.col("s0") + 30)
-    return rangejoin.overlap_join(c, w, "d0", "d1", "s0", "s1", 200.0).groupBy("cust").agg(F.count("*").alias("overlaps"), F.min("supp").alias("first_supplier"))
+    return rangejoin.overlap_join(c, w, "d0", "d1", "s0", "s1", 30.0).groupBy("cust").agg(F.count("*").alias("overlaps"), F.min("supp").alias("first_supplier"))
 
 
 @query("""SELECT p_partkey, p_retailprice, o_totalprice, o_orderkey, round(distance, 6) AS distance FROM (SELECT p_partkey, p_retailprice, o_totalprice, o_orderkey, abs(o_totalprice - p_retailprice) AS distance,
@@ -185,13 +185,13 @@ def fragment_index(spark, d):
     return found.groupBy("o_orderkey").agg(F.count("*").alias("fragments"), F.min("p_partkey").alias("first_part"))
 
 
-@query("""SELECT o_orderkey, a.p_partkey AS peptide, b.p_partkey AS glycan FROM (SELECT * FROM orders WHERE o_totalprice BETWEEN 1800 AND 2000) o JOIN (SELECT * FROM part WHERE p_size <= 3) a ON TRUE
-JOIN (SELECT * FROM part WHERE p_size >= 49) b ON abs(a.p_retailprice + b.p_retailprice - o_totalprice) <= o_totalprice * 1e-4""")
+@query("""SELECT o_orderkey, a.p_partkey AS peptide, b.p_partkey AS glycan FROM (SELECT * FROM orders WHERE o_totalprice BETWEEN 1790 AND 2010) o JOIN (SELECT * FROM part WHERE p_size <= 25) a ON TRUE
+JOIN (SELECT * FROM part WHERE p_size > 25) b ON abs(a.p_retailprice + b.p_retailprice - o_totalprice) <= o_totalprice * 1e-4""")
 def bounded_cross_product(spark, d):
     """Two parts whose masses add up to an observed one: the second is looked up at the complement mass."""
-    part, orders = table(spark, d, "part"), table(spark, d, "orders").filter(F.col("o_totalprice").between(1800, 2000)).select("o_orderkey", "o_totalprice")
-    light = part.filter("p_size <= 3").select(F.col("p_partkey").alias("peptide"), F.col("p_retailprice").alias("m1"))
-    heavy = part.filter("p_size >= 49").select(F.col("p_partkey").alias("glycan"), F.col("p_retailprice").alias("m2"))
+    part, orders = table(spark, d, "part"), table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    light = part.filter("p_size <= 25").select(F.col("p_partkey").alias("peptide"), F.col("p_retailprice").alias("m1"))
+    heavy = part.filter("p_size > 25").select(F.col("p_partkey").alias("glycan"), F.col("p_retailprice").alias("m2"))
     low, high = F.col("o_totalprice") * (1 - 1e-4) - F.col("m1"), F.col("o_totalprice") * (1 + 1e-4) - F.col("m1")
     # Which peptides can go with an order follows from the range of the glycans' masses.
     bounds = heavy.agg(F.min("m2").alias("least"), F.max("m2").alias("most")).first()

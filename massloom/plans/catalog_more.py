@@ -51,31 +51,31 @@ def mass_ladders(spark, d):
     return e.join(f, (F.col("scan") == F.col("scan_f")) & (F.col("hi") == F.col("lo_f"))).select("scan", F.round("lo", 2).alias("start"), F.round("stop", 2).alias("stop"), F.concat("name", "next").alias("path"))
 
 
-@query(f"""WITH s AS (SELECT item_id, {_SEQ} AS q FROM benchmark), p AS (SELECT item_id, list_filter(range(0, least(len(q), 60)), lambda i: q[i + 1] IN ('S', 'T')) AS sites FROM s)
+@query(f"""WITH s AS (SELECT item_id, {_SEQ} AS q FROM benchmark), p AS (SELECT item_id, list_filter(range(0, len(q)), lambda i: q[i + 1] IN ('S', 'T')) AS sites FROM s)
 SELECT item_id, 1 + len(sites) + len(sites) * (len(sites) - 1) // 2 AS forms FROM p WHERE len(sites) >= 2""")
 def peptidoforms(spark, d):
     """Forms with up to two variable modifications, enumerated."""
-    rows = _sequences(spark, d).select("item_id", seq.sites(F.substring("q", 1, 60), seq.O_SITE).alias("sites")).filter("size(sites) >= 2")
+    rows = _sequences(spark, d).select("item_id", seq.sites(F.col("q"), seq.O_SITE).alias("sites")).filter("size(sites) >= 2")
     one, two = space.limited_combinations(F.col("sites"), 1, 10**6), space.limited_combinations(F.col("sites"), 2, 10**6)
     forms = rows.withColumn("form", F.explode(F.concat(F.array(F.array().cast("array<int>")), one, two)))
     return forms.groupBy("item_id").agg(F.count("*").alias("forms"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS peptide, p_retailprice AS m, p_size % 3 + 1 AS sites FROM part WHERE p_partkey <= 60), g AS (SELECT n_nationkey AS glycan, 100.0::DOUBLE + n_nationkey * 7 AS gm, n_regionkey % 3 + 1 AS size FROM nation)
+@query("""WITH p AS (SELECT p_partkey AS peptide, p_retailprice AS m, p_size % 3 + 1 AS sites FROM part), g AS (SELECT n_nationkey AS glycan, 100.0::DOUBLE + n_nationkey * 7 AS gm, n_regionkey % 3 + 1 AS size FROM nation)
 SELECT peptide, glycan::BIGINT AS glycan, round(m + gm - size * 18.0106, 4) AS mass FROM p JOIN g ON size <= sites""")
 def glycosylated_peptides(spark, d):
     """Every peptide with every combination that its sites can hold; each bond loses one water."""
-    p = table(spark, d, "part").filter("p_partkey <= 60").select(F.col("p_partkey").alias("peptide"), F.col("p_retailprice").alias("m"), (F.col("p_size") % 3 + 1).alias("sites"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("peptide"), F.col("p_retailprice").alias("m"), (F.col("p_size") % 3 + 1).alias("sites"))
     g = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("glycan"), (100.0 + F.col("n_nationkey") * 7).alias("gm"), (F.col("n_regionkey") % 3 + 1).alias("size"))
     held = p.withColumn("size", F.explode(F.sequence(F.lit(1), F.col("sites"))))
     return held.join(g, "size").select("peptide", "glycan", F.round(F.col("m") + F.col("gm") - F.col("size") * 18.0106, 4).alias("mass"))
 
 
-@query(f"""WITH s AS (SELECT item_id, {_SEQ} AS q FROM benchmark), n AS (SELECT item_id AS source, substr(q, 11, 12) AS peptide FROM s WHERE len(q) >= 22) SELECT source, item_id, peptide FROM n JOIN s ON contains(q, peptide)""")
+@query(f"""WITH s AS (SELECT item_id, {_SEQ} AS q FROM benchmark), n AS (SELECT DISTINCT item_id AS source, peptide FROM (SELECT item_id, unnest(string_split(regexp_replace(regexp_replace(q, '([KR])', '\\1|', 'g'), '([KR])\\|P', '\\1P', 'g'), '|')) AS peptide FROM s) WHERE len(peptide) BETWEEN 8 AND 30 AND NOT contains(peptide, 'X')) SELECT source, item_id, peptide FROM n JOIN s ON contains(q, peptide)""")
 def shared_peptides(spark, d):
     """In which sequences a peptide stands."""
     s = _sequences(spark, d)
-    n = s.filter("length(q) >= 22").select(F.col("item_id").alias("source"), F.substring("q", 11, 12).alias("peptide"))
+    n = s.select(F.col("item_id").alias("source"), F.explode(seq.digest(F.col("q"), seq.PROTEASES["trypsin"], 0, 8, 30)).alias("p")).select("source", "p.peptide").distinct()
     return strings.contained_in(n, s, "peptide", "q", 8).select("source", "item_id", "peptide")
 
 
@@ -103,11 +103,11 @@ def local_shifts(spark, d):
 
 
 @query("""SELECT p_partkey AS id, p_retailprice AS mass, 'database' AS origin FROM part UNION ALL
-SELECT o_orderkey, o_totalprice / 100, 'de novo' FROM orders WHERE o_totalprice BETWEEN 90000 AND 100000 AND NOT EXISTS (SELECT 1 FROM part WHERE abs(p_retailprice - o_totalprice / 100) <= o_totalprice / 100 * 5e-6)""")
+SELECT o_orderkey, o_totalprice / 100, 'de novo' FROM orders WHERE NOT EXISTS (SELECT 1 FROM part WHERE abs(p_retailprice - o_totalprice / 100) <= o_totalprice / 100 * 5e-6)""")
 def merged_nodes(spark, d):
     """Database nodes, and de novo nodes that lie near none of them."""
     db = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("mass"))
-    novo = table(spark, d, "orders").filter("o_totalprice BETWEEN 90000 AND 100000").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100).alias("mass"))
+    novo = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100).alias("mass"))
     new = rangejoin.ppm_join(novo, db.select(F.col("mass").alias("ref")), "mass", "ref", 5e-6, key=["id"], how="anti")
     return db.withColumn("origin", F.lit("database")).unionByName(new.withColumn("origin", F.lit("de novo")))
 

@@ -157,10 +157,10 @@ def bisect_by_state(spark, d):
     return table(spark, d, "events").select("event_id", (F.col("event_type") == "purchase").alias("has_shift"), "user_id")
 
 
-@query("""WITH p AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey)) AS parts FROM lineitem WHERE l_orderkey <= 400 GROUP BY 1)
+@query("""WITH p AS (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey)) AS parts FROM lineitem GROUP BY 1)
 SELECT a.l_orderkey AS ref, len(list_intersect(a.parts, b.parts)) AS shared, len(a.parts) - len(list_intersect(a.parts, b.parts)) AS only_ref, len(b.parts) - len(list_intersect(a.parts, b.parts)) AS only_alt FROM p a JOIN p b ON b.l_orderkey = a.l_orderkey + 1""")
 def count_peaks_shared(spark, d):
-    p = table(spark, d, "lineitem").filter("l_orderkey <= 400").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    p = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
     b = p.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("parts").alias("other"))
     both = F.array_intersect("parts", "other")
     return p.join(b, "l_orderkey").select(F.col("l_orderkey").alias("ref"), F.size(both).cast("long").alias("shared"), F.size(F.array_except("parts", "other")).cast("long").alias("only_ref"), F.size(F.array_except("other", "parts")).cast("long").alias("only_alt"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from massloom.functions import compositions as comp
@@ -71,15 +72,16 @@ def belongingness(spark, d):
     return graph.belongingness(edges, members).withColumn("belongingness", F.round("belongingness", 6))
 
 
-_LINKS = "SELECT DISTINCT l_orderkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09"
+_LINKS = "SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events QUALIFY b IS NOT NULL"
 
 
 def _links(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.09")
-    return rows.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct()
+    """Each event with the next of the same user: paths, the hardest shape for component search."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select(F.col("event_id").alias("a"), F.lead("event_id").over(w).alias("b")).filter("b IS NOT NULL")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_LINKS}) UNION SELECT b, a FROM ({_LINKS})), r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b OR TRUE)
+@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_LINKS}) UNION SELECT b, a FROM ({_LINKS})), r AS (SELECT a AS id, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
 SELECT id, min(c) AS component FROM r GROUP BY 1""")
 def components(spark, d):
     return graph.components(_links(spark, d))
