@@ -31,6 +31,7 @@ LENGTH = 100
 GRAM = 16
 PARTS = 8  # of a segment whose bucket holds others too
 BLOCK = 1 << 17  # window starts refined at once; a segment cut at a block's end is a segment of its own
+INNER = 0xFFFFFFFF  # in place of a segment: the text repeats some of its own segments
 FLUSH = 300_000  # rows that a task sorts before the shuffle
 _DRAW = np.random.default_rng(6_021_023)
 _LANES = [(_DRAW.integers(1, 1 << 63, 256, dtype=np.uint64), _DRAW.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) for _ in range(2)]
@@ -71,15 +72,22 @@ def anchors(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 class Segments:
-    """The segments of one text: start and end of their windows (end exclusive), bucket and identifier."""
+    """The segments of one text: start and end of their windows (end exclusive), bucket and identifier.
 
-    def __init__(self, data: np.ndarray):
+    With ``keep`` the refined identifiers of its blocks stay, for the finer levels.
+    """
+
+    def __init__(self, data: np.ndarray, keep: bool = False):
         self.data = data
+        self.blocks: dict[int, tuple[dict[int, np.ndarray], np.ndarray]] = {}
         lows, highs, buckets, ids, places = [], [], [], [], []
         for base in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
             part = data[base : base + BLOCK + LENGTH - 1]
-            grams = refine(part, 0, GRAM)[GRAM]
+            found = refine(part, 0, LENGTH if keep else GRAM)
+            grams = found[GRAM]
             full = refine(part, 1, LENGTH)[LENGTH]
+            if keep:
+                self.blocks[base] = {64: found[64], LENGTH: found[LENGTH]}, full
             place = anchors(grams, LENGTH - GRAM + 1)
             cut = np.flatnonzero(place[1:] != place[:-1]) + 1
             low, high = np.append(0, cut), np.append(cut, len(place))
@@ -184,7 +192,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _segment_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        parts, held, inner = [], 0, []
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 raw = (text.as_py() or "").encode()
@@ -193,9 +201,16 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
                     first = np.flatnonzero(first_in_order(segments.bucket, segments.id))
                     parts.append((segments.bucket[first], segments.id[first], np.full(len(first), doc.as_py(), np.int64), first + (_check(raw) << 32)))
                     held += len(first)
+                    if len(first) < len(segments):
+                        inner.append((doc.as_py(), (_check(raw) << 32) | INNER))
                 if held >= FLUSH:
                     yield _combined(parts)
                     parts, held = [], 0
+            if inner:
+                docs_, at = (np.array(x, np.int64) for x in zip(*inner, strict=True))
+                spread = (docs_.view(np.uint64) * _MIX[4]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.zeros(len(at), np.int64)), pa.array(docs_), pa.array((at << 1) | 1)], ["k", "id", "doc_id", "at"])
+                inner = []
         if parts:
             yield _combined(parts)
 
@@ -234,9 +249,7 @@ def _part_rows(segments: Segments, cut: np.ndarray) -> tuple[np.ndarray, np.ndar
     for base in range(0, len(segments.data), BLOCK):
         low, high = np.searchsorted(first, [base, base + BLOCK])
         if low < high:
-            data = segments.data[base : base + BLOCK + LENGTH - 1]
-            full = refine(data, 1, LENGTH)[LENGTH]
-            found = refine(data, 0, 64)
+            found, full = segments.blocks[base]
             at = slice(low, high)
             # What all windows of the part have in common, from its largest start to the end of its least.
             start = anchor[at] - edges[part[at]] - base
@@ -261,9 +274,9 @@ def _window_keys(segments: Segments, first: np.ndarray, last: np.ndarray) -> tup
     for base in range(0, len(segments.data), BLOCK):
         low, high = np.searchsorted(starts, [base, base + BLOCK])
         if low < high:
-            part = segments.data[base : base + BLOCK + LENGTH - 1]
-            for lane, to in ((0, one), (1, two)):
-                to[low:high] = refine(part, lane, LENGTH)[LENGTH][starts[low:high] - base]
+            found, full = segments.blocks[base]
+            one[low:high] = found[LENGTH][starts[low:high] - base]
+            two[low:high] = full[starts[low:high] - base]
     return starts, one, two, first_in_order(one, two)
 
 
@@ -280,7 +293,7 @@ def _finer_rows(flagged: DataFrame, windows: bool) -> DataFrame:
                 cut = _own_marks(marks[0].as_py(), check)[1]
                 if not len(cut) or (windows and not len(_own_marks(marks[1].as_py(), check)[1])):
                     continue
-                segments = Segments(np.frombuffer(raw, np.uint8))
+                segments = Segments(np.frombuffer(raw, np.uint8), keep=True)
                 index, first, last, k, i, new = _part_rows(segments, cut)
                 at = index
                 if windows:
@@ -298,12 +311,17 @@ def _finer_rows(flagged: DataFrame, windows: bool) -> DataFrame:
 
 
 def removed_windows(raw: bytes, marks: list[int] | None, part_marks: list[int] | None, window_marks: list[int] | None) -> np.ndarray:
-    """Starts of the windows of one text that stand earlier, in this text or before it."""
-    if len(raw) <= LENGTH:
+    """Starts of the windows of one text that stand earlier, in this text or before it.
+
+    A text without marks has no segment that another has, or that it has twice, and no two
+    segments of one bucket: nothing in it stands earlier.
+    """
+    if len(raw) <= LENGTH or not marks:
         return np.zeros(0, np.int64)
     check = _check(raw)
     whole, cut = _own_marks(marks, check)
-    segments = Segments(np.frombuffer(raw, np.uint8))
+    whole = whole[whole != INNER]
+    segments = Segments(np.frombuffer(raw, np.uint8), keep=bool(len(cut)))
     gone = np.zeros(max(0, len(raw) - LENGTH + 1), bool)
     if not len(segments):
         return np.flatnonzero(gone)
