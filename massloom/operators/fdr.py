@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.operators.ordered import running
+from massloom.session import Scratch
 
 
 def score_counts(df: DataFrame, score: str, is_decoy: Column, keys: list[str] | None = None) -> DataFrame:
@@ -25,8 +26,10 @@ def _rate(target_weight: float, correction: float) -> Column:
 
 def q_values(df: DataFrame, score: str, is_decoy: Column, target_weight: float = 1.0, correction: float = 0.0) -> DataFrame:
     """score, targets, decoys (at or above it), fdr and q_value of each distinct score."""
-    counts = running(score_counts(df, score, is_decoy), "score", {"targets": ("sum", "targets_here"), "decoys": ("sum", "decoys_here")}, descending=True)
-    rates = counts.select("score", "targets", "decoys", _rate(target_weight, correction).alias("fdr"))
+    scratch = Scratch(df.sparkSession, "rates")  # the bounds of cells are looked up first; the search is not run again for them
+    counts = scratch.keep(score_counts(df, score, is_decoy), "counts")
+    counts = running(counts, "score", {"targets": ("sum", "targets_here"), "decoys": ("sum", "decoys_here")}, descending=True)
+    rates = scratch.keep(counts.select("score", "targets", "decoys", _rate(target_weight, correction).alias("fdr")), "rates")
     return running(rates, "score", {"q_value": ("min", "fdr")})
 
 
@@ -42,8 +45,9 @@ def grouped_q_values(df: DataFrame, score: str, is_decoy: Column, keys: list[str
 def pep_to_fdr(df: DataFrame, score: str, pep: str) -> DataFrame:
     """Mean error probability of all rows at or above each distinct score, made monotone."""
     sums = df.groupBy(F.col(score).alias("score")).agg(F.sum(pep).alias("pep_here"), F.count("*").alias("n_here"))
-    down = running(sums, "score", {"pep_sum": ("sum", "pep_here"), "n": ("sum", "n_here")}, descending=True)
-    rates = down.select("score", "n", (F.col("pep_sum") / F.col("n")).alias("mean_pep"))
+    scratch = Scratch(df.sparkSession, "rates")
+    down = running(scratch.keep(sums, "sums"), "score", {"pep_sum": ("sum", "pep_here"), "n": ("sum", "n_here")}, descending=True)
+    rates = scratch.keep(down.select("score", "n", (F.col("pep_sum") / F.col("n")).alias("mean_pep")), "rates")
     return running(rates, "score", {"fdr": ("min", "mean_pep")})
 
 
