@@ -316,7 +316,7 @@ def removed_windows(raw: bytes, marks: list[int] | None, part_marks: list[int] |
     A text without marks has no segment that another has, or that it has twice, and no two
     segments of one bucket: nothing in it stands earlier.
     """
-    if len(raw) <= LENGTH or not marks:
+    if len(raw) < LENGTH or not marks:
         return np.zeros(0, np.int64)
     check = _check(raw)
     whole, cut = _own_marks(marks, check)

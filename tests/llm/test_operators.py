@@ -215,6 +215,33 @@ def test_repeats_across_blocks(spark):
     assert {i: (r["n_removed"], r["kept_sha256"]) for i, r in found.items()} == expected
 
 
+def test_repeats_of_texts_about_one_window_long(spark):
+    """Texts of 99, 100 and 101 bytes as copies of an earlier text, inside one, and earlier than a text with them."""
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    long, texts = draw(700), {0: None}
+    texts[1] = long
+    for n in (99, 100, 101):
+        copied, later = draw(n), draw(n)
+        for text in (copied, copied, copied, long[:n], long[300 : 300 + n], long[-n:], later, draw(50) + later + draw(50)):
+            texts[len(texts)] = text
+    texts |= {len(texts): "é" * 50, len(texts) + 1: "é" * 50, len(texts) + 2: "x" + "é" * 50}  # 100 bytes of 50 characters
+    seen, expected = set(), {}
+    for i, text in texts.items():
+        raw = (text or "").encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 99):
+            window = raw[p : p + 100]
+            if window in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(window)
+        spans = sum(1 for p, g in enumerate(gone) if g and not (p and gone[p - 1]))
+        expected[i] = (len(raw), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(raw, gone, strict=True) if not g)).hexdigest())
+    assert sum(n == 100 == removed for n, removed, *_ in expected.values()) == 6
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {i: tuple(r)[1:] for i, r in by_id(repeats.repeat_digests(repeats.remove_repeats(df))).items()} == expected
+
+
 def test_secrets(documents):
     rng = random.Random(4)
     odd = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=40))
