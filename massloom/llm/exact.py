@@ -26,7 +26,7 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
 
     Null text counts as empty and a null doc_id never is the smallest; a group of null ids only has
     a null keep_id, and its rows count as kept. Rows that repeat doc_id and text are all marked
-    alike; ``drop_exact_copies`` leaves one of them. An empty table gives no rows. Other columns are
+    alike; ``drop_exact_copies`` leaves one of them, as of a group of null ids only. An empty table gives no rows. Other columns are
     not read.
     """
     scratch = Scratch(docs.sparkSession, "exact")
@@ -42,12 +42,16 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, that with the smallest doc_id; all columns stay."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__key")  # so that join and window share one shuffle
-    keep = exact_groups(docs).filter("kept").select(key).distinct()
-    left = docs.withColumn("__key", key).join(keep.hint("merge"), "__key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(F.col("text").isNull(), "text"))
-    return left.withColumn("__nth", first).filter("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` with one row of each group of equal texts, that with the smallest doc_id; all columns stay.
+
+    Groups are as in ``exact_groups``, told apart by the digest of the normalised text, so rows that
+    repeat a doc_id, or have none, stay where their texts differ. A null doc_id comes last. Each task
+    leaves one row of a group before the shuffle, so a large group does not meet in one task.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(normalised(F.col("text")), 256).alias("digest"))
+    text = F.col("row.text")
+    first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("row.doc_id").asc_nulls_last(), text.isNull(), text))
+    return rows.withColumn("nth", first).filter("nth = 1").select("row.*")
 
 
 ORACLE = r"""

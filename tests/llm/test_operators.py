@@ -130,6 +130,21 @@ def test_exact_dedup(documents, texts):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(map(min, groups.values()))
 
 
+def test_exact_copies_under_null_and_repeated_ids(spark):
+    rows = [(None, "null one"), (None, "null two"), (None, "null  two"), (None, "null three"), (None, "with id"), (None, None), (-(1 << 63), "least"), (None, "least"), (None, "")]
+    rows += [(7, "seven"), (7, "another seven"), (7, "seven"), (7, "with id"), (8, "another seven"), (9, "with id"), (9, "nine"), (9, "null\tone")]
+    df = spark.createDataFrame([(i, text, n) for n, (i, text) in enumerate(rows)], "doc_id long, text string, __nth int").repartition(3)
+    groups = defaultdict(list)
+    for n, (i, text) in enumerate(rows):
+        groups[re.sub(f"[{WHITE}]+", " ", text or "")].append((i is None, i or 0, text is None, text or ""))
+    kept = exact.drop_exact_copies(df).collect()
+    expected = sorted(map(min, groups.values()))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] is None, r["text"] or "") for r in kept) == expected
+    assert all(rows[r["__nth"]] == (r["doc_id"], r["text"]) for r in kept)  # whole rows, whatever the columns are called
+    marked = {(r["doc_id"], r["text_sha256"]) for r in exact.exact_groups(df).filter("kept").collect()}
+    assert {(r["doc_id"], hashlib.sha256(re.sub(f"[{WHITE}]+", " ", r["text"] or "").encode()).hexdigest()) for r in kept} == marked
+
+
 def expected_near(texts, width):
     sets = {}
     for i, t in texts.items():
