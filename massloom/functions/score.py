@@ -39,10 +39,18 @@ def uniform_count(k: Column, step: float = 0.4, eps: float = 1e-6) -> Column:
     return F.least(k * step, F.lit(1.0)) - eps
 
 
-def decaying_count(k: Column, step: float, rate: float, most: int = 64) -> Column:
-    """Sum over i below k (at most ``most``) of step / (i + rate)."""
-    terms = F.sequence(F.lit(0), F.least(k.cast("int"), F.lit(most)) - 1)
-    return F.when(k < 1, F.lit(0.0)).otherwise(F.aggregate(terms, F.lit(0.0), lambda total, i: total + step / (i + rate)))
+def _digamma(x: Column) -> Column:
+    """For x of 64 or more, to double precision."""
+    y = 1 / (x * x)
+    return F.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
+
+
+def decaying_count(k: Column, step: float, rate: float, plain: int = 64) -> Column:
+    """Sum over i below k of step / (i + rate); terms from ``plain`` (64 or more) on come as a difference of digammas."""
+    terms = F.sequence(F.lit(0), F.least(k, F.lit(plain)).cast("int") - 1)
+    first = F.aggregate(terms, F.lit(0.0), lambda total, i: total + step / (i + rate))
+    rest = F.when(k > plain, step * (_digamma(F.floor(k).cast("double") + rate) - _digamma(F.lit(float(plain + rate))))).otherwise(F.lit(0.0))
+    return F.when(k < 1, F.lit(0.0)).otherwise(first + rest)
 
 
 def logarithmic_count(k: Column, base: float) -> Column:
@@ -54,8 +62,13 @@ def log_intensity(intensity: Column, error: Column, tolerance: float) -> Column:
     return F.log10(intensity) * (1 - F.pow(F.abs(error) / tolerance, F.lit(4.0)))
 
 
-def log_factorial(n: Column, most: int = 170) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(n.cast("int"), F.lit(most)), F.lit(1))), F.lit(0.0), lambda total, i: total + F.log(i.cast("double")))
+def log_factorial(n: Column, plain: int = 170) -> Column:
+    """ln n!, as a sum of logs up to ``plain`` factors and by Stirling's series, to double precision, above."""
+    factors = F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(plain)).cast("int"), F.lit(1)))
+    x = F.floor(n).cast("double")
+    y = 1 / (x * x)
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + (1 / 12 - y * (1 / 360 - y / 1260)) / x
+    return F.when(n > plain, series).otherwise(F.aggregate(factors, F.lit(0.0), lambda total, i: total + F.log(i.cast("double"))))
 
 
 def hyperscore(n_forward: Column, n_backward: Column, forward_signal: Column, backward_signal: Column) -> Column:

@@ -85,6 +85,22 @@ def test_binomial_tail_and_its_end(spark):
     assert value(spark, score.binomial_tail(F.lit(6), F.lit(6), F.lit(0.3))) == 0
 
 
+def test_counts_of_many(spark):
+    counts = [0, 1, 63, 64, 65, 100, 169, 170, 171, 172, 400, 900]
+    df = spark.createDataFrame([(n,) for n in counts], "n long")
+    n = F.col("n")
+    tails = [score.binomial_tail(n, F.floor(n * 0.3).cast("long"), F.lit(0.3)), score.binomial_tail(n, F.floor(n / 2).cast("long"), F.lit(0.6), inclusive=True)]
+    rows = df.select("n", score.log_factorial(n), score.decaying_count(n, 0.5, 1.0), score.decaying_count(n, 0.4, 1.5), *tails, score.hyperscore(n, n + 1, F.lit(0.0), F.lit(math.e))).collect()
+    tail = lambda n, k, p, last: math.fsum(math.exp(math.log(math.comb(n, i)) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, last + 1))
+    decay = lambda n, step, rate: math.fsum(step / (i + rate) for i in range(n))
+    for n, *found in rows:
+        log = lambda n: math.log(math.factorial(n))
+        expected = [log(n), decay(n, 0.5, 1.0), decay(n, 0.4, 1.5), tail(n, n * 3 // 10, 0.3, n - 1), tail(n, n // 2, 0.6, n), log(n) + log(n + 1) + 1]
+        assert found == pytest.approx(expected, rel=1e-11, abs=1e-12), n
+    large = spark.range(1).select(score.log_factorial(F.lit(10**7)), score.decaying_count(F.lit(10**7), 0.5, 1.0)).first()
+    assert list(large) == pytest.approx([math.lgamma(10**7 + 1), decay(10**7, 0.5, 1.0)], rel=1e-12)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "semi", "anti"])
 def test_ppm_join_against_all_pairs(spark, how):
     rng = random.Random(how)
