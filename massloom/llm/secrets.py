@@ -57,7 +57,7 @@ def novel_spans(text: str, taken: list[tuple[str, int, int]], reach: int, around
         return []
     found: dict[tuple[int, int], None] = {}
     for word in _CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach)):
+        for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + reach + 15)):  # the window bounds where a string starts
             start, end = m.span()
             end = _TAIL.match(text, end).end()  # the window may cut a string
             if (start, end) in found or any(s < end and start < e for _, s, e in taken):

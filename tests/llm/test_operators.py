@@ -280,6 +280,15 @@ def test_secrets(documents):
     assert secrets.novelty(odd, "") > 0.7 > secrets.novelty("client_secret_client_id", "")
 
 
+def test_secrets_that_begin_late_in_the_window():
+    odd = "".join(random.Random(5).choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=40))
+    for gap in (1, 64, 65, 79, 80):
+        for string in (odd, odd[:16]):
+            text = "bearer" + " " * gap + string + " plain words"
+            expected = [("novel", 6 + gap, 6 + gap + len(string))] if gap < 80 else []
+            assert secrets.novel_spans(text, [], 80, 400, 0.7) == expected, (gap, string)
+
+
 def test_fingerprints(documents, texts):
     ids = sorted(texts)
     found = by_id(fingerprint.fingerprint_with_edits(documents))
