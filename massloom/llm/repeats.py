@@ -1,16 +1,20 @@
 """Removal of repeated substrings by a sampled suffix array with bucket-pointer refinement.
 
-A suffix starts in the bucket of its first bytes; a bucket is refined by the bucket identifiers of
-later offsets, so that depth doubles (2, 4 ... 64) and then reaches the match length, each step
-reusing the identifiers just refined. Identifiers are content hashes, so a document refines its
-own suffixes without seeing others, and equal identifiers mean equal bytes across documents.
+A suffix starts in the bucket of its first eight bytes; a bucket is refined by the bucket
+identifiers of later offsets, so that depth doubles (16, 32, 64) and then reaches the match length,
+each step reusing the identifiers just refined. Identifiers are content hashes, so a document
+refines its own suffixes without seeing others, and equal identifiers mean equal bytes across
+documents. Many texts lie side by side in one array and are refined together.
 
 Only sampled suffixes are sorted across documents. Every window of the match length is represented
-by its least q-gram bucket, its anchor; equal windows have equal anchors at equal offsets. The
+by its least 16-gram bucket, its anchor; equal windows have equal anchors at equal offsets. The
 windows of one anchor make a segment. Segments are sorted by (bucket, refined identifier,
 document): later copies of a segment are removed whole. Where a bucket holds different segments,
 their first copies are cut into parts, whose buckets are refined by what the windows of a part
 have in common, and sorted again; where parts still differ, their windows are sorted one by one.
+
+Buckets that a sample of the documents shows to be crowded are dealt by (bucket, identifier) and
+taken to hold different segments, which costs refinement only; so no bucket has to fit one task.
 """
 
 from __future__ import annotations
@@ -20,163 +24,185 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massloom.session import Scratch
+from massloom.session import Scratch, shuffle_width
 
 LENGTH = 100
 GRAM = 16
-PARTS = 8  # of a segment whose bucket holds others too
-BLOCK = 1 << 17  # window starts refined at once; a segment cut at a block's end is a segment of its own
-INNER = 0xFFFFFFFF  # in place of a segment: the text repeats some of its own segments
+EDGES = -(-(LENGTH - GRAM + 1) * np.arange(9) // 8)  # of the eight parts of a segment, as offsets of its anchor
+BLOCK = 1 << 16  # bytes that are refined at once; a segment cut at a block's end is a segment of its own
 FLUSH = 300_000  # rows that a task sorts before the shuffle
+STEP = 4096  # marks of one text that are refined at once
+PENDING = 4096  # undecided first copies of one bucket that are held; beyond, the bucket is taken as mixed
+CROWDED = 64  # rows of one bucket among a hundredth of the documents from which it counts as crowded
 _DRAW = np.random.default_rng(6_021_023)
-_LANES = [(_DRAW.integers(1, 1 << 63, 256, dtype=np.uint64), _DRAW.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) for _ in range(2)]
+_STEPS = _DRAW.integers(1, 1 << 63, (2, 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _DRAW.integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ROW = "k long, id long, doc_id long, at long"
+ROW = "k long, id long, doc_id long, text long, at long"
+MARK = "doc_id long, text long, mark long"
+
+
+def _place(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A run of windows as one number: first start, then how many, below 128."""
+    return (start.astype(np.int64) << 7) | count
+
+
+def initial_buckets(data: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each suffix as a number."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,)).copy()
 
 
-def refine(data: np.ndarray, lane: int, length: int) -> dict[int, np.ndarray]:
-    """Bucket identifiers by depth: of each start in ``data`` for depths 1, 2, 4 ... and ``length``."""
-    first, step = _LANES[lane]
-    depth, level = 1, 0
-    bucket = first[data]
-    found = {1: bucket}
+def refine(grams: np.ndarray, lane: int, length: int) -> dict[int, np.ndarray]:
+    """Bucket identifiers by depth, for depths 8, 16, 32 ... and ``length``, from ``initial_buckets``."""
+    steps = _STEPS[lane]
+    bucket = grams * steps[7]
+    bucket ^= bucket >> np.uint64(32)
+    depth, level, found = 8, 0, {8: bucket}
     while depth < length:
         later = min(depth, length - depth)  # the last step overlaps what is refined already
-        n = len(bucket) - later
-        if n <= 0:
-            break
-        bucket = bucket[:n] * step[level] + bucket[later:]
-        bucket ^= bucket >> np.uint64(29)
-        depth, level = depth + later, level + 1
+        n = max(0, len(bucket) - later)
+        finer = bucket[:n] * steps[level]
+        finer += bucket[later : later + n]
+        finer ^= finer >> np.uint64(29)
+        bucket, depth, level = finer, depth + later, level + 1
         found[depth] = bucket
     return found
 
 
 def anchors(grams: np.ndarray, width: int) -> np.ndarray:
-    """For each run of ``width`` grams the place of its least, the leftmost of equals."""
-    value, place = grams, np.arange(len(grams), dtype=np.int32)
+    """For each run of ``width`` grams the place of its least by the upper bits, the leftmost of equals."""
+    low = np.uint64((1 << 24) - 1)  # runs lie in blocks far below that
+    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     have = 1
     while have < width:
         step = min(have, width - have)
-        n = len(value) - step
-        right = value[step:] < value[:n]
-        value = np.where(right, value[step:], value[:n])
-        place = np.where(right, place[step:], place[:n])
+        n = max(0, len(least) - step)
+        least = np.minimum(least[:n], least[step : step + n])
         have += step
-    return place
+    return (least & low).astype(np.int64)
 
 
-class Segments:
-    """The segments of one text: start and end of their windows (end exclusive), bucket and identifier.
+def _ranges(firsts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers first, first + 1 ... of each range, which range each belongs to)."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return np.arange(len(of)) + np.repeat(firsts - (np.cumsum(counts) - counts), counts), of
+
+
+def segments_of(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(piece, start in the piece, count, bucket, identifier) of the segments of pieces that lie side by side in ``data``."""
+    starts = np.cumsum(sizes) - sizes
+    first = initial_buckets(data)
+    grams = refine(first, 0, GRAM)[GRAM]
+    full = refine(first, 1, LENGTH)[LENGTH]
+    window, piece = _ranges(starts, np.maximum(sizes - LENGTH + 1, 0))
+    anchor = anchors(grams, LENGTH - GRAM + 1)[window]
+    new = np.ones(len(window), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])
+    cut = np.flatnonzero(new)
+    count = np.diff(np.append(cut, len(window)))
+    low, at = window[cut], anchor[cut]
+    return piece[cut], low - starts[piece[cut]], count, grams[at], _identity(full, low, low + count - 1, at)
+
+
+def _identity(full: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """One identifier of all windows from first to last, which overlap, around an anchor."""
+    shape = ((last - first).astype(np.uint64) << np.uint64(32)) + (anchor - first).astype(np.uint64)
+    identity = full[first] * _MIX[0] + full[last] * _MIX[1] + shape * _MIX[2]
+    identity ^= identity >> np.uint64(31)
+    return identity * _MIX[3]
 
-    With ``keep`` the refined identifiers of its blocks stay, for the finer levels.
-    """
 
-    def __init__(self, data: np.ndarray, keep: bool = False):
-        self.data = data
-        self.blocks: dict[int, tuple[dict[int, np.ndarray], np.ndarray]] = {}
-        lows, highs, buckets, ids, places = [], [], [], [], []
-        for base in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
-            part = data[base : base + BLOCK + LENGTH - 1]
-            found = refine(part, 0, LENGTH if keep else GRAM)
-            grams = found[GRAM]
-            full = refine(part, 1, LENGTH)[LENGTH]
-            if keep:
-                self.blocks[base] = {64: found[64], LENGTH: found[LENGTH]}, full
-            place = anchors(grams, LENGTH - GRAM + 1)
-            cut = np.flatnonzero(place[1:] != place[:-1]) + 1
-            low, high = np.append(0, cut), np.append(cut, len(place))
-            at = place[low].astype(np.int64)
-            shape = ((high - low).astype(np.uint64) << np.uint64(32)) + (at - low).astype(np.uint64)
-            identity = full[low] * _MIX[0] + full[high - 1] * _MIX[1] + shape * _MIX[2]
-            identity ^= identity >> np.uint64(31)
-            lows.append(low + base), highs.append(high + base), places.append(at + base), buckets.append(grams[at]), ids.append(identity * _MIX[3])
-        empty = [np.zeros(0, np.int64)]
-        self.low, self.high, self.anchor = (np.concatenate(x or empty).astype(np.int64) for x in (lows, highs, places))
-        self.bucket, self.id = (np.concatenate(x or empty).astype(np.uint64) for x in (buckets, ids))
-
-    def __len__(self) -> int:
-        return len(self.low)
-
-
-def first_in_order(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Of rows with equal (key, id), whether a row is the first."""
-    order = np.lexsort((np.arange(len(keys)), ids, keys))
-    k, i = keys[order], ids[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
-    first = np.zeros(len(order), bool)
-    first[order[new]] = True
-    return first
-
-
-def _check(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) >> 34  # 30 bits that tell texts of one doc_id apart
-
-
-def _combined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Rows (k, id, doc_id, at) sorted here; all but the first document of each (k, id) are marked later and dealt at random."""
-    k, i, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((doc, i, k))
-    k, i, doc, at = k[order], i[order], doc[order], at[order]
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
-    owner = doc[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-    later = doc != owner
+def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows (k, id, doc_id, text, at, crowded) sorted here; copies that certainly are later are marked so and dealt at random.
+
+    at becomes place << 2, with bit 0 for later rows and bit 1 for rows of crowded buckets, which
+    are dealt by bucket and identifier.
+    """
+    k, i, doc, text, at, crowded = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((at, text, doc, i, k))
+    k, i, doc, text, at, crowded = (x[order] for x in (k, i, doc, text, at, crowded))
+    later, _ = _later(k, i, doc, text, at)
+    at = (at << 2) | (crowded.astype(np.int64) << 1) | later
+    k = np.where(crowded, (k * _MIX[6]) ^ (i * _MIX[7]), k)
     spread = (doc.view(np.uint64) * _MIX[4]) ^ (at.view(np.uint64) * _MIX[5])
-    k = np.where(later, spread, k)
-    i = np.where(later, np.uint64(0), i)
-    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(i.view(np.int64)), pa.array(doc), pa.array((at << 1) | later)], ["k", "id", "doc_id", "at"])
+    k, i = np.where(later, spread, k), np.where(later, np.uint64(0), i)
+    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(i.view(np.int64)), pa.array(doc), pa.array(text), pa.array(at)], ["k", "id", "doc_id", "text", "at"])
+
+
+def _later(k: np.ndarray, i: np.ndarray, doc: np.ndarray, text: np.ndarray, at: np.ndarray, before: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """Which rows, sorted by (k, id, doc_id, text, at), stand earlier in another document or in their own text; and the state after them.
+
+    The state is (k, id, first doc_id of these, doc_id, text, first place in that text) of the last row.
+    """
+    group, own = np.ones(len(k), bool), np.ones(len(k), bool)
+    group[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1])
+    own[1:] = group[1:] | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    if before is not None:
+        group[0] = (k[0], i[0]) != before[:2]
+        own[0] = group[0] or (doc[0], text[0]) != before[3:5]
+    rows = np.arange(len(k))
+    lead, own_lead = np.maximum.accumulate(np.where(group, rows, -1)), np.maximum.accumulate(np.where(own, rows, -1))
+    owner = np.where(lead >= 0, doc[lead], 0 if before is None else before[2])
+    first_at = np.where(own_lead >= 0, at[own_lead], 0 if before is None else before[5])
+    return (doc != owner) | (at > first_at), (k[-1], i[-1], owner[-1], doc[-1], text[-1], first_at[-1])
 
 
 def later_occurrences(rows: DataFrame, shared: bool) -> DataFrame:
-    """(doc_id, mark) for rows (k, id, doc_id, at) as ``_combined`` leaves them.
+    """(doc_id, text, mark) for rows as ``_combined`` leaves them.
 
-    mark is at << 1 for rows whose (k, id) stands in an earlier document; with ``shared`` also
-    at << 1 | 1 for the first of each (k, id) whose k has other ids too. Rows arrive sorted and
-    only the last row and one undecided row are held, whatever the size of a bucket.
+    mark is place << 1 for rows whose (k, id) stands earlier; with ``shared`` also place << 1 | 1
+    for the others of each k that has several ids, or is crowded. Rows arrive sorted and only the
+    last row and at most ``PENDING`` undecided rows are held, whatever the size of a bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_k = last_id = last_owner = pending = None
+        before, pending, several = None, [], False  # several: whether the bucket of the last row is known as mixed
         for batch in batches:
-            k, i, doc, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            k, i, doc, text, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(5))
             known = (at & 1) == 1
-            out_doc, out_mark = [doc[known]], [(at[known] >> 1) << 1]
-            k, i, doc, at = k[~known], i[~known], doc[~known], at[~known] >> 1
+            out = [(doc[known], text[known], (at[known] >> 2) << 1)]
+            k, i, doc, text, at = (x[~known] for x in (k, i, doc, text, at))
             if len(k):
-                new_k, new_i = np.ones(len(k), bool), np.ones(len(k), bool)
-                new_k[1:] = k[1:] != k[:-1]
-                new_i[1:] = new_k[1:] | (i[1:] != i[:-1])
-                if last_k is not None:
-                    new_k[0] = k[0] != last_k
-                    new_i[0] = new_k[0] or i[0] != last_id
-                lead = np.maximum.accumulate(np.where(new_i, np.arange(len(k)), -1))
-                owner = np.where(lead >= 0, doc[lead], last_owner if last_owner is not None else 0)
-                later = ~new_i & (doc != owner)
-                out_doc.append(doc[later]), out_mark.append(at[later] << 1)
+                crowded, at = (at & 2) == 2, at >> 2
+                last = before
+                later, before = _later(k, i, doc, text, at, last)
+                out.append((doc[later], text[later], at[later] << 1))
                 if shared:
-                    further = new_i & ~new_k  # the first of a second, third ... id
-                    out_doc.append(doc[further]), out_mark.append((at[further] << 1) | 1)
+                    new_k = np.ones(len(k), bool)
+                    new_k[1:] = k[1:] != k[:-1]
+                    new_k[0] = last is None or k[0] != last[0]
+                    new_i = np.ones(len(k), bool)
+                    new_i[1:] = new_k[1:] | (i[1:] != i[:-1])
+                    new_i[0] = new_k[0] or i[0] != last[1]
                     bucket = np.cumsum(new_k)  # 0: the bucket that the rows before end with
-                    mixed = np.bincount(bucket, further, minlength=bucket[-1] + 1) > 0
-                    if pending is not None and mixed[0] and bucket[0] == 0:
-                        out_doc.append(np.array([pending[0]])), out_mark.append(np.array([(pending[1] << 1) | 1]))
-                        pending = None
-                    heads = np.flatnonzero(new_k)
-                    tied = heads[mixed[bucket[heads]]]
-                    out_doc.append(doc[tied]), out_mark.append((at[tied] << 1) | 1)
-                    if len(heads):
-                        pending = None if mixed[bucket[heads[-1]]] else (doc[heads[-1]], at[heads[-1]])
-                last_k, last_id, last_owner = k[-1], i[-1], owner[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_mark))], ["doc_id", "mark"])
-
-    return rows.repartition("k").sortWithinPartitions("k", "id", "doc_id").mapInArrow(run, "doc_id long, mark long")
+                    mixed = np.bincount(bucket, (new_i & ~new_k) | crowded, minlength=bucket[-1] + 1) > 0
+                    mixed[0] |= several
+                    if pending and not new_k[0] and mixed[0]:
+                        out.append(tuple(np.array(x, np.int64) for x in zip(*pending, strict=True)))
+                    if new_k.any() or mixed[0]:
+                        pending = []
+                    tied = ~later & mixed[bucket]
+                    out.append((doc[tied], text[tied], (at[tied] << 1) | 1))
+                    several = bool(mixed[bucket[-1]])
+                    if not several:
+                        open_rows = np.flatnonzero(~later & (bucket == bucket[-1]))
+                        pending += zip(doc[open_rows].tolist(), text[open_rows].tolist(), ((at[open_rows] << 1) | 1).tolist(), strict=True)
+                        if len(pending) > PENDING:
+                            out.append(tuple(np.array(x, np.int64) for x in zip(*pending, strict=True)))
+                            pending, several = [], True
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["doc_id", "text", "mark"])
+
+    return rows.repartition("k").sortWithinPartitions("k", "id", "doc_id", "text", "at").mapInArrow(run, MARK)
+
+
+def _text_key(raw: bytes | memoryview) -> int:
+    """Tells texts of one doc_id apart."""
+    return xxhash.xxh3_64_intdigest(raw) - (1 << 63)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -184,175 +210,187 @@ def _packed(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
-                ids, texts = batch.column(0).slice(low, 512), batch.column(1).slice(low, 512)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([pack((t.as_py() or "").encode()) for t in texts], pa.binary())], ["doc_id", "packed"])
-
-    return docs.mapInArrow(run, "doc_id long, packed binary")
-
-
-def _segment_rows(docs: DataFrame) -> DataFrame:
+                raw = batch.column(1).slice(low, 512).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, 512), pa.array(map(_text_key, raw), pa.int64()), pa.array(map(pack, raw), pa.binary())], ["doc_id", "text", "packed"])
+
+    return docs.mapInArrow(run, "doc_id long, text long, packed binary")
+
+
+def _pieces(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, base in its text, size) of pieces of texts, up to about a block of bytes at a time; no window is cut."""
+    sizes = np.diff(offsets)
+    low = 0
+    while low < len(sizes):
+        if sizes[low] > BLOCK:
+            for base in range(0, int(sizes[low]) - LENGTH + 1, BLOCK):
+                yield np.array([low]), np.array([base]), np.array([min(BLOCK + LENGTH - 1, sizes[low] - base)])
+            low += 1
+            continue
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + BLOCK, "right")) - 1)
+        long = np.flatnonzero(sizes[low:high] > BLOCK)
+        high = low + int(long[0]) if len(long) else high
+        yield np.arange(low, high), np.zeros(high - low, np.int64), sizes[low:high]
+        low = high
+
+
+def _segment_rows(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held, inner = [], 0, []
+        parts, held = [], 0
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
-                segments = Segments(np.frombuffer(raw, np.uint8))
-                if len(segments):
-                    first = np.flatnonzero(first_in_order(segments.bucket, segments.id))
-                    parts.append((segments.bucket[first], segments.id[first], np.full(len(first), doc.as_py(), np.int64), first + (_check(raw) << 32)))
-                    held += len(first)
-                    if len(first) < len(segments):
-                        inner.append((doc.as_py(), (_check(raw) << 32) | INNER))
+            column = batch.column(1).cast(pa.large_binary())
+            offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            if offsets[-1] == offsets[0]:
+                continue
+            data = np.frombuffer(column.buffers()[2], np.uint8)
+            doc, view = batch.column(0).to_numpy(zero_copy_only=False), memoryview(column.buffers()[2])
+            keys = np.array([_text_key(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+            for row, base, sizes in _pieces(offsets):
+                low = offsets[row[0]] + base[0]
+                piece, start, count, bucket, identity = segments_of(data[low : low + sizes.sum()], sizes)
+                if len(piece):
+                    of = row[piece]
+                    parts.append((bucket, identity, doc[of], keys[of], _place(start + base[piece], count), np.isin(bucket, crowded)))
+                    held += len(piece)
                 if held >= FLUSH:
                     yield _combined(parts)
                     parts, held = [], 0
-            if inner:
-                docs_, at = (np.array(x, np.int64) for x in zip(*inner, strict=True))
-                spread = (docs_.view(np.uint64) * _MIX[4]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.zeros(len(at), np.int64)), pa.array(docs_), pa.array((at << 1) | 1)], ["k", "id", "doc_id", "at"])
-                inner = []
         if parts:
             yield _combined(parts)
 
     return docs.mapInArrow(run, ROW)
 
 
-def _own_marks(marks: list[int] | None, check: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places removed whole, places to be split) among a document's marks that belong to this text."""
-    marks = np.array(marks or [], np.int64)
-    at = marks >> 1
-    mine = (at >> 32) == check
-    return (at[mine & ((marks & 1) == 0)] & 0xFFFFFFFF), (at[mine & ((marks & 1) == 1)] & 0xFFFFFFFF)
-
+def _crowded_buckets(docs: DataFrame) -> np.ndarray:
+    """Buckets of which a hundredth of the documents has ``CROWDED`` rows or more, the largest first, at most four for each shuffle partition.
 
-def _bounds(segments: Segments, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index, first start, last start, least offset) of the parts of the segments to be cut, in order of start.
-
-    Part q has the windows whose anchor lies q / PARTS to (q + 1) / PARTS of the way into the range
-    of offsets; the index is PARTS times the segment plus q.
+    They only say how rows are dealt out; results do not depend on them.
+    """
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.length("raw")), F.lit(100)) == 0)
+    rows = _segment_rows(sample, np.zeros(0, np.uint64)).filter("(at & 1) = 0").groupBy("k").count().filter(F.col("count") >= CROWDED)
+    top = rows.orderBy(F.desc("count"), "k").limit(4 * shuffle_width(docs.sparkSession)).collect()
+    return np.sort(np.array([r["k"] for r in top], np.int64).view(np.uint64))
+
+
+class _Regions:
+    """The marked runs of windows of several texts, with only the bytes that they cover, side by side."""
+
+    def __init__(self):
+        self.data: list[bytes] = []
+        self.size = 0
+        self.rows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, doc: int, text: int, raw: bytes, marks: list[int]) -> None:
+        place = np.unique(np.array(marks, np.int64)) >> 1
+        start, count = place >> 7, place & 127
+        end = np.maximum.accumulate(start + count + LENGTH - 1)
+        new = np.ones(len(start), bool)
+        new[1:] = start[1:] >= end[:-1]
+        heads = np.flatnonzero(new)
+        low, high = start[heads], end[np.append(heads[1:] - 1, len(start) - 1)]
+        sizes = high - low
+        shift = self.size + np.cumsum(sizes) - sizes - low
+        self.data += [raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+        self.rows.append((doc, text, start, count, shift[np.cumsum(new) - 1]))
+        self.size += int(sizes.sum())
+
+    def joined(self) -> tuple[np.ndarray, ...]:
+        """(bytes, doc_id, text, start, count, how far the start lies further on in the bytes)."""
+        sizes = [len(r[2]) for r in self.rows]
+        doc, text = (np.repeat(np.array([r[c] for r in self.rows], np.int64), sizes) for c in (0, 1))
+        return np.frombuffer(b"".join(self.data), np.uint8), doc, text, *(np.concatenate([r[c] for r in self.rows]) for c in (2, 3, 4))
+
+
+def _part_rows(regions: _Regions, crowded: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows (k, id, doc_id, text, at, crowded) of the parts of marked segments.
+
+    Part q has the windows whose anchor lies q / 8 to (q + 1) / 8 of the way into the range of
+    offsets. Its bucket is what all its windows have in common, from the largest start to the end of
+    the least; it is crowded if the segment's is, which equal parts have in common.
     """
-    edges = -(-(LENGTH - GRAM + 1) * np.arange(PARTS + 1) // PARTS)
-    index = (np.sort(cut)[:, None] * PARTS + np.arange(PARTS - 1, -1, -1)).ravel().astype(np.int64)
-    of, part = index // PARTS, index % PARTS
-    first = np.maximum(segments.low[of], segments.anchor[of] - edges[part + 1] + 1)
-    last = np.minimum(segments.high[of] - 1, segments.anchor[of] - edges[part])
-    some = first <= last
-    return index[some], first[some], last[some], edges[part[some]]
-
-
-def _part_rows(segments: Segments, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index, first start, last start, bucket, identifier, first in the text) of the parts."""
-    index, first, last, offset = _bounds(segments, cut)
-    edges = -(-(LENGTH - GRAM + 1) * np.arange(PARTS + 1) // PARTS)
-    bucket, identity = np.zeros(len(index), np.uint64), np.zeros(len(index), np.uint64)
-    anchor, part = segments.anchor[index // PARTS], index % PARTS
-    for base in range(0, len(segments.data), BLOCK):
-        low, high = np.searchsorted(first, [base, base + BLOCK])
-        if low < high:
-            found, full = segments.blocks[base]
-            at = slice(low, high)
-            # What all windows of the part have in common, from its largest start to the end of its least.
-            start = anchor[at] - edges[part[at]] - base
-            length = LENGTH - (edges[part[at] + 1] - 1 - edges[part[at]])
-            wide = found[64]
-            s, e = start, start + length - 64
-            core = wide[s] * _MIX[0] + wide[e] * _MIX[1] + (part[at].astype(np.uint64) + np.uint64(1)) * _MIX[6]
-            core ^= core >> np.uint64(30)
-            a, b = full[first[at] - base], full[last[at] - base]
-            shape = ((last[at] - first[at]).astype(np.uint64) << np.uint64(32)) + (anchor[at] - first[at]).astype(np.uint64)
-            name = a * _MIX[0] + b * _MIX[1] + shape * _MIX[2]
-            name ^= name >> np.uint64(31)
-            bucket[at], identity[at] = core, name * _MIX[3]
-    return index, first, last, bucket, identity, first_in_order(bucket, identity)
-
-
-def _window_keys(segments: Segments, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, first lane, second lane, first in the text) of the windows of parts, in order of start."""
-    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]) if len(first) else np.zeros(0, np.int64)
-    starts = np.sort(starts)
-    one, two = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64)
-    for base in range(0, len(segments.data), BLOCK):
-        low, high = np.searchsorted(starts, [base, base + BLOCK])
-        if low < high:
-            found, full = segments.blocks[base]
-            one[low:high] = found[LENGTH][starts[low:high] - base]
-            two[low:high] = full[starts[low:high] - base]
-    return starts, one, two, first_in_order(one, two)
-
-
-def _finer_rows(flagged: DataFrame, windows: bool) -> DataFrame:
-    """Rows of the parts to be told apart, of rows (doc_id, packed, marks), or of their windows, of rows with part_marks."""
+    data, doc, text, start, count, shift = regions.joined()
+    first = initial_buckets(data)
+    near, full = refine(first, 0, 64), refine(first, 1, LENGTH)[LENGTH]
+    low = start + shift
+    anchor = anchors(near[GRAM], LENGTH - GRAM + 1)[low]
+    q = np.tile(np.arange(8), len(low))
+    of = np.repeat(np.arange(len(low)), 8)
+    a = np.maximum(low[of], anchor[of] - EDGES[q + 1] + 1)
+    b = np.minimum(low[of] + count[of] - 1, anchor[of] - EDGES[q])
+    some = a <= b
+    q, of, a, b = q[some], of[some], a[some], b[some]
+    begin = anchor[of] - EDGES[q]
+    end = anchor[of] - EDGES[q + 1] + 1 + LENGTH
+    core = near[64][begin] * _MIX[0] + near[64][end - 64] * _MIX[1] + (q.astype(np.uint64) + np.uint64(1)) * _MIX[6]
+    core ^= core >> np.uint64(30)
+    return core, _identity(full, a, b, anchor[of]), doc[of], text[of], _place(a - shift[of], b - a + 1), np.isin(near[GRAM][anchor], crowded)[of]
+
+
+def _window_rows(regions: _Regions, crowded: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows (k, id, doc_id, text, at, crowded) of the windows of marked parts; their buckets are as fine as can be."""
+    data, doc, text, start, count, shift = regions.joined()
+    first = initial_buckets(data)
+    window, of = _ranges(start + shift, count)
+    one, two = (refine(first, lane, LENGTH)[LENGTH][window] for lane in (0, 1))
+    return one, two, doc[of], text[of], _place(window - shift[of], np.ones(len(window), np.int64)), np.zeros(len(window), bool)
+
+
+def _finer_rows(flagged: DataFrame, windows: bool, crowded: np.ndarray) -> DataFrame:
+    """Rows of the parts of the segments, or of the windows of the parts, that rows (doc_id, text, packed, split) ask for."""
+    make = _window_rows if windows else _part_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        parts, held = [], 0
+        parts, held, regions = [], 0, _Regions()
+
+        def put() -> Iterator[pa.RecordBatch]:
+            nonlocal parts, held, regions
+            rows = make(regions, crowded)
+            parts, held, regions = [*parts, rows], held + len(rows[0]), _Regions()
+            if held >= FLUSH:
+                yield _combined(parts)
+                parts, held = [], 0
+
         for batch in batches:
-            for doc, packed, *marks in zip(*batch.columns, strict=True):
-                raw = unpack(packed.as_py())
-                check = _check(raw)
-                cut = _own_marks(marks[0].as_py(), check)[1]
-                if not len(cut) or (windows and not len(_own_marks(marks[1].as_py(), check)[1])):
-                    continue
-                segments = Segments(np.frombuffer(raw, np.uint8), keep=True)
-                index, first, last, k, i, new = _part_rows(segments, cut)
-                at = index
-                if windows:
-                    split = np.isin(index, _own_marks(marks[1].as_py(), check)[1])
-                    at, k, i, new = _window_keys(segments, first[split], last[split])
-                parts.append((k[new], i[new], np.full(new.sum(), doc.as_py(), np.int64), at[new] + (check << 32)))
-                held += len(parts[-1][0])
-                if held >= FLUSH:
-                    yield _combined(parts)
-                    parts, held = [], 0
+            for doc, text, packed, split in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = unpack(packed)
+                # A very long text is taken in steps, too; marks that share bytes may be refined twice.
+                marks = sorted(split)
+                for low in range(0, len(marks), STEP):
+                    regions.add(doc, text, raw, marks[low : low + STEP])
+                    if regions.size >= BLOCK:
+                        yield from put()
+        if regions.rows:
+            yield from put()
         if parts:
             yield _combined(parts)
 
     return flagged.mapInArrow(run, ROW)
 
 
-def removed_windows(raw: bytes, marks: list[int] | None, part_marks: list[int] | None, window_marks: list[int] | None) -> np.ndarray:
-    """Starts of the windows of one text that stand earlier, in this text or before it.
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ends) of lists of numbers; a null is an empty list."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
 
-    A text without marks has no segment that another has, or that it has twice, and no two
-    segments of one bucket: nothing in it stands earlier.
-    """
-    if len(raw) < LENGTH or not marks:
-        return np.zeros(0, np.int64)
-    check = _check(raw)
-    whole, cut = _own_marks(marks, check)
-    whole = whole[whole != INNER]
-    segments = Segments(np.frombuffer(raw, np.uint8), keep=bool(len(cut)))
-    gone = np.zeros(max(0, len(raw) - LENGTH + 1), bool)
-    if not len(segments):
-        return np.flatnonzero(gone)
-    covered = ~first_in_order(segments.bucket, segments.id)
-    covered[whole] = True
-    for low, high in zip(segments.low[covered], segments.high[covered], strict=True):
-        gone[low:high] = True
-    if len(cut):
-        index, first, last, _, _, new = _part_rows(segments, cut)
-        earlier, split = _own_marks(part_marks, check)
-        for low, high in zip(first[~new | np.isin(index, earlier)], last[~new | np.isin(index, earlier)], strict=True):
-            gone[low : high + 1] = True
-        divided = np.isin(index, split)
-        if divided.any():
-            starts, _, _, new = _window_keys(segments, first[divided], last[divided])
-            gone[starts[~new]] = True
-            gone[_own_marks(window_marks, check)[0]] = True
-    return np.flatnonzero(gone)
-
-
-def _kept(raw: bytes, gone: np.ndarray) -> tuple[list[tuple[int, int]], bytes]:
-    """The maximal removed runs and the bytes that stay."""
-    if not len(gone):
-        return [], raw
-    cut = np.flatnonzero(np.diff(gone) > LENGTH) + 1
-    lows, highs = gone[np.append(0, cut)], gone[np.append(cut - 1, len(gone) - 1)] + LENGTH
+
+def removed_runs(place: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs of bytes (start, end) that the windows of these places cover."""
+    if not len(place):
+        return []
+    place = np.sort(place)
+    start, end = place >> 7, np.maximum.accumulate((place >> 7) + (place & 127) + LENGTH - 1)
+    new = np.ones(len(place), bool)
+    new[1:] = start[1:] > end[:-1]
+    heads = np.flatnonzero(new)
+    return list(zip(start[heads].tolist(), end[np.append(heads[1:] - 1, len(place) - 1)].tolist(), strict=True))
+
+
+def _remaining(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     pieces, at = [], 0
-    for low, high in zip(lows.tolist(), highs.tolist(), strict=True):
+    for low, high in runs:
         pieces.append(raw[at:low])
         at = high
-    return list(zip(lows.tolist(), highs.tolist(), strict=True)), b"".join([*pieces, raw[at:]])
+    return b"".join([*pieces, raw[at:]])
 
 
 def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -367,16 +405,24 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = later_occurrences(_segment_rows(rows), shared=True)
-    marks = scratch.keep(marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks")), "marks")
-    # One plan from here on, so that the texts' shuffle by doc_id is made once and used by all three.
-    packed = _packed(rows).filter("doc_id IS NOT NULL")  # as inner joins would, so that the outer join's plan is the same
-    flagged = packed.join(marks.hint("merge"), "doc_id").select("doc_id", "packed", "marks")
-    of_doc = lambda found, name: found.groupBy("doc_id").agg(F.collect_list("mark").alias(name))
-    part_marks = of_doc(later_occurrences(_finer_rows(flagged, windows=False), shared=True), "part_marks")
-    divided = packed.join(marks.join(part_marks, "doc_id").hint("merge"), "doc_id").select("doc_id", "packed", "marks", "part_marks")
-    window_marks = of_doc(later_occurrences(_finer_rows(divided, windows=True), shared=False), "window_marks")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("raw")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), text)
+    key = ["doc_id", "text"]
+    crowded = _crowded_buckets(rows)
+
+    of_text = lambda found, name: found.groupBy(*key).agg(F.collect_list("mark").alias(name))
+    split = lambda name: F.filter(name, lambda m: m.bitwiseAND(1) == 1).alias("split")
+    later = lambda name: F.transform(F.filter(name, lambda m: m.bitwiseAND(1) == 0), lambda m: F.shiftright(m, 1)).alias(name)
+
+    marks = scratch.keep(of_text(later_occurrences(_segment_rows(rows, crowded), shared=True), "marks"), "marks")
+    # One plan from here on, so that the texts' shuffle is made once and used by all three.
+    packed = _packed(rows).filter("doc_id IS NOT NULL AND text IS NOT NULL")  # as inner joins would, so that the outer join's plan is the same
+
+    def asked(found: DataFrame, name: str) -> DataFrame:
+        return packed.join(found.select(*key, split(name)).filter("size(split) > 0").hint("merge"), key).select(*key, "packed", "split")
+
+    part_marks = of_text(later_occurrences(_finer_rows(asked(marks, "marks"), False, crowded), shared=True), "part_marks")
+    window_marks = of_text(later_occurrences(_finer_rows(asked(part_marks, "part_marks"), True, crowded), shared=False), "window_marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -385,18 +431,22 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 sizes, spans, kept = [], [], []
-                for data, *own in zip(*part.columns[1:], strict=True):
-                    raw = unpack(data.as_py())
-                    runs, rest = _kept(raw, removed_windows(raw, *(x.as_py() for x in own)))
+                places = [_lists(c) for c in part.columns[2:]]
+                for row, data in enumerate(part.column(1).to_pylist()):
+                    raw = unpack(data)
+                    runs = removed_runs(np.concatenate([values[ends[row] : ends[row + 1]] for values, ends in places]))
+                    rest = _remaining(raw, runs)
                     sizes.append(len(raw)), spans.append([{"start": s, "end": e} for s, e in runs])
                     kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pair)), pa.array(kept, pa.string() if digest else pa.binary())], ["doc_id", "n_bytes", "removed", "kept"]
                 )
 
-    all_marks = marks.join(part_marks, "doc_id", "left").join(window_marks, "doc_id", "left")
-    whole = packed.join(all_marks.hint("merge"), "doc_id", "left").select("doc_id", "packed", "marks", "part_marks", "window_marks")
-    out = whole.mapInArrow(run, f"doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept {'string' if digest else 'binary'}")
+    whole = packed
+    for more, name in ((marks, "marks"), (part_marks, "part_marks"), (window_marks, "window_marks")):
+        whole = whole.join(more.select(*key, later(name)).hint("merge"), key, "left")
+    out = whole.select("doc_id", "packed", "marks", "part_marks", "window_marks")
+    out = out.mapInArrow(run, f"doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept {'string' if digest else 'binary'}")
     out = out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
 
