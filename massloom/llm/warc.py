@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,8 @@ from massloom.session import Scratch
 FILE_BYTES = 8 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space for URLs
 _DATE = "2024-01-01T00:00:00Z"
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, target string, payload_digest string, payload binary, fields map<string,string>"
+RECORD = "record_id string, type string, concurrent_to string, refers_to string, target string, payload_digest string, measured_digest string, payload binary, fields map<string,string>"
+_NO_URI = re.compile(r"[\x00-\x20\x7f]")
 
 
 def record_id(*parts: object) -> str:
@@ -49,7 +51,7 @@ def _record(kind: str, own: str, target: str, content_type: str, block: bytes, *
 
 def capture_records(page_id: int | None, url: str | None, payload: bytes, digest: str, nth: int, original: int | None, revisit: bool) -> bytes:
     """The three gzipped records of one capture."""
-    target = "".join((url or "").split())
+    target = _NO_URI.sub(lambda m: f"%{ord(m[0]):02X}", url or "")
     key = (page_id, digest, nth)
     request, answer, about = (record_id(*key, kind) for kind in ("request", "answer", "metadata"))
     parts = urlsplit(target) if target.isprintable() and "[" not in target else urlsplit("")
@@ -65,7 +67,7 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, digest
             ),
             _record(
                 "metadata", about, target, "application/warc-fields",
-                f"page-id: {'' if page_id is None else page_id}\r\npayload-bytes: {len(payload)}\r\nrefers-to-page: {original if revisit else ''}\r\n".encode(), Concurrent_To=answer,
+                f"page-id: {'' if page_id is None else page_id}\r\n".encode(), Concurrent_To=answer,
             ),
         )
     )
@@ -95,14 +97,14 @@ def _with_originals(pages: DataFrame, least_bytes: int) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "warc-pages")
     keys = scratch.keep(pages.select("page_id", "html").mapInArrow(digests, "page_id long, digest string, bytes long"), "digests")
     # The largest page_id of each payload; counted before the shuffle, so copies of one page stay few rows.
-    largest = scratch.keep(keys.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("original")), "originals")
+    largest = scratch.keep(keys.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("original"), F.lit(True).alias("grouped")), "originals")
     page_key = F.coalesce("page_id", F.lit(-(1 << 63))).alias("key")
-    flags = keys.distinct().join(largest, ["digest", "bytes"], "left").select(page_key, "digest", "original")
+    flags = keys.distinct().join(largest, ["digest", "bytes"], "left").select(page_key, "digest", "original", "grouped")
     rows = pages.mapInArrow(pack, "page_id long, url string, digest string, packed binary").withColumn("key", page_key)
     rows = rows.join(flags.hint("shuffle_merge"), ["key", "digest"])
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "digest").orderBy("url")) - 1).drop("key")
     is_first = F.col("page_id").eqNullSafe(F.col("original")) & (F.col("nth") == 0)
-    return rows.withColumn("revisit", F.col("original").isNotNull() & ~is_first)
+    return rows.withColumn("revisit", F.col("grouped").isNotNull() & ~is_first).drop("grouped")
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> int:
@@ -110,7 +112,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, file_byt
 
     The payload is the html in UTF-8, null as empty. Of equal payloads of at least ``least_bytes``
     the one with the largest page_id is a response and the others revisit it; rows that repeat a
-    page_id with one payload revisit the first of them. Names and contents of the files depend on
+    page_id with one payload revisit the first of them. A null page_id is the least. White space and
+    control characters of a url are percent-encoded; a null url is empty. Names and contents of the files depend on
     the rows alone, and a file appears under its name only when whole, so a task that runs again
     writes the same files over.
     """
@@ -168,10 +171,11 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record of the archives below ``folder``; columns as in ``RECORD``.
 
-    The payload of a response is its HTTP body; metadata fields come as a map.
+    The payload of a response is its HTTP body, whose digest is measured as it is read; metadata
+    fields come as a map.
     """
-    names = ["record_id", "type", "concurrent_to", "refers_to", "target", "payload_digest", "payload", "fields"]
-    types = [*[pa.string()] * 6, pa.binary(), pa.map_(pa.string(), pa.string())]
+    names = [part.split()[0] for part in RECORD.split(", ")]
+    types = [*[pa.string()] * 7, pa.binary(), pa.map_(pa.string(), pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -185,9 +189,8 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                     body = block.partition(b"\r\n\r\n")[2] if kind in ("response", "request") else None
                     fields = [tuple(line.partition(": ")[::2]) for line in block.decode().split("\r\n") if line] if kind == "metadata" else None
                     digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    if kind == "response" and bare_digest(body) != digest:
-                        raise ValueError(f"{headers['warc-record-id']}: the payload does not have its digest")
-                    rows.append((headers["warc-record-id"], kind, headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), headers.get("warc-target-uri"), digest, body, fields))
+                    measured = bare_digest(body) if kind == "response" else None
+                    rows.append((headers["warc-record-id"], kind, headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), headers.get("warc-target-uri"), digest, measured, body, fields))
                     size += len(block)
                     if size >= 4 << 20:
                         yield made(rows)
@@ -199,31 +202,51 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInArrow(run, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """One nested row per capture: capture_id, request, response and metadata, joined by concurrent-to.
 
     A capture is known by its response's or revisit's record id; request and metadata are null
-    where the archive holds none. Only the columns that are read further on go through the joins.
+    where the archive holds none. ``others`` may give the request and metadata records apart, so
+    that reading them does not carry payloads.
     """
-    columns = [F.col(name) for name in ("record_id", "refers_to", "target", "payload_digest", "payload", "type")]
+    others = records if others is None else others
+    columns = [F.col(name) for name in ("record_id", "refers_to", "target", "payload_digest", "measured_digest", "payload", "type")]
     answers = records.filter(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), F.struct(*columns).alias("response"))
-    requests = records.filter("type = 'request'").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target").alias("request"))
-    about = records.filter("type = 'metadata'").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "fields").alias("metadata"))
-    return answers.join(requests, "capture_id", "left").join(about, "capture_id", "left")
+    requests = others.filter("type = 'request'").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "target").alias("request"))
+    about = others.filter("type = 'metadata'").select(F.col("concurrent_to").alias("capture_id"), F.struct("record_id", "fields").alias("metadata"))
+    return answers.join(requests.hint("merge"), "capture_id", "left").join(about.hint("merge"), "capture_id", "left")
 
 
 def archive_digests(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of each capture that the archives hold."""
-    # Parsed once; all but the payloads, which nothing below reads.
-    records = Scratch(spark, "warc-records").keep(read_records(spark, folder).drop("payload"), "records").withColumn("payload", F.lit(None).cast("binary"))
-    captures = assemble(records)
-    number = lambda name: F.nullif(F.col("metadata.fields")[name], F.lit("")).cast("long")
-    return captures.select(
-        number("page-id").alias("page_id"),
-        number("payload-bytes").alias("payload_bytes"),
-        F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        number("refers-to-page").alias("refers_to"),
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of each capture that the archives hold.
+
+    Length and digest are those of the body that was read; a revisit takes them from the response
+    that its refers-to record id names, and has nulls where the archives hold no such response. A
+    body, or a response revisited, that does not have the digest its record states is an error.
+    """
+    scratch = Scratch(spark, "warc-records")
+    records = read_records(spark, folder)
+    others = scratch.keep(records.filter(F.col("type").isin("request", "metadata")).drop("payload"), "others")
+    captures = assemble(records, others)
+    found = captures.select(
+        "capture_id",
+        F.nullif(F.col("metadata.fields")["page-id"], F.lit("")).cast("long").alias("page_id"),
+        F.octet_length("response.payload").cast("long").alias("bytes"),
+        F.col("response.type").alias("type"),
+        F.col("response.refers_to").alias("refers_to"),
+        F.col("response.payload_digest").alias("stated"),
+        F.col("response.measured_digest").alias("measured"),
+    )
+    found = scratch.keep(found, "captures")
+    bodies = found.filter("type = 'response'").select(F.col("capture_id").alias("body_id"), F.col("page_id").alias("body_page"), F.col("bytes").alias("body_bytes"), F.col("measured").alias("body_digest"))
+    whole = found.join(bodies.hint("merge"), F.coalesce("refers_to", "capture_id") == F.col("body_id"), "left")
+    wrong = F.raise_error(F.concat(F.col("capture_id"), F.lit(": the payload does not have its digest")))
+    return whole.select(
+        "page_id",
+        F.col("body_bytes").alias("payload_bytes"),
+        F.when(F.col("body_digest") != F.col("stated"), wrong).otherwise(F.col("body_digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(F.col("type") == "revisit", F.col("body_page")).alias("refers_to"),
     )
 
 

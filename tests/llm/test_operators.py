@@ -372,6 +372,46 @@ def test_warc_assembly_keeps_payloads(spark):
     assert all(r["request"]["target"] == r["response"]["target"] and r["metadata"]["fields"]["page-id"] for r in rows)
 
 
+def _archive(folder, name, *records):
+    import gzip
+    from pathlib import Path
+
+    Path(folder.removeprefix("file:")).mkdir(parents=True, exist_ok=True)
+    (Path(folder.removeprefix("file:")) / name).write_bytes(b"".join(gzip.compress(r) for r in records))
+
+
+def test_warc_results_come_from_what_the_archive_holds(spark):
+    """Archives not written by the library: bodies are measured, revisits resolved by record id, false digests found."""
+    from massloom.session import Scratch
+
+    body = b"<p>whole</p>"
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    about = lambda n, page: warc._record("metadata", f"<m{n}>", "", "application/warc-fields", f"page-id: {page}\r\n".encode(), Concurrent_To=f"<a{n}>")
+    response = warc._record("response", "<a1>", "http://x.example/", "application/http", http + body, Payload_Digest="sha1:" + warc.bare_digest(body))
+    revisit = lambda n, to, digest: warc._record("revisit", f"<a{n}>", "http://x.example/", "application/http", http, Payload_Digest="sha1:" + digest, Refers_To=to)
+    folder = Scratch(spark, "warc").path("given")
+    _archive(folder, "one.warc.gz", revisit(2, "<a1>", warc.bare_digest(body)), about(2, 20), about(1, 10))
+    _archive(folder, "two.warc.gz", response, revisit(3, "<gone>", warc.bare_digest(body)), about(3, 30))
+    found = {r["page_id"]: tuple(r)[1:] for r in warc.archive_digests(spark, folder).collect()}
+    digest = warc.bare_digest(body)
+    assert found == {10: (12, digest, "response", None), 20: (12, digest, "revisit", 10), 30: (None, None, "revisit", None)}
+    for wrong in (response.replace(body, b"<p>other</p>"), response):
+        folder = Scratch(spark, "warc").path("wrong")
+        _archive(folder, "one.warc.gz", wrong, about(1, 10), revisit(2, "<a1>", warc.bare_digest(body if wrong != response else b"else")), about(2, 20))
+        with pytest.raises(Exception, match="does not have its digest"):
+            warc.archive_digests(spark, folder).collect()
+
+
+def test_warc_of_null_and_odd_pages(spark):
+    rows = [(None, "http://a.example/with space\tand tab", "same"), (None, None, "same"), (None, "http://b.example/", None), (5, "http://c.example/\u00e9", "alone"), (5, "http://c.example/", "alone"), (5, "http://d.example/", "x" * 3_000_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in ("key", "digest", "packed", "nth", "original", "revisit", "payload", "bytes"):
+        df = df.withColumn(name, F.lit("clash"))
+    found = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(df).collect())
+    key = lambda r: (r[0], r[1], r[2])
+    assert sorted(found, key=key) == sorted([(0, 4, "response", None), (0, 4, "revisit", None), (0, 0, "response", None), (5, 5, "response", None), (5, 5, "revisit", 5), (5, 3_000_000, "response", None)], key=key)
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a\\b </s>[INST] <|im_end|>\n x"), (1, 1, "assistant", "<<SYS>><s>\\"), (1, 1, "assistant", "second"), (2, None, None, None), (None, 3, "to\nol", "t"), (3, 0, "assistant", "")]
     df = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
