@@ -1,17 +1,19 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame operations only.
 
-Leaves are paragraphs (lines), each with its blocks: runs of at most 64 characters that end with a
-sentence. A paragraph whose hash begins with 0 to 3 closes a section, so an edit moves no borders
-but its own. The fingerprint is the tree as text:
+Leaves are blocks, runs of at most 64 characters that end with a sentence; a paragraph (line) is
+hashed from the hashes of its blocks, a section from those of its paragraphs, the root from those
+of its sections. A paragraph whose hash begins with 0 to 3 closes a section, so an edit moves no
+borders but its own. The fingerprint is the tree as text:
 
     root|section:paragraph.block.block,paragraph.block;section:paragraph.block
 
-Roots test equality; sections, then paragraphs, then blocks that differ locate an edit.
+Roots test equality. Likeness and the search for edits go down the tree, into differing branches only.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,36 +26,71 @@ BLOCK = r"[^.!?]{1,64}[.!?]*|[.!?]+"
 def fingerprint(text: Column) -> Column:
     """The tree of a text; null counts as empty, and the empty text has one empty paragraph."""
 
-    def paragraph(p: Column) -> Column:
-        own = F.md5(p)
-        blocks = F.array_join(F.transform(F.regexp_extract_all(p, F.lit(BLOCK), F.lit(0)), lambda b: F.concat(F.lit("."), F.substring(F.md5(b), 1, 12))), "")
-        return F.concat(F.substring(own, 1, 16), blocks, F.when(F.substring(own, 1, 1) < "4", F.lit(";")).otherwise(F.lit(",")))
+    def node(leaves: Column) -> Column:
+        own = F.md5(F.array_join(leaves, ""))
+        shown = F.array_join(F.transform(leaves, lambda b: F.concat(F.lit("."), F.substring(b, 1, 12))), "")
+        return F.concat(own, shown, F.when(F.substring(own, 1, 1) < "4", F.lit(";")).otherwise(F.lit(",")))
 
-    flat = F.array_join(F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), paragraph), "")
+    leaves = lambda p: F.transform(F.regexp_extract_all(p, F.lit(BLOCK), F.lit(0)), F.md5)
+    paragraphs = F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), leaves)
+    flat = F.array_join(F.transform(paragraphs, node), "")
     sections = F.split(F.regexp_replace(flat, "[,;]$", ""), ";")
     named = F.transform(sections, lambda s: F.concat(F.substring(F.md5(s), 1, 16), F.lit(":"), s))
     root = F.sha2(F.array_join(F.transform(sections, F.md5), ""), 256)
     return F.concat(root, F.lit("|"), F.array_join(named, ";"))
 
 
-def blocks_of(print_: Column) -> Column:
-    """The distinct block hashes of a fingerprint."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(print_, F.lit(r"\.[0-9a-f]{12}"), F.lit(0)), lambda b: F.substring(b, 2, 12)))
+def sections_of(print_: Column) -> Column:
+    """The section subtrees of a fingerprint."""
+    return F.split(F.substring_index(print_, "|", -1), ";")
 
 
-def likeness(one: Column, other: Column, one_blocks: Column | None = None) -> Column:
-    """Share of blocks that two fingerprints have in common, twice the common over the sum of both; 1 for equal roots."""
-    a, b = one_blocks if one_blocks is not None else blocks_of(one), blocks_of(other)
-    total = F.size(a) + F.size(b)
-    return F.when(F.substring(one, 1, 64) == F.substring(other, 1, 64), F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
+def paragraphs_of(sections: Column) -> Column:
+    """The paragraph subtrees below section subtrees."""
+    return F.flatten(F.transform(sections, lambda s: F.split(F.substring_index(s, ":", -1), ",")))
+
+
+def blocks_of(subtrees: Column) -> Column:
+    """The block hashes below subtrees."""
+    return F.regexp_extract_all(F.array_join(subtrees, ","), F.lit(r"\.([0-9a-f]{12})"), F.lit(1))
+
+
+def likeness(one: Column, other: Column) -> Column:
+    """Share of blocks that two trees have in common; 1 for equal roots, 0 where neither has a block in a differing branch or in common.
+
+    Equal sections count with all their blocks. Only differing sections are opened, and of their
+    paragraphs only differing ones, whose blocks are compared as sets. The share is twice the common
+    blocks over the sum of both sides.
+    """
+    tops = F.struct(sections_of(one).alias("a"), sections_of(other).alias("b"))
+
+    def opened(pair: Column) -> tuple[Column, Column, Column]:
+        return F.array_intersect(pair["a"], pair["b"]), F.array_except(pair["a"], pair["b"]), F.array_except(pair["b"], pair["a"])
+
+    def within(pair: Column, deeper: Callable[[Column, Column], Column]) -> Column:
+        """(common, all) blocks, all counted on both sides."""
+        same, left, right = opened(pair)
+        equal = F.size(blocks_of(same))
+        # One element, so that what is below is evaluated once for each level.
+        return F.element_at(F.transform(F.array(deeper(left, right)), lambda d: F.struct((equal + d["common"]).alias("common"), (2 * equal + d["all"]).alias("all"))), 1)
+
+    def of_blocks(left: Column, right: Column) -> Column:
+        a, b = F.array_distinct(blocks_of(left)), F.array_distinct(blocks_of(right))
+        return F.struct(F.size(F.array_intersect(a, b)).alias("common"), (F.size(a) + F.size(b)).alias("all"))
+
+    def of_paragraphs(left: Column, right: Column) -> Column:
+        pair = F.array(F.struct(paragraphs_of(left).alias("a"), paragraphs_of(right).alias("b")))
+        return F.element_at(F.transform(pair, lambda p: within(p, of_blocks)), 1)
+
+    found = F.element_at(F.transform(F.array(tops), lambda p: within(p, of_paragraphs)), 1)
+    share = F.element_at(F.transform(F.array(found), lambda f: F.when(f["all"] == 0, F.lit(0.0)).otherwise(2.0 * f["common"] / f["all"])), 1)
+    return F.when(F.substring(one, 1, 64) == F.substring(other, 1, 64), F.lit(1.0)).otherwise(share)
 
 
 def differing_paragraphs(old: Column, new: Column) -> Column:
     """Paragraph hashes of ``new`` that stand in sections which ``old`` lacks, and that ``old`` itself lacks."""
-    sections = lambda print_: F.split(F.element_at(F.split(print_, r"\|"), 2), ";")
-    paragraphs = lambda kept: F.flatten(F.transform(kept, lambda s: F.transform(F.split(F.element_at(F.split(s, ":"), 2), ","), lambda p: F.substring(p, 1, 16))))
-    changed = F.array_except(sections(new), sections(old))
-    return F.array_except(paragraphs(changed), paragraphs(sections(old)))
+    hashes = lambda sections: F.transform(paragraphs_of(sections), lambda p: F.substring(p, 1, 32))
+    return F.array_except(hashes(F.array_except(sections_of(new), sections_of(old))), hashes(sections_of(old)))
 
 
 def _cell(key: Column, bounds: list[int]) -> Column:
@@ -114,30 +151,42 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     made = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    made = made.withColumn("edited_fingerprint", fingerprint(F.col("edited"))).withColumn("own", blocks_of(F.col("fingerprint")))
+    made = made.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     return made.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), F.col("own")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint"), F.col("own")).alias("near_next"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
 
 def _duck_print(text: str) -> str:
     return f"""(SELECT sha256(list_aggregate(list_transform(s, lambda x: md5(x)), 'string_agg', '')) || '|' || list_aggregate(list_transform(s, lambda x: md5(x)[1:16] || ':' || x), 'string_agg', ';')
-  FROM (SELECT string_split(regexp_replace(list_aggregate(list_transform(string_split({text}, chr(10)),
-    lambda p: md5(p)[1:16] || coalesce(list_aggregate(list_transform(regexp_extract_all(p, '{BLOCK}'), lambda b: '.' || md5(b)[1:12]), 'string_agg', ''), '') || CASE WHEN md5(p)[1] < '4' THEN ';' ELSE ',' END),
+  FROM (SELECT string_split(regexp_replace(list_aggregate(list_transform(list_transform(string_split({text}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{BLOCK}'), lambda b: md5(b))),
+    lambda p: md5(coalesce(array_to_string(p, ''), '')) || coalesce(list_aggregate(list_transform(p, lambda b: '.' || b[1:12]), 'string_agg', ''), '')
+      || CASE WHEN md5(coalesce(array_to_string(p, ''), ''))[1] < '4' THEN ';' ELSE ',' END),
     'string_agg', ''), '[,;]$', ''), ';') AS s))"""
 
 
-_NEAR = """CASE WHEN fingerprint[1:64] = {o}[1:64] THEN 1.0 WHEN len({a}) + len({b}) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END::DOUBLE"""
-_BLOCKS = "list_distinct(regexp_extract_all({}, '\\.[0-9a-f]{{12}}'))"
+#: The oracle keeps nodes as rows of one table (side, level, hash, blocks below) and counts common subtrees from the top down.
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
 e AS (SELECT doc_id, n, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS nxt FROM d),
 f AS (SELECT doc_id, n, text, nxt, substring(text, 1, n - n // 2) || substring(nxt, 1, n // 2) AS edited FROM e),
-g AS (SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_duck_print("text")} AS fingerprint, {_duck_print("edited")} AS edited_fingerprint, {_duck_print("nxt")} AS next_fingerprint FROM f)
-SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-  {_NEAR.format(o="edited_fingerprint", a=_BLOCKS.format("fingerprint"), b=_BLOCKS.format("edited_fingerprint"))} AS near_edited,
-  {_NEAR.format(o="next_fingerprint", a=_BLOCKS.format("fingerprint"), b=_BLOCKS.format("next_fingerprint"))} AS near_next
-FROM g
+g AS (SELECT doc_id, n::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {_duck_print("text")} AS fingerprint, {_duck_print("edited")} AS edited_fingerprint, {_duck_print("nxt")} AS next_fingerprint FROM f),
+pairs AS (SELECT doc_id, 'e' AS other, fingerprint AS a, edited_fingerprint AS b FROM g UNION ALL SELECT doc_id, 'n', fingerprint, next_fingerprint FROM g),
+s AS (SELECT DISTINCT doc_id, other, 'a' AS side, unnest(string_split(a[66:], ';')) AS section FROM pairs UNION SELECT doc_id, other, 'b', unnest(string_split(b[66:], ';')) FROM pairs),
+sc AS (SELECT doc_id, other, section, count(*) AS sides, min(side) AS side FROM s GROUP BY ALL),
+s_same AS (SELECT doc_id, other, sum(len(regexp_extract_all(section, '\\.[0-9a-f]{{12}}'))) AS same FROM sc WHERE sides = 2 GROUP BY ALL),
+p AS (SELECT DISTINCT doc_id, other, side, unnest(string_split(section[18:], ',')) AS paragraph FROM sc WHERE sides = 1),
+pc AS (SELECT doc_id, other, paragraph, count(*) AS sides, min(side) AS side FROM p GROUP BY ALL),
+p_same AS (SELECT doc_id, other, sum(len(regexp_extract_all(paragraph, '\\.[0-9a-f]{{12}}'))) AS same FROM pc WHERE sides = 2 GROUP BY ALL),
+b AS (SELECT DISTINCT doc_id, other, side, unnest(regexp_extract_all(paragraph, '\\.[0-9a-f]{{12}}')) AS block FROM pc WHERE sides = 1),
+bc AS (SELECT doc_id, other, block, count(*) AS sides FROM b GROUP BY ALL),
+b_same AS (SELECT doc_id, other, sum(sides) AS n_all, sum(CASE WHEN sides = 2 THEN 1 ELSE 0 END) AS same FROM bc GROUP BY ALL),
+near AS (SELECT pairs.doc_id, pairs.other, CASE WHEN a[1:64] = b[1:64] THEN 1.0
+    WHEN 2 * coalesce(s_same.same, 0) + 2 * coalesce(p_same.same, 0) + coalesce(b_same.n_all, 0) = 0 THEN 0.0
+    ELSE 2.0::DOUBLE * (coalesce(s_same.same, 0) + coalesce(p_same.same, 0) + coalesce(b_same.same, 0)) / (2 * coalesce(s_same.same, 0) + 2 * coalesce(p_same.same, 0) + coalesce(b_same.n_all, 0)) END::DOUBLE AS near
+  FROM pairs LEFT JOIN s_same USING (doc_id, other) LEFT JOIN p_same USING (doc_id, other) LEFT JOIN b_same USING (doc_id, other))
+SELECT g.*  EXCLUDE (next_fingerprint), e.near AS near_edited, n.near AS near_next
+FROM g JOIN near e ON e.doc_id = g.doc_id AND e.other = 'e' JOIN near n ON n.doc_id = g.doc_id AND n.other = 'n'
 """
