@@ -66,26 +66,52 @@ def layout_of(schema: T.StructType) -> str:
     return max(held, key=lambda name: (len(LAYOUTS[name][0]), name))
 
 
-def canonical_turns(rows: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """Rows of any known layout as conv_id, turn, role, text.
-
-    Null role and text become empty; turns whose text is missing from an instruction or prompt
-    record are left out; other columns are not read. An empty table gives no rows.
-    """
-    name = layout_of(rows.schema)
+def _turns_of(name: str) -> Column:
+    """The turns of a row in a layout, as array<struct<turn, role, text>>."""
     empty = F.lit("")
+    made = lambda turn, role, text: F.struct(turn.cast("long").alias("turn"), role.cast("string").alias("role"), text.cast("string").alias("text"))
     if name == "turn rows":
-        return rows.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role"), empty).alias("role"), F.coalesce(F.col("text"), empty).alias("text"))
+        return F.array(made(F.col("turn"), F.coalesce("role", empty), F.coalesce("text", empty)))
     mapping = LAYOUTS[name][1]
     roles = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
     if "[]" in mapping[0][1]:
         array, role = mapping[0][0].split("[].")
         text = mapping[0][1].split("[].")[1]
-        turns = F.transform(F.col(array), lambda m: F.struct(F.coalesce(roles[m[role]], m[role], empty).alias("role"), F.coalesce(m[text], empty).alias("text")))
-    else:
-        made = F.array(*(F.struct(F.lit(role).alias("role"), F.col(path).cast("string").alias("text")) for role, path in mapping))
-        turns = F.filter(made, lambda m: m["text"].isNotNull() & ((m["text"] != "") | (m["role"] == LEARNED_ROLE)))
-    return rows.select(F.col(conversation).alias("conv_id"), F.posexplode(turns).alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.text")
+        return F.transform(F.col(array), lambda m, i: made(i, F.coalesce(roles[m[role]], m[role], empty), F.coalesce(m[text], empty)))
+    parts = F.array(*(F.struct(F.lit(role).alias("role"), F.col(path).cast("string").alias("text")) for role, path in mapping))
+    told = F.filter(parts, lambda m: m["text"].isNotNull() & ((m["text"] != "") | (m["role"] == LEARNED_ROLE)))
+    return F.transform(told, lambda m, i: made(i, m["role"], m["text"]))
+
+
+def canonical_turns(rows: DataFrame, conversation: str = "conv_id") -> DataFrame:
+    """Rows of any known layouts as conv_id, turn, role, text; one table may hold several layouts.
+
+    A row's layout is that of the fingerprint of its own fields that are not null. Where these as a
+    whole are no layout it is the widest that they contain, and where they contain none the table's.
+    Null role and text become empty; turns whose text is missing from an instruction or prompt
+    record are left out; other columns are not read. An empty table gives no rows.
+    """
+    paths = set(field_paths(rows.schema))
+    table = layout_of(rows.schema)
+    held = [name for name, (own, _) in LAYOUTS.items() if set(own) <= paths]
+    if held == ["turn rows"]:
+        return rows.select(F.col(conversation).alias("conv_id"), F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    known = sorted({p for own, _ in LAYOUTS.values() for p in own} & paths)
+    field = lambda path: F.col("`" + path.split("[]")[0].split(".")[0] + "`")
+    present = F.array_compact(F.array(*(F.when(field(p).isNotNull(), F.lit(p)) for p in known)))
+    # The id column alone does not tell layouts apart and is often null where the rest is not.
+    print_ = F.md5(F.array_join(F.array_sort(F.array_distinct(F.concat(present, F.array(F.lit("conv_id")) if "conv_id" in known else F.array().cast("array<string>")))), "\n"))
+    exact = {fingerprint([*LAYOUTS[name][0], *(["conv_id"] if "conv_id" in known else [])]): name for name in held}
+    choice = F.when(F.lit(False), _turns_of(table))
+    for mark, name in exact.items():
+        choice = choice.when(print_ == mark, _turns_of(name))
+    for name in sorted(held, key=lambda name: (-len(LAYOUTS[name][0]), name)):
+        whole = F.lit(True)
+        for path in set(LAYOUTS[name][0]) - {"conv_id"}:
+            whole = whole & field(path).isNotNull()
+        choice = choice.when(whole, _turns_of(name))
+    turns = choice.otherwise(_turns_of(table))
+    return rows.select(F.col(conversation).alias("conv_id"), F.explode(turns).alias("m")).select("conv_id", "m.turn", "m.role", "m.text")
 
 
 _MARKS = "|".join(f"(?<={re.escape(c[0])})(?={re.escape(c[1:])})" for c in CONTROL)

@@ -114,11 +114,16 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats
 
 
 def draw_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; rows taken 0 times go, all columns stay."""
+    """``docs`` with each row as often as the mix takes it; rows taken 0 times go, all columns stay.
+
+    Null texts have no words and go; a null doc_id is drawn like any other, and rows that share a
+    doc_id as often as the one taken most; an empty table gives no rows.
+    """
     plan = mix_sources(docs, weights, max_repeats, seed).filter("taken > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("__id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__times"))
-    drawn = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns))
+    plan = plan.groupBy(F.col("doc_id").alias("id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whatever the columns are called
+    drawn = rows.filter(word_count(F.col("row.text")) > 0).join(plan.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return drawn.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).select("row.*")
 
 
 ORACLE = r"""

@@ -29,8 +29,9 @@ from massloom.session import Scratch
 
 TOKENS = 128
 LEAF_ROWS = 1000
-DEPTH = 2
+DEPTH = 6
 BRANCHES = 3  # selected tokens per node
+SHINGLES = 16_000_000  # of unpacked sets that a task holds
 DEVIATIONS = 4.5  # how far below the threshold, in standard deviations, a signature may be
 
 
@@ -178,6 +179,25 @@ def _unpack(packed: bytes, width: int) -> np.ndarray:
     return shingle_set(zstandard.ZstdDecompressor().decompress(packed).decode(), width)
 
 
+class _Sets:
+    """Sets of packed texts, of which those used last stay unpacked while they have ``SHINGLES`` shingles or fewer together."""
+
+    def __init__(self, packed: list[bytes], width: int):
+        self._packed, self._width = packed, width
+        self._held: dict[int, np.ndarray] = {}
+        self._size = 0
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        found = self._held.pop(i, None)
+        if found is None:
+            found = _unpack(self._packed[i], self._width)
+            self._size += len(found)
+        self._held[i] = found
+        while self._size > SHINGLES and len(self._held) > 2:
+            self._size -= len(self._held.pop(next(iter(self._held))))
+        return found
+
+
 def _confirmed_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
 
@@ -207,19 +227,15 @@ def _confirmed_groups(groups: DataFrame, texts: DataFrame, width: int, similarit
             ids, components = table.column("id").to_pylist(), table.column("component").to_pylist()
             sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), TOKENS)
             packed = table.column("packed").to_pylist()
-            sets: list[np.ndarray | None] = [None] * len(ids)
+            sets = _Sets(packed, width)
             forest, links = _Forest(components), []
             for i in range(len(ids) - 1):
                 match = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
                 close = np.flatnonzero(match >= least)
                 for j in close[np.argsort(-match[close], kind="stable")] + i + 1:
-                    if forest.top(i) != forest.top(int(j)):
-                        for k in (i, j):
-                            if sets[k] is None:
-                                sets[k] = _unpack(packed[k], width)
-                        if _similar(sets[i], sets[j], percent):
-                            forest.join(i, int(j))
-                            links.append((ids[i], ids[j]))
+                    if forest.top(i) != forest.top(int(j)) and _similar(sets[i], sets[j], percent):
+                        forest.join(i, int(j))
+                        links.append((ids[i], ids[j]))
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -281,7 +297,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
     rows, leaves = known_nodes(root.select("node", "id"), components, "level-1"), []
     for level in range(1, DEPTH):
         leaves.append(rows.filter(F.col("n") <= LEAF_ROWS).select("node", "id", "component"))
-        large = rows.filter(F.col("n") > LEAF_ROWS).join(members.select("id", "tokens"), "id").select("node", "id", "tokens")
+        large = rows.filter(F.col("n") > LEAF_ROWS)
+        if large.isEmpty():
+            break
+        large = large.join(members.select("id", "tokens"), "id").select("node", "id", "tokens")
         rows = known_nodes(_branch(large, level, trees), components, f"level-{level + 1}")
     leaves.append(rows.filter(F.col("n") <= LEAF_ROWS).select("node", "id", "component"))
     leaves.append(_blocks(rows.filter(F.col("n") > LEAF_ROWS)))
@@ -310,7 +329,7 @@ def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Nodes that stay large, as pairs of blocks: every two members meet in one, and none is larger than two blocks."""
+    """Nodes that stay large at the last level, as pairs of blocks: every two members meet in one, and none is larger than two blocks."""
     blocks = F.ceil(F.col("n") / LEAF_ROWS).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -319,6 +338,11 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99999) -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest doc_id; all columns stay."""
-    gone = near_duplicates(docs, width, similarity, recall).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """``docs`` with one document of each component, that with the smallest doc_id; all columns stay.
+
+    Rows without text, words or doc_id stay; rows that repeat a doc_id stay or go together; an
+    empty table gives no rows.
+    """
+    gone = near_duplicates(docs, width, similarity, recall).filter("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whatever the columns are called
+    return rows.join(gone.hint("merge"), F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")

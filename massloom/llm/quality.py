@@ -8,15 +8,16 @@ these ratios; its margins are turned into probabilities on rows the fit has not
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BITS = 17
 SAMPLE_ROWS = 6_000
@@ -24,16 +25,20 @@ THRESHOLD = 0.3
 
 
 class Indicators:
-    """Distinct hashed features of a text: its 2- to 4-grams of UTF-8 bytes, and
-    word bigrams of one word twice, as indicators of 1, 2, 4, 8 ... such in the text.
+    """Distinct hashed features of a text: its 2- to 4-grams of UTF-8 bytes, its words, its pairs of
+    neighbouring words, and, as one pair whatever the word, 1, 2, 4, 8 ... pairs of a word twice.
 
-    A text is read in blocks that overlap by one n-gram, so memory does not grow with its length.
+    Bytes are read in blocks that overlap by one n-gram, so beside the words of one text memory does
+    not grow with its length.
     """
 
     def __init__(self, bits: int = BITS, block: int = 1 << 16):
         self.size, self.bits, self.block = 1 << bits, bits, block
         self._seen = np.zeros(self.size, bool)
 
+    def _slots(self, code: np.ndarray, kind: int) -> np.ndarray:
+        return ((code * np.uint32(0x9E3779B1) + np.uint32(kind * 0x3F4A7C15 & 0xFFFFFFFF)) ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - self.bits)
+
     def __call__(self, text: str | bytes | None) -> np.ndarray:
         whole = text if isinstance(text, bytes) else (text or "").encode()
         data = np.frombuffer(whole, np.uint8)
@@ -44,10 +49,13 @@ class Indicators:
                 if len(part) < n:
                     break
                 code = (code[: len(part) - n + 1] << np.uint32(8)) ^ part[n - 1 :]
-                slot = ((code * np.uint32(0x9E3779B1) + np.uint32(n * 0x3F4A7C15)) ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - self.bits)
-                self._seen[slot] = True
+                self._seen[self._slots(code, n)] = True
         words = whole.split()
-        self._seen[: sum(map(eq, words, words[1:])).bit_length()] = True
+        codes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        self._seen[self._slots(codes, 5)] = True
+        self._seen[self._slots(codes[:-1] * np.uint32(0x2545F491) ^ codes[1:], 6)] = True
+        doubled = int((codes[1:] == codes[:-1]).sum()).bit_length()
+        self._seen[self._slots(np.arange(doubled, dtype=np.uint32), 7)] = True
         found = np.flatnonzero(self._seen)
         self._seen[found] = False
         return found.astype(np.int32)
@@ -161,18 +169,18 @@ class QualityModel:
         return 1 / (1 + math.exp(-min(max(z, -30), 30)))
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (all columns) with a column ``score``; every row gets one, empty and null texts too."""
+        """(row, score) of ``docs``: each row as a struct and its score; every row gets one, empty and null texts too."""
         model = self
-        at = docs.columns.index("text")
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        rows = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features = Indicators(model.bits)
             for batch in batches:
-                scores = [model.probability(features(text.as_py())) for text in batch.column(at)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "__score"])
+                scores = [model.probability(features(text.as_py())) for text in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__score double"])
-        return docs.mapInArrow(run, schema)
+        return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: int = 5, bits: int = BITS, sample_rows: int = SAMPLE_ROWS, cost: float = 1.0, epochs: int = 30, seed: int = 7) -> QualityModel:
@@ -225,17 +233,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", held
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: int = 5, threshold: float = THRESHOLD, **fit: object) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of ``docs``."""
+    """doc_id, held_out, score and predicted of every row of ``docs``.
+
+    Null and empty texts have no indicators and all get one score; a null doc_id has held_out null;
+    rows that repeat a doc_id are each scored; an empty table gives no rows, and empty labels the
+    score 0.5; other columns are not read.
+    """
     scored = fit_quality(docs, labels, held_out=held_out, **fit).score(docs.select("doc_id", "text"))
     return scored.select(
-        "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % held_out == 0).alias("held_out"),
-        F.col("__score").alias("score"),
-        (F.col("__score") >= threshold).cast("int").alias("predicted"),
+        "row.doc_id",
+        (F.crc32(F.col("row.doc_id").cast("string")) % held_out == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fit: object) -> DataFrame:
-    """``docs`` without the rows whose score is below ``threshold``; all columns stay."""
+    """``docs`` without the rows whose score is below ``threshold``; all columns stay. Awkward rows are as in ``quality_scores``."""
     model = fit_quality(docs, labels, **fit)
-    return model.score(docs).filter(F.col("__score") >= threshold).drop("__score")
+    return model.score(docs).filter(F.col("score") >= threshold).select("row.*")

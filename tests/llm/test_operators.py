@@ -537,3 +537,145 @@ def test_null_ids(spark):
     assert len(packing.pack_documents(df).collect()) == 3
     assert len(mixing.mix_sources(df).collect()) == 3
     assert len(fingerprint.fingerprint_with_edits(df).collect()) == 3
+
+
+def test_chat_layouts_of_single_rows(spark):
+    """One table whose rows have different layouts, null fields for the others."""
+    schema = "conv_id long, prompt string, response string, system string, instruction string, output string, input string, messages array<struct<role: string, content: string>>, turn string, other int"
+    rows = [
+        (1, "q", "a", None, None, None, None, None, "x", 1), (2, None, None, None, "do", "done", None, None, None, None), (3, None, None, None, "do", "done", "it", None, None, None),
+        (4, None, None, None, None, None, None, [("human", "q"), ("gpt", "a"), ("user", None)], None, 2), (5, "q", "a", "be", None, None, None, None, None, None), (None, "q", "", None, None, None, None, None, None, None),
+        (6, "q", "a", None, "do", "done", "it", None, None, None), (7, None, None, None, None, None, None, None, None, 3), (8, None, None, None, None, None, None, [], None, None),
+    ]
+    found = defaultdict(list)
+    for r in chat.canonical_turns(spark.createDataFrame(rows, schema)).orderBy("conv_id", "turn").collect():
+        found[r["conv_id"]].append((r["turn"], r["role"], r["text"]))
+    u, a = "user", "assistant"
+    assert found == {
+        1: [(0, u, "q"), (1, a, "a")], 2: [(0, u, "do"), (1, a, "done")], 3: [(0, u, "do"), (1, u, "it"), (2, a, "done")], 4: [(0, u, "q"), (1, a, "a"), (2, u, "")],
+        5: [(0, "system", "be"), (1, u, "q"), (2, a, "a")], None: [(0, u, "q"), (1, a, "")], 6: [(0, u, "do"), (1, u, "it"), (2, a, "done")],
+    }
+    assert chat.read_back(chat.format_turns(chat.canonical_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).collect() == []
+
+
+def test_quality_by_plain_versions(spark):
+    """Log-count ratios against counting by hand, and dual coordinate descent against its dense definition and its optimality conditions."""
+    rng = random.Random(3)
+    texts = {i: words(rng, rng.randint(0, 12)) for i in range(60)}
+    labels = {i: int(i % 2) for i in range(50)}
+    docs = spark.createDataFrame([*texts.items(), (None, "nobody"), (51, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y) for i, y in labels.items()] + [(None, 1), (52, None), (53, 7)], "doc_id long, quality int")
+    known = quality.training_labels(marks, "quality", 5)
+    counts, n = quality.count_features(quality._packed(docs, 5).join(known, "id"), 12)
+    features, plain, rows = quality.Indicators(12), np.zeros((2, 1 << 12)), [0, 0]
+    for i, y in labels.items():
+        if zlib.crc32(str(i).encode()) % 5:
+            plain[y, features(texts[i])] += 1
+            rows[y] += 1
+    assert (counts == plain).all() and n.tolist() == rows
+    draw = np.random.default_rng(1)
+    dense = (draw.random((40, 30)) < 0.3).astype(float)
+    scale, factor, cost = draw.normal(size=30), draw.random(40) + 0.5, draw.random(40) + 0.2
+    y = np.where(dense @ scale + draw.normal(size=40) > 0, 1.0, -1.0)
+    weights, bias = quality.dual_coordinate_descent([np.flatnonzero(r) for r in dense], scale, factor, y, cost, 3000)
+    x = np.hstack([dense * scale * factor[:, None], np.ones((40, 1))])
+    w, alpha = np.zeros(31), np.zeros(40)
+    for _ in range(3000):
+        for i in range(40):
+            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / (x[i] @ x[i]), 0), cost[i])
+            w += (new - alpha[i]) * y[i] * x[i]
+            alpha[i] = new
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    dual = alpha.sum() - 0.5 * w @ w
+    assert loss(w) - dual < 1e-6
+    assert loss(np.append(weights, bias)) == pytest.approx(dual, rel=1e-3)
+
+
+def test_awkward_rows(spark):
+    """Null and repeated ids, repeated rows, very long texts and clashing columns, in every operator; values of the caller's columns stay."""
+    rng = random.Random(10)
+    long = words(rng, 60_000)
+    rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (1, "another text of that id here", "s"), (None, None, None), (None, "no id but words", None), (2, long, "t"), (3, long, "t"), (4, "", "t")]
+    clashes = ["__nth", "__id", "__times", "__score", "__gone", "row", "id", "times", "nth", "score", "raw", "mark", "k", "at", "spans", "packed", "next_text", "own"]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, serial int")
+    df = df.select("*", *((F.col("serial") * 10 + j).alias(c) for j, c in enumerate(clashes))).repartition(3)
+    same = lambda out: all(r[c] == r["serial"] * 10 + j for r in out for j, c in enumerate(clashes)) and all((r["doc_id"], r["text"]) == rows[r["serial"]][:2] for r in out)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    n = len(rows)
+    assert exact.exact_groups(df).count() == neardup.near_duplicates(df).count() == repeats.remove_repeats(df).count() == secrets.find_secrets(df).count() == n
+    assert fingerprint.fingerprint_with_edits(df).count() == mixing.mix_sources(df).count() == quality.quality_scores(df, labels).count() == n
+    kept = exact.drop_exact_copies(df).collect()
+    assert same(kept) and sorted(map(str, {(r["doc_id"], r["text"]) for r in kept})) == sorted(map(str, [(1, rows[0][1]), (1, rows[2][1]), (None, rows[4][1]), (2, long), (4, "")]))
+    for out in (neardup.drop_near_duplicates(df).collect(), mixing.draw_mix(df).collect(), quality.drop_rejected(df, labels).collect()):
+        assert out and same(out)
+    assert [r["n_removed"] for r in repeats.repeat_digests(repeats.remove_repeats(df)).collect() if r["doc_id"] == 3] == [len(long.encode())]
+    pieces = packing.pack_documents(df, 1024).collect()
+    assert sum(r["start"] == 0 for r in pieces) == n and len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
+
+
+def test_pipeline(spark, tmp_path):
+    """The whole run on a small fixture, each stage held against plain Python on what the stage before it kept."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    good, texts, source = lambda: words(rng, rng.randint(30, 80)), {}, {}
+    for i in range(300):
+        kind = rng.random()
+        if kind < 0.2 and texts:
+            texts[i] = texts[rng.choice(list(texts))]
+        elif kind < 0.4 and texts:
+            w = texts[rng.choice(list(texts))].split(" ")
+            w[rng.randrange(len(w))] = "changed"
+            texts[i] = " ".join(w)
+        elif kind < 0.6:
+            texts[i] = " ".join(w.upper() + "!!" for w in good().split())
+        else:
+            texts[i] = good()
+        source[i] = rng.choice(["a", "b", "c", None])
+    bad = {i for i, t in texts.items() if "!!" in t}
+    df = spark.createDataFrame([(i, t, "en", source[i], len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i not in bad), 0) for i in texts if i % 3], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = df, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == df.columns
+        rows = [(r["doc_id"], r["text"]) for r in out.collect()]
+        docs = spark.createDataFrame([(i, t, "en", source[i], len(t)) for i, t in rows], df.schema)
+        kept.append([i for i, _ in rows])
+    judged, exact_kept, near_kept, drawn = kept
+    wrong = set(judged) ^ (set(texts) - bad)
+    assert len(judged) == len(set(judged)) and len(wrong) <= 6
+    least = {}
+    for i in sorted(judged):
+        least.setdefault(texts[i], i)
+    assert sorted(exact_kept) == sorted(least.values())
+    expected = expected_near({i: texts[i] for i in exact_kept}, 5)
+    assert sorted(near_kept) == sorted(i for i, (_, c) in expected.items() if c == i)
+    sizes = {i: len(texts[i].split()) for i in near_kept}
+    totals = defaultdict(int)
+    for i in near_kept:
+        totals[source[i]] += sizes[i]
+    order = sorted(totals, key=lambda s: (s is None, s or ""))
+    target = {s: sum(totals.values()) * (k % 3 + 1) / sum(j % 3 + 1 for j in range(len(order))) for k, s in enumerate(order)}
+    assert all(target[s] <= 3 * totals[s] for s in order)  # nothing is reshared here
+    queue = []
+    for s in order:
+        at = 0
+        for i in sorted((i for i in near_kept if source[i] == s), key=lambda i: hashlib.md5(f"{i}:mix".encode()).hexdigest()):
+            at += sizes[i]
+            queue += [((totals[s] * r + at) / target[s], hashlib.md5(f"{i}:mix".encode()).hexdigest(), i) for r in range(3)]
+    times, so_far = defaultdict(int), 0
+    for _, _, i in sorted(queue):
+        so_far += sizes[i]
+        if so_far > sum(totals.values()):
+            break
+        times[i] += 1
+    assert {i: drawn.count(i) for i in set(drawn)} == dict(times)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in pieces if r["piece"] == 0) == sorted(drawn)
+    ends = defaultdict(int)
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 1024
