@@ -62,13 +62,17 @@ def log_intensity(intensity: Column, error: Column, tolerance: float) -> Column:
     return F.log10(intensity) * (1 - F.pow(F.abs(error) / tolerance, F.lit(4.0)))
 
 
-def log_factorial(n: Column, plain: int = 170) -> Column:
-    """ln n!, as a sum of logs up to ``plain`` factors and by Stirling's series, to double precision, above."""
-    factors = F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(plain)).cast("int"), F.lit(1)))
-    x = F.floor(n).cast("double")
+def log_factorial(n: Column) -> Column:
+    """ln n! for n of 0 or more, to double precision: Stirling's series eight further on, less the logs between."""
+    whole = F.floor(n).cast("double")
+    x = whole + 9
     y = 1 / (x * x)
-    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + (1 / 12 - y * (1 / 360 - y / 1260)) / x
-    return F.when(n > plain, series).otherwise(F.aggregate(factors, F.lit(0.0), lambda total, i: total + F.log(i.cast("double"))))
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+    between = whole + 1
+    for j in range(2, 9):
+        between = between * (whole + j)
+    # A product of eight factors stays far below the largest double for any n that is a count.
+    return series - F.log(between)
 
 
 def hyperscore(n_forward: Column, n_backward: Column, forward_signal: Column, backward_signal: Column) -> Column:
@@ -78,11 +82,21 @@ def hyperscore(n_forward: Column, n_backward: Column, forward_signal: Column, ba
 
 
 def binomial_tail(n: Column, k: Column, p: Column, inclusive: bool = False) -> Column:
-    """Sum over i from k to n - 1 (n if ``inclusive``) of C(n, i) p^i (1-p)^(n-i), in logs."""
+    """Sum over i from k to n - 1 (n if ``inclusive``) of C(n, i) p^i (1-p)^(n-i).
+
+    The first term comes from log factorials, each further one from the one before, in logs.
+    """
     last = n if inclusive else n - 1
-    choose = lambda i: log_factorial(n) - log_factorial(i) - log_factorial(n - i)
-    term = lambda i: F.exp(choose(i) + i * F.log(p) + (n - i) * F.log1p(-p))
-    return F.when(k > last, F.lit(0.0)).otherwise(F.aggregate(F.sequence(k.cast("int"), last.cast("int")), F.lit(0.0), lambda total, i: total + term(i)))
+    odds = F.log(p) - F.log1p(-p)
+    first = log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * F.log(p) + (n - k) * F.log1p(-p)
+    start = F.struct(first.cast("double").alias("term"), F.exp(first).cast("double").alias("total"))
+
+    def further(state: Column, i: Column) -> Column:
+        term = state["term"] + F.log((n - i + 1) / i) + odds
+        return F.struct(term.cast("double").alias("term"), (state["total"] + F.exp(term)).cast("double").alias("total"))
+
+    rest = F.when(k < last, F.sequence(k.cast("int") + 1, last.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(k > last, F.lit(0.0)).otherwise(F.aggregate(rest, start, further, lambda s: s["total"]))
 
 
 def kl_terms(observed: Column, expected: Column) -> Column:
