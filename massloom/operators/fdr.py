@@ -6,7 +6,7 @@ Scores are counted before anything is ordered, and the order over distinct score
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.operators.ordered import running
@@ -34,12 +34,55 @@ def q_values(df: DataFrame, score: str, is_decoy: Column, target_weight: float =
 
 
 def grouped_q_values(df: DataFrame, score: str, is_decoy: Column, keys: list[str], target_weight: float = 1.0, correction: float = 0.0) -> DataFrame:
-    """As ``q_values`` inside each group; groups are the unit of work."""
-    counts = score_counts(df, score, is_decoy, keys)
-    down = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rates = counts.withColumn("targets", F.sum("targets_here").over(down)).withColumn("decoys", F.sum("decoys_here").over(down)).withColumn("fdr", _rate(target_weight, correction))
-    up = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    return rates.select(*keys, "score", "targets", "decoys", "fdr", F.min("fdr").over(up).alias("q_value"))
+    """As ``q_values`` inside each group; groups run in cells too, so one may hold most rows."""
+    scratch = Scratch(df.sparkSession, "rates")
+    counts = scratch.keep(score_counts(df, score, is_decoy, keys), "counts")
+    counts = running(counts, "score", {"targets": ("sum", "targets_here"), "decoys": ("sum", "decoys_here")}, descending=True, within=keys)
+    rates = scratch.keep(counts.select(*keys, "score", "targets", "decoys", _rate(target_weight, correction).alias("fdr")), "rates")
+    return running(rates, "score", {"q_value": ("min", "fdr")}, within=keys)
+
+
+def expected_false(targets: Column, decoys: Column, ratio: float = 1.0) -> Column:
+    """The expected number of false ones among ``targets`` where ``decoys`` were seen; the target space is ``ratio`` times the decoy space.
+
+    A negative binomial cut at the number of targets. Its terms come from one another; beyond forty
+    standard deviations above the mean they add nothing that a double holds, so no more are made.
+    """
+    p = 1.0 / (1.0 + ratio)
+    mean = (decoys + 1) * (p / (1 - p))
+    last = F.least(targets.cast("double"), F.ceil(mean + 40 * F.sqrt(mean / (1 - p)) + 100)).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"), F.lit(0.0).alias("weighted"))
+
+    def further(state: Column, m: Column) -> Column:
+        term = state["term"] * (p * (m + decoys) / m)
+        total, weighted = state["sum"] + term, state["weighted"] + term * m
+        scale = F.when(total > 1e200, F.lit(1e-200)).otherwise(F.lit(1.0))
+        return F.struct((term * scale).cast("double").alias("term"), (total * scale).cast("double").alias("sum"), (weighted * scale).cast("double").alias("weighted"))
+
+    terms = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(terms, start, further, lambda s: s["weighted"] / s["sum"])
+
+
+def separated_pep(decoy: Column, target: Column, prior: float) -> Column:
+    """Error probability from separately fitted densities; ``prior`` is the number of decoys over that of targets."""
+    return prior * decoy / (prior * decoy + (1 - prior) * target)
+
+
+def component_pep(prior_part: Column, own: Column) -> Column:
+    """Error probability where decoys are one part of the target mixture: its weighted density over that of all parts."""
+    return prior_part / (prior_part + own)
+
+
+def product_pep(prior: float, decoys: list[Column], targets: list[Column]) -> Column:
+    """Error probability from the product of likelihoods of several scores."""
+    bad, good = F.lit(prior), F.lit(1 - prior)
+    for d, t in zip(decoys, targets, strict=True):
+        bad, good = bad * d, good * t
+    return bad / (bad + good)
+
+
+def retain_by_q(df: DataFrame, q_value: str, threshold: float) -> DataFrame:
+    return df.filter(F.col(q_value) < threshold)
 
 
 def pep_to_fdr(df: DataFrame, score: str, pep: str) -> DataFrame:

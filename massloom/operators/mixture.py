@@ -123,3 +123,42 @@ def k_means(x: np.ndarray, n: np.ndarray, k: int, rounds: int = 100) -> np.ndarr
             break
         centres = new
     return np.sort(centres)
+
+
+def truncated_density(mixture: GaussianMixture, x: Column) -> Column:
+    """A Gaussian mixture cut at zero, each component scaled to what lies above."""
+    out = F.lit(0.0)
+    for w, m, s in zip(mixture.weights, mixture.means, mixture.deviations, strict=True):
+        above = 0.5 * math.erfc(-float(m) / (float(s) * math.sqrt(2)))
+        out = out + F.exp(-F.pow((x - float(m)) / float(s), F.lit(2.0)) / 2) * float(w / (s * math.sqrt(2 * math.pi)) / above)
+    return F.when(x >= 0, out).otherwise(F.lit(0.0))
+
+
+def given_gaussians(weights: list[float], means: list[float], deviations: list[float]) -> GaussianMixture:
+    """A mixture of known components."""
+    return GaussianMixture(np.array(weights), np.array(means), np.array(deviations), 0.0, 0.0)
+
+
+def fit_with_prior(x: np.ndarray, n: np.ndarray, prior: np.ndarray, components: int, rounds: int = 200) -> tuple[GaussianMixture, float]:
+    """Gaussians beside one fixed component, whose density at ``x`` is ``prior``: the Gaussians with their weights, and the weight of the fixed one."""
+    start = fit_gaussians(x, n, components)
+    weights, means, deviations = np.append(start.weights / 2, 0.5), start.means.copy(), start.deviations.copy()
+    for _ in range(rounds):
+        parts = np.exp(-(((x[:, None] - means) / deviations) ** 2) / 2) / (deviations * math.sqrt(2 * math.pi))
+        parts = weights * np.hstack([parts, prior[:, None]]) + 1e-300
+        share = parts / parts.sum(axis=1)[:, None] * n[:, None]
+        mass = share.sum(axis=0) + 1e-12
+        new = (share[:, :-1] * x[:, None]).sum(axis=0) / mass[:-1]
+        deviations = np.sqrt(np.maximum((share[:, :-1] * (x[:, None] - new) ** 2).sum(axis=0) / mass[:-1], 1e-6))
+        weights = mass / mass.sum()
+        if np.allclose(new, means, rtol=1e-9, atol=1e-12):
+            break
+        means = new
+    return GaussianMixture(weights[:-1], means, deviations, 0.0, 0.0), float(weights[-1])
+
+
+def responsibilities(mixture: GaussianMixture, x: Column) -> Column:
+    """Each component's share of the density, as an array."""
+    parts = [F.exp(-F.pow((x - float(m)) / float(s), F.lit(2.0)) / 2) * float(w / (s * math.sqrt(2 * math.pi))) for w, m, s in zip(mixture.weights, mixture.means, mixture.deviations, strict=True)]
+    total = sum(parts, F.lit(0.0))
+    return F.array(*(p / total for p in parts))

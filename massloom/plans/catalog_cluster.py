@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from massloom.operators import cluster, features
+from massloom.operators import cluster, features, ordered
 from massloom.plans.inputs import EVENTS_SQL, days, events, registrar
 from massloom.session import table
 
@@ -149,7 +149,8 @@ def mass_bounds(spark, d):
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05 FROM lineitem GROUP BY 1")
 def percentile_threshold(spark, d):
     """Exact percentiles: values are counted per group before they meet."""
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.9), 4).alias("p90"), F.round(F.percentile("l_extendedprice", 0.05), 4).alias("p05"))
+    found = ordered.exact_percentiles(table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice", [0.9, 0.05])
+    return found.select("l_returnflag", F.round("p0", 4).alias("p90"), F.round("p1", 4).alias("p05"))
 
 
 @query("""SELECT k, e.event_id % 7 AS ion, round(sum(value), 4) AS trace FROM (SELECT *, (epoch_us(ts) // 86400000000)::BIGINT AS k FROM events) e JOIN (VALUES (10.0), (20.0), (50.0)) v(mz) ON abs(value - mz) <= 0.5 GROUP BY ALL""")
