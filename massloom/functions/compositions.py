@@ -78,3 +78,18 @@ def linearised(composition: Column) -> Column:
 def mass(composition: Column, masses: dict[str, float], base: float = 0.0) -> Column:
     table = F.create_map(*(F.lit(x) for pair in masses.items() for x in pair))
     return F.aggregate(F.map_entries(composition), F.lit(base), lambda t, e: t + e["value"] * F.coalesce(F.element_at(table, e["key"]), F.lit(0.0)))
+
+
+def parse_formula(text: Column) -> Column:
+    """Hex5HexNAc4 as a map; a residue without a number counts once, repeated ones add up."""
+    names, counts = (F.regexp_extract_all(text, F.lit(r"([A-Z][A-Za-z@]*?[A-Za-z])(\d+)"), F.lit(i)) for i in (1, 2))
+    listed = F.zip_with(names, counts, lambda n, c: F.struct(n.alias("n"), c.cast("int").alias("c")))
+    keys = F.array_distinct(names)
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.aggregate(F.filter(listed, lambda e: e["n"] == k), F.lit(0), lambda t, e: t + e["c"])))
+
+
+def internal_size(composition: Column, terminal: tuple[str, ...] = ("Neu5Ac", "Neu5Gc"), side: tuple[str, ...] = ("Fuc", "dHex")) -> Column:
+    """Residues that are not terminal, less one where there is more than one side group."""
+    total = F.aggregate(F.map_values(composition), F.lit(0), lambda t, v: t + v)
+    sides = sum((count(composition, s) for s in side), F.lit(0))
+    return total - sum((count(composition, s) for s in terminal), F.lit(0)) - F.when(sides > 1, 1).otherwise(0)

@@ -64,3 +64,19 @@ def wrapped(text: Column, width: int) -> Column:
 
 def safe_filename(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_.\-]+", "_"), r"^_+|_+$", "")
+
+
+def elapsed(seconds: Column) -> Column:
+    """Seconds as text: 1 h 02 m 03.50 s, without leading parts that are zero."""
+    hours, minutes = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60)
+    rest = seconds % 60
+    return (
+        F.when(hours > 0, F.format_string("%d h %02d m %05.2f s", hours, minutes, rest))
+        .when(minutes > 0, F.format_string("%d m %05.2f s", minutes, rest))
+        .otherwise(F.format_string("%.2f s", rest))
+    )
+
+
+def has_keyword(keywords: Column, keyword: str = "Glycoprotein") -> Column:
+    """Whether a record's keywords name it; a record without keywords does not."""
+    return F.coalesce(F.array_contains(keywords, keyword), F.lit(False))

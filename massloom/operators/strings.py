@@ -18,3 +18,9 @@ def with_prefix(words: DataFrame, prefixes: DataFrame, word: str, prefix: str) -
     """Pairs whose ``word`` begins with ``prefix``: an equi-join on the prefixes of each word."""
     every = words.withColumn(prefix, F.explode(F.transform(F.sequence(F.lit(1), F.length(word)), lambda n: F.substring(F.col(word), F.lit(1), n))))
     return every.join(prefixes, prefix)
+
+
+def with_suffix(words: DataFrame, suffixes: DataFrame, word: str, suffix: str) -> DataFrame:
+    """Pairs whose ``word`` ends with ``suffix``: an equi-join on the suffixes of each word."""
+    every = words.withColumn(suffix, F.explode(F.transform(F.sequence(F.lit(1), F.length(word)), lambda n: F.right(F.col(word), n))))
+    return every.join(suffixes, suffix)
