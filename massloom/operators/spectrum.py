@@ -209,3 +209,8 @@ def combined(parts: list[DataFrame], total: Column, name: str = "score") -> Data
     """(scan, structure) with all columns of the parts and their combination; a missing part counts 0."""
     rows = reduce(lambda a, b: a.join(b, PAIR, "left"), parts)
     return rows.na.fill(0.0).withColumn(name, total)
+
+
+def without_weak_peaks(spectra: DataFrame, threshold: float, peaks: str = "peaks") -> DataFrame:
+    """Spectra whose ``peaks``, an array of structs with an intensity, keep only what lies over ``threshold``."""
+    return spectra.withColumn(peaks, F.filter(peaks, lambda p: p["intensity"] > threshold))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.functions import compositions, sequences
@@ -50,3 +50,14 @@ def write_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def write_analysis(df: DataFrame, path: str, analysis: str) -> None:
     """Rows of one analysis as a partition of their own, which a later write of the same analysis replaces."""
     df.withColumn("analysis_id", F.lit(analysis)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("analysis_id").parquet(path)
+
+
+def drop_analysis(spark: SparkSession, path: str, analysis: str) -> None:
+    """Remove one analysis, which is a partition of its own."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/analysis_id={analysis}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_training_spectra(matches: DataFrame, path: str, q_value: str, most: float) -> None:
+    """Spectra of matches that are good enough, as text."""
+    write_spectra(matches.filter(F.col(q_value) <= most), path)
