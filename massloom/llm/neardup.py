@@ -29,7 +29,7 @@ from massloom.session import Scratch
 
 TOKENS = 128
 LEAF_ROWS = 1000
-DEPTH = 6
+DEPTH = 2
 BRANCHES = 3  # selected tokens per node
 SHINGLES = 16_000_000  # of unpacked sets that a task holds
 DEVIATIONS = 4.5  # how far below the threshold, in standard deviations, a signature may be
