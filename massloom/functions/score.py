@@ -67,7 +67,7 @@ def log_factorial(n: Column) -> Column:
     whole = F.floor(n).cast("double")
     x = whole + 9
     y = 1 / (x * x)
-    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y / 1680))) / x
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / x
     between = whole + 1
     for j in range(2, 9):
         between = between * (whole + j)
