@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.session import shuffle_width
+from massloom.operators import ordered
+from massloom.session import Scratch, shuffle_width
 
 
 def gap_split(df: DataFrame, keys: list[str], at: str, gap: float, ties: list[str] | None = None, name: str = "piece") -> DataFrame:
@@ -33,19 +34,33 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, gap: f
     return marked.groupBy(*keys, "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("members"), *(aggregates or []))
 
 
-def smooth_overlaps(df: DataFrame, mass: str, start: str, end: str, tolerance: float, cell: float, ident: str) -> DataFrame:
-    """Merge neighbours by mass that are within tolerance and overlap in time.
+def smooth_overlaps(df: DataFrame, mass: str, start: str, end: str, tolerance: float, ident: str) -> DataFrame:
+    """Features merged, in the order of mass, into the one before while that is within tolerance and overlaps in time.
 
-    Chains are found inside cells of mass that end at gaps wider than the tolerance, so a cell's
-    rows never merge with another's; ``cell`` is the coarse width that spreads the work.
+    A merged feature has the mean mass of its members and their whole span, which the next one is
+    held against. Where the step in mass is over the tolerance nothing can merge, so the rows between
+    such steps are a piece that is gone through by itself; pieces are numbered over all rows in cells.
+    Returns mass, start, end and members.
     """
-    rows = df.withColumn("__cell", F.floor(F.col(mass) / cell))
-    order = Window.partitionBy("__cell").orderBy(mass, start, ident)
-    before = lambda c: F.lag(c).over(order)
-    joined = ((F.col(mass) - before(mass)) <= tolerance * F.col(mass)) & (before(start) <= F.col(end)) & (F.col(start) <= before(end))
-    rows = rows.withColumn("__new", 1 - F.coalesce(joined, F.lit(False)).cast("int"))
-    rows = rows.withColumn("chain", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("__cell", "chain").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.avg(mass).alias("mass"), F.count("*").alias("members")).drop("__cell", "chain")
+    scratch = Scratch(df.sparkSession, "smooth")
+    rows = df.select(F.col(ident).alias("id"), F.col(mass).cast("double").alias("m"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"))
+    marked = ordered.previous(scratch.keep(rows, "rows"), "m", ["s", "id"], "before")
+    marked = marked.withColumn("new", F.coalesce((F.col("m") - F.col("before") > tolerance * F.col("m")).cast("int"), F.lit(1)))
+    pieces = ordered.running(scratch.keep(marked, "marked"), "m", {"piece": ("sum", "new")}, ties=["s", "id"])
+    lists = pieces.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("m", "s", "e", "id"))).alias("l"))
+    feature = lambda m, s, e, n: F.struct(m.alias("m"), s.alias("s"), e.alias("e"), n.alias("n"))
+    state = lambda done, last: F.struct(done.alias("done"), last.alias("last"))
+    first = feature(F.col("l")[0]["m"], F.col("l")[0]["s"], F.col("l")[0]["e"], F.lit(1).cast("long"))
+    none = F.slice(F.array(first), 1, 0)
+
+    def step(held: Column, r: Column) -> Column:
+        last = held["last"]
+        merges = (F.abs(last["m"] - r["m"]) / r["m"] <= tolerance) & (last["s"] <= r["e"]) & (r["s"] <= last["e"])
+        merged = feature((last["m"] * last["n"] + r["m"]) / (last["n"] + 1), F.least(last["s"], r["s"]), F.greatest(last["e"], r["e"]), last["n"] + 1)
+        return F.when(merges, state(held["done"], merged)).otherwise(state(F.array_append(held["done"], last), feature(r["m"], r["s"], r["e"], F.lit(1).cast("long"))))
+
+    folded = F.aggregate(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))), state(none, first), step, lambda h: F.array_append(h["done"], h["last"]))
+    return lists.select(F.explode(folded).alias("f")).select(F.col("f.m").alias("mass"), F.col("f.s").alias("start"), F.col("f.e").alias("end"), F.col("f.n").alias("members"))
 
 
 def greedy_mass_clusters(df: DataFrame, keys: list[str], mass: str, intensity: str, ident: str, tolerance: float) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from massloom.session import Scratch
@@ -40,25 +43,66 @@ def belongingness(edges: DataFrame, members: DataFrame) -> DataFrame:
     return sums.join(sizes, "neighbourhood").select("node", "neighbourhood", (F.col("weight") / F.col("size")).alias("belongingness"))
 
 
+def contracted(edges: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Edges (a, b) of longs with the same components, as stars of what each task holds: every id points at the smallest it reaches there.
+
+    A task contracts up to ``most`` edges at a time, so its memory is bounded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+        held = 0
+
+        def top(i: int) -> int:
+            while (j := up.setdefault(i, i)) != i:
+                up[i] = i = up.setdefault(j, j)
+            return i
+
+        def stars() -> pa.RecordBatch:
+            pairs = [(i, top(i)) for i in list(up)]
+            pairs = [p for p in pairs if p[0] != p[1]]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(x), top(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            held += batch.num_rows
+            if held >= most:
+                yield stars()
+                up.clear()
+                held = 0
+        yield stars()
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) by alternating large and small stars; a component is its smallest id."""
+    """(id, component) by alternating large and small stars; a component is its smallest id.
+
+    Edges are contracted in each task first. Rounds end when the table stays the same, which a count
+    and a checksum tell that are taken as it is written.
+    """
     scratch = Scratch(edges.sparkSession, "components")
-    # a > b from here on
-    now = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    nodes = scratch.keep(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct(), "nodes")
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def kept(rows: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        out = scratch.keep(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), name)
+        return out, (seen.get["n"], seen.get["sum"])
 
-    seen = state(now)
+    # a > b from here on
+    ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now, seen = kept(contracted(ordered).distinct(), "edges")
+    # Ids that only have an edge to themselves, or none to another, are components of their own.
+    nodes = scratch.keep(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).filter("id IS NOT NULL").distinct(), "nodes")
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = scratch.keep(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        new = scratch.keep(small.filter("a <> b").distinct(), "edges")
-        reached = state(new)
+        new, reached = kept(small.filter("a <> b").distinct(), "edges")
         scratch.drop(now, large)
         now = new
         if reached == seen:

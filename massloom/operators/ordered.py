@@ -65,6 +65,18 @@ def running(df: DataFrame, key: str, values: dict[str, tuple[str, str]], descend
     return out.drop("__cell", "__its_cell", *(f"__of_{g}" for g in groups), *(f"__{new}" for new in values))
 
 
+def previous(df: DataFrame, key: str, ties: list[str], name: str, cells: int | None = None) -> DataFrame:
+    """``df`` with ``name``, the key of the row before in the order of ``key`` and ``ties`` over all rows; null for the first. Rows without a key go."""
+    rows = df.filter(F.col(key).isNotNull())
+    bounds = quantile_bounds(rows, key, cells or 4 * shuffle_width(df.sparkSession))
+    rows = rows.withColumn("__cell", cell_of(F.col(key).cast("double"), bounds))
+    edges = rows.groupBy("__cell").agg(F.max(key).alias("__last"))
+    edges = edges.select(F.col("__cell").alias("__of"), F.lag("__last").over(Window.orderBy("__cell")).alias("__ahead"))  # one row per cell
+    within = Window.partitionBy("__cell").orderBy(key, *ties)
+    out = rows.withColumn("__own", F.lag(key).over(within)).join(edges, F.col("__cell") == F.col("__of"))
+    return out.withColumn(name, F.coalesce("__own", "__ahead")).drop("__cell", "__of", "__own", "__ahead")
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """keys and p0, p1 ...: the percentiles of each key, between neighbours in proportion.
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def gaussian_shape(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """centre, sigma and points of each key; null where fewer than three points or no peak.
+    """centre, sigma and points of each key; both null where there are fewer than three points, or no peak that they determine.
+
+    That is where the determinant of the normal equations is a thousandth or less of the product of
+    its diagonal, or the curvature of the logarithm is not below -0.001.
 
     Points weigh by their squared value, which is what a fit of the values themselves would do near
     the top. Times are taken relative to each key's weighted mean, so that sums stay small.
@@ -23,5 +26,5 @@ def gaussian_shape(df: DataFrame, keys: list[str], at: str, value: str) -> DataF
     b = F.expr("s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2)")
     c = F.expr("s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2)")
     s = s.withColumn("__b", F.try_divide(b, det)).withColumn("__c", F.try_divide(c, det))
-    peak = (F.col("points") >= 3) & (F.col("__c") < 0)
+    peak = (F.col("points") >= 3) & (det > 1e-3 * F.col("s0") * F.col("s2") * F.col("s4")) & (F.col("__c") < -1e-3)
     return s.select(*keys, F.when(peak, F.col("__mid") - F.col("__b") / (2 * F.col("__c"))).alias("centre"), F.when(peak, F.sqrt(-1 / (2 * F.col("__c")))).alias("sigma"), "points")

@@ -24,18 +24,12 @@ def _sequences(spark, d):
 @query("""WITH r AS (SELECT l_orderkey AS k, l_extendedprice / 10000 AS x, l_quantity AS v FROM lineitem), m AS (SELECT k, sum(x * v) / sum(v) AS mid FROM r GROUP BY 1),
 c AS (SELECT r.k, r.x - m.mid AS x, ln(v) AS y, v * v AS w, mid FROM r JOIN m ON r.k = m.k),
 s AS (SELECT k, any_value(mid) AS mid, count(*) AS points, sum(w) s0, sum(w * x) s1, sum(w * x * x) s2, sum(w * pow(x, 3)) s3, sum(w * pow(x, 4)) s4, sum(w * y) t0, sum(w * y * x) t1, sum(w * y * x * x) t2 FROM c GROUP BY 1),
-f AS (SELECT k, mid, points, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det, s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2) AS b,
+f AS (SELECT k, mid, points, s0 * s2 * s4 AS size, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS det, s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2) AS b,
   s0 * (s2 * t2 - t1 * s3) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s3 - s2 * s2) AS c FROM s)
-SELECT k, points, round(mid - (b / det) / (2 * (c / det)), 2) AS centre FROM f WHERE points >= 5 AND abs(det) > 1e6 AND c / det < -0.1""")
+SELECT k, points, CASE WHEN points >= 3 AND det > 1e-3 * size AND c < -1e-3 * det THEN round(mid - b / (2 * c), 2) END AS centre FROM f""")
 def gaussian_shapes(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_extendedprice") / 10000).alias("x"), F.col("l_quantity").alias("v"))
-    fits = shapes.gaussian_shape(rows, ["k"], "x", "v")
-    # The oracle leaves out nearly singular fits, whose value hangs on rounding.
-    middle = rows.groupBy("k").agg((F.sum(F.col("x") * F.col("v")) / F.sum("v")).alias("mid"))
-    x, w = F.col("x") - F.col("mid"), F.col("v") * F.col("v")
-    s = rows.join(middle, "k").groupBy("k").agg(*(F.sum(w * F.pow(x, F.lit(float(p)))).alias(f"s{p}") for p in range(5)))
-    sound = s.filter("abs(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2)) > 1e6").select("k")
-    return fits.filter("points >= 5 AND 1 / (2 * sigma * sigma) > 0.1").join(sound, "k", "left_semi").select("k", "points", F.round("centre", 2).alias("centre"))
+    return shapes.gaussian_shape(rows, ["k"], "x", "v").select("k", "points", F.round("centre", 2).alias("centre"))
 
 
 @query("""WITH p AS (SELECT DISTINCT o_custkey AS scan, o_totalprice AS m FROM orders), e AS (SELECT a.scan, a.m AS lo, b.m AS hi, s.name FROM p a JOIN p b ON a.scan = b.scan, (VALUES ('x', 5000.0), ('y', 12000.0)) s(name, step) WHERE abs(b.m - (a.m + step)) <= 150)
@@ -161,16 +155,19 @@ def shell_query(spark, d):
     return Shell(spark, d, ["lineitem"]).select("l_suppkey, count(DISTINCT l_partkey) AS parts, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(*) >= 5")
 
 
-@query("""WITH o AS (SELECT o_custkey % 20 AS k, o_orderkey AS id, o_totalprice / 100 AS m, epoch_us(o_orderdate) / 86400000000 AS s, epoch_us(o_orderdate) / 86400000000 + 60 AS e FROM orders),
-c AS (SELECT *, floor(m / 100) AS cell FROM o), w AS (SELECT *, CASE WHEN m - lag(m) OVER x <= 1e-4 * m AND lag(s) OVER x <= e AND s <= lag(e) OVER x THEN 0 ELSE 1 END AS new FROM c WINDOW x AS (PARTITION BY cell ORDER BY m, s, id)),
-g AS (SELECT *, sum(new) OVER (PARTITION BY cell ORDER BY m, s, id ROWS UNBOUNDED PRECEDING) AS chain FROM w) SELECT min(s) AS start, max(e) AS "end", round(avg(m) + 1e-7, 4) AS mass, count(*) AS members FROM g GROUP BY cell, chain""")
+@query("""WITH RECURSIVE r AS (SELECT o_orderkey AS id, o_totalprice / 100 AS m, epoch_us(o_orderdate) / 86400000000 AS s, epoch_us(o_orderdate) / 86400000000 + 60 AS e FROM orders),
+w AS (SELECT *, CASE WHEN m - lag(m) OVER (ORDER BY m, s, id) <= 1e-4 * m THEN 0 ELSE 1 END AS new FROM r), p AS (SELECT *, sum(new) OVER (ORDER BY m, s, id ROWS UNBOUNDED PRECEDING) AS piece FROM w),
+q AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY m, s, id) AS n FROM p),
+f AS (SELECT piece, n, 1 AS chain, m, s, e, 1 AS c FROM q WHERE n = 1 UNION ALL
+  SELECT q.piece, q.n, CASE WHEN x THEN chain ELSE chain + 1 END, CASE WHEN x THEN (f.m * c + q.m) / (c + 1) ELSE q.m END, CASE WHEN x THEN least(f.s, q.s) ELSE q.s END, CASE WHEN x THEN greatest(f.e, q.e) ELSE q.e END, CASE WHEN x THEN c + 1 ELSE 1 END
+  FROM (SELECT f.*, abs(f.m - q.m) / q.m <= 1e-4 AND f.s <= q.e AND q.s <= f.e AS x FROM f JOIN q ON q.piece = f.piece AND q.n = f.n + 1) f JOIN q ON q.piece = f.piece AND q.n = f.n + 1)
+SELECT round(m, 6) AS mass, s AS start, e AS "end", c::BIGINT AS members FROM (SELECT *, row_number() OVER (PARTITION BY piece, chain ORDER BY n DESC) AS z FROM f) WHERE z = 1""")
 def smoothed_overlaps(spark, d):
     """Neighbours by mass that overlap in time become one feature."""
     from massloom.plans.inputs import days
 
     rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("m"), days("o_orderdate")).withColumn("e", F.col("day") + 60)
-    out = cluster.smooth_overlaps(rows, "m", "day", "e", 1e-4, 100.0, "o_orderkey")
-    return out.withColumn("mass", F.round(F.col("mass") + 1e-7, 4))
+    return cluster.smooth_overlaps(rows, "m", "day", "e", 1e-4, "o_orderkey").withColumn("mass", F.round("mass", 6))
 
 
 @query("""WITH m AS (SELECT user_id, event_type, max(value) AS v, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT *, first_value(event_type) OVER (PARTITION BY user_id ORDER BY v DESC, event_type) AS best, first_value(n) OVER (PARTITION BY user_id ORDER BY v DESC, event_type) AS best_n FROM m)

@@ -24,6 +24,18 @@ def window_totals(stream: DataFrame, at: str, width: str, slide: str, late: str)
     return stream.withWatermark(at, late).groupBy(F.window(at, width, slide)).agg(F.sum("value").alias("total"), F.max("value").alias("base_peak"), F.count("*").alias("points"))
 
 
+def with_closing_rows(stream: DataFrame, *times: str) -> DataFrame:
+    """``stream`` (with a column ``at``) and, one in each batch, rows of these times whose other columns are null, so that what waits for the watermark is emitted."""
+    spark = stream.sparkSession
+    scratch = Scratch(spark, "closing")
+    folder = scratch.path("rows")
+    for time in times:
+        rest = [F.lit(None).cast(t).alias(c) for c, t in stream.dtypes if c != "at"]
+        spark.range(1).select(F.lit(time).cast("timestamp").alias("at"), *rest).select(*stream.columns).coalesce(1).write.mode("append").parquet(folder)
+    closing = spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return stream.unionByName(closing)
+
+
 def run_to_end(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """All that is there now, through a file sink with its own checkpoint, as a table."""
     spark = stream.sparkSession

@@ -153,3 +153,23 @@ def test_empty_spectra(spark):
     assert spectrum.match_fragments(peaks, fragments).collect() == []
     row = spark.createDataFrame([([],), ([5.0],), ([1.0, 2.0],), ([1.0, 2.0, 3.0, 4.0, 5.0],)], "v array<double>").select(*(m.alias(f"m{i}") for i, m in enumerate(spectrum.medians(F.col("v"))))).collect()
     assert [tuple(r) for r in row] == [(0, 0, 0, 0), (5, 0, 0, 0), (1.5, 2, 0, 0), (3, 4.5, 5, 0)]
+
+
+def test_overlaps_merge_across_any_border_and_by_the_grown_span(spark):
+    from massloom.operators import cluster
+
+    rows = [(1, 99.999, 0.0, 10.0), (2, 100.001, 5.0, 12.0), (3, 100.004, 11.0, 20.0), (4, 100.005, 30.0, 40.0), (5, 250.0, 0.0, 1.0), (6, None, 0.0, 1.0)]
+    out = cluster.smooth_overlaps(spark.createDataFrame(rows, "id int, m double, s double, e double"), "m", "s", "e", 1e-4, "id").collect()
+    assert sorted((round(r["mass"], 5), r["start"], r["end"], r["members"]) for r in out) == [(round((99.999 + 100.001 + 100.004) / 3, 5), 0.0, 20.0, 3), (100.005, 30.0, 40.0, 1), (250.0, 0.0, 1.0, 1)]
+
+
+def test_components_of_chains_rings_and_loners(spark):
+    from massloom.operators import graph
+
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(1000, 1400)] + [(5, 9), (9, 7), (7, 5), (3, 3), (20, 21), (22, 21)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    found = {r["id"]: r["component"] for r in graph.components(df).collect()}
+    assert found == {**{i: 1000 for i in range(1000, 1401)}, 5: 5, 9: 5, 7: 5, 3: 3, 20: 20, 21: 20, 22: 20}
+    assert graph.components(df.limit(0)).collect() == []
