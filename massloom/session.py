@@ -35,10 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests in local mode) a new folder is made and set.
+    Only a local session that names none gets a new folder; on a cluster that is an error, as
+    executors and driver share no local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="massloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -49,16 +52,33 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_ROOTS: dict[str, list[str]] = {}  # of each application, the folders that it has made
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove all intermediate tables that this application has made so far; returns how many folders.
+
+    To be called when results that read them have been written or are no longer wanted.
+    """
+    roots = _ROOTS.pop(spark.sparkContext.applicationId, [])
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(roots)
+
+
 class Scratch:
     """Intermediate tables in the shared folder.
 
     ``keep`` writes a DataFrame and reads it back, so that later plans neither recompute it nor
-    depend on any executor; ``drop`` removes tables that no result still reads.
+    depend on any executor; ``drop`` removes tables that no result still reads, and
+    ``clear_scratch`` all that an application has left.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
         self._count = 0
 
     def path(self, name: str) -> str:

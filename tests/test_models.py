@@ -173,3 +173,15 @@ def test_components_of_chains_rings_and_loners(spark):
     found = {r["id"]: r["component"] for r in graph.components(df).collect()}
     assert found == {**{i: 1000 for i in range(1000, 1401)}, 5: 5, 9: 5, 7: 5, 3: 3, 20: 20, 21: 20, 22: 20}
     assert graph.components(df.limit(0)).collect() == []
+
+
+def test_scratch_is_cleared(spark):
+    from pathlib import Path
+
+    from massloom.session import Scratch, clear_scratch
+
+    scratch = Scratch(spark, "cleared")
+    scratch.keep(spark.range(3), "rows")
+    assert Path(scratch.root.removeprefix("file:")).exists()
+    assert clear_scratch(spark) >= 1 and not Path(scratch.root.removeprefix("file:")).exists()
+    assert clear_scratch(spark) == 0
