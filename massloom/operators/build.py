@@ -15,24 +15,6 @@ from massloom.functions import sequences
 from massloom.session import Scratch
 
 
-def multisets(df: DataFrame, ident: str, value: str, largest: int) -> DataFrame:
-    """Multisets of 1 to ``largest`` members: members (sorted ids), size, total.
-
-    Every row looks up the members behind it in blocks of rank, so each step is an equi-join; the
-    result has as many rows as there are multisets, which ``largest`` must keep in bounds.
-    """
-    blocks = 64
-    spread = df.select(F.col(ident).alias("id"), F.col(value).cast("double").alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    grown = spread.select(F.array("id").alias("members"), F.col("id").alias("last"), F.col("v").alias("total"))
-    parts = [grown]
-    for _ in range(largest - 1):
-        asked = grown.withColumn("block", F.explode(F.array(*map(F.lit, range(blocks)))))
-        grown = asked.join(spread, "block").filter("id >= last")
-        grown = grown.select(F.array_append("members", F.col("id")).alias("members"), F.col("id").alias("last"), (F.col("total") + F.col("v")).alias("total"))
-        parts.append(grown)
-    return reduce(DataFrame.union, parts).select("members", F.size("members").alias("size"), "total")
-
-
 def combination_tables(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Multisets as two tables: (combination, size, total), and (combination, member, count) with repeated members counted."""
     named = sets.withColumn("combination", F.array_join(F.col("members").cast("array<string>"), "+"))

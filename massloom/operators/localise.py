@@ -25,15 +25,11 @@ def depth_scores(matches: DataFrame, theoretical: DataFrame, width: float = 100.
     ``matches`` holds scan, structure, fragment and the peak's depth, ``theoretical`` the number of
     fragments of each structure as n.
     """
-    counts = matches.groupBy(*PAIR).agg(*(F.sum((F.col("depth") <= i).cast("int")).alias(f"k{i}") for i in range(1, 11))).join(theoretical, "structure")
-
-    def at(i: int) -> Column:
-        n, k = F.col("n"), F.least(F.col(f"k{i}"), F.col("n"))
-        chance = score.binomial_tail(n, k, F.lit(i / width), inclusive=True)
-        return F.when(k == 0, F.lit(0.0)).otherwise(-10 * F.log10(F.greatest(chance, F.lit(1e-300))))
-
-    rows = F.array(*(F.struct(F.lit(i).alias("depth"), at(i).alias("score")) for i in range(1, 11)))
-    return counts.select(*PAIR, F.explode(rows).alias("d")).select(*PAIR, "d.depth", "d.score")
+    sums = matches.groupBy(*PAIR).agg(*(F.sum((F.col("depth") <= i).cast("int")).alias(f"k{i}") for i in range(1, 11))).join(theoretical, "structure")
+    rows = F.array(*(F.struct(F.lit(i).alias("depth"), F.least(F.col(f"k{i}"), F.col("n")).cast("int").alias("k")) for i in range(1, 11)))
+    counts = sums.select(*PAIR, F.col("n").cast("int").alias("n"), F.explode(rows).alias("d")).select(*PAIR, "n", "d.depth", "d.k")
+    chance = score.binomial_tail(F.col("n"), F.col("k"), F.col("depth") / width, inclusive=True)
+    return counts.select(*PAIR, "depth", F.when(F.col("k") == 0, F.lit(0.0)).otherwise(-10 * F.log10(F.greatest(chance, F.lit(1e-300)))).alias("score"))
 
 
 def weighted_scores(scores: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from massloom.functions import compositions as comp
 from massloom.functions import sequences as seq
-from massloom.operators import build, rangejoin, strings
+from massloom.operators import build, rangejoin, space, strings
 from massloom.plans.inputs import registrar
 from massloom.session import table
 
@@ -17,7 +17,7 @@ _SETS = """(SELECT s_suppkey::VARCHAR AS combination, 1 AS size, s_acctbal AS to
 
 
 def _sets(spark, d):
-    return build.multisets(table(spark, d, "supplier"), "s_suppkey", "s_acctbal", 2)
+    return space.combinations_with_replacement(table(spark, d, "supplier"), "s_suppkey", "s_acctbal", 2)
 
 
 @query(f"SELECT combination, size, round(total, 2) AS total FROM {_SETS}")

@@ -56,14 +56,14 @@ def isotopic_scores(spark, d):
 _SUM = """WITH t AS (SELECT quantile_cont(l_quantity, 0.3) AS t FROM lineitem), p AS (SELECT row_number() OVER () AS id, l_extendedprice AS m, epoch_us(l_shipdate) / 86400000000 AS x, l_quantity AS i, l_orderkey * 10 + l_linenumber AS peak FROM lineitem, t WHERE l_quantity >= t),
 a AS (SELECT *, CASE WHEN m - lag(m) OVER w <= m * 2e-6 THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (ORDER BY m, x, peak)), b AS (SELECT *, sum(new) OVER (ORDER BY m, x, peak ROWS UNBOUNDED PRECEDING) AS trace FROM a),
 c AS (SELECT *, CASE WHEN x - lag(x) OVER w > 400 THEN 1 ELSE 0 END AS cut FROM b WINDOW w AS (PARTITION BY trace ORDER BY x, peak)), e AS (SELECT *, sum(cut) OVER (PARTITION BY trace ORDER BY x, peak ROWS UNBOUNDED PRECEDING) AS piece FROM c)
-SELECT round(sum(m * i) / sum(i), 4) AS mass, min(x) AS "start", max(x) AS "end", sum(i) AS signal, count(*) AS points FROM e GROUP BY trace, piece HAVING count(*) >= 2"""
+SELECT round(sum(m * i) / sum(i), 7) AS mass, min(x) AS "start", max(x) AS "end", sum(i) AS signal, count(*) AS points FROM e GROUP BY trace, piece HAVING count(*) >= 2"""
 
 
 @query(_SUM)
 def feature_summary(spark, d):
     """From peaks to features: threshold, traces of near masses, pieces between gaps."""
     peaks = table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("peak"), F.col("l_extendedprice").alias("mass"), days("l_shipdate").alias("time"), F.col("l_quantity").alias("intensity"))
-    return profile.summarise(peaks, 0.3, 2e-6, 400.0, 2).withColumn("mass", F.round("mass", 4))
+    return profile.summarise(peaks, 0.3, 2e-6, 400.0, 2).withColumn("mass", F.round("mass", 7))
 
 
 _FEAT = "(SELECT o_orderkey AS id, o_totalprice / 100 AS mass, o_totalprice AS signal FROM orders)"
@@ -79,22 +79,22 @@ def _accepted(spark, d):
     return profile.profile_search(features, compositions, [("Unmodified", 0.0), ("Ammonium", 17.0265)], 2e-5, score, -0.5)
 
 
-@query(_ACC + " SELECT id, shift, composition, round(score, 6) AS score FROM acc")
+@query(_ACC + " SELECT id, shift, composition, round(score, 4) AS score FROM acc")
 def profile_search(spark, d):
     """Features matched to compositions under mass shifts, scored and accepted."""
-    return _accepted(spark, d).select("id", "shift", "composition", F.round("score", 6).alias("score"))
+    return _accepted(spark, d).select("id", "shift", "composition", F.round("score", 4).alias("score"))
 
 
 @query(_ACC + """, o AS (SELECT composition, max(score) AS s FROM acc WHERE composition IS NOT NULL GROUP BY 1), n AS (SELECT p_partkey AS id, s AS observed, coalesce(s, 0) AS v FROM part LEFT JOIN o ON composition = p_partkey),
 e AS (SELECT p_partkey AS a, p_partkey + 1 AS b FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part) UNION ALL SELECT p_partkey + 1, p_partkey FROM part WHERE p_partkey + 1 IN (SELECT p_partkey FROM part)),
 x AS (SELECT n.id, ((observed IS NOT NULL)::INT * coalesce(observed, 0) + 0.5 * sum(m.v)) / ((observed IS NOT NULL)::INT + 0.5 * count(*)) AS smooth FROM n JOIN e ON e.a = n.id JOIN (SELECT id, v FROM n) m ON m.id = e.b GROUP BY n.id, observed)
-SELECT acc.id, composition, round(score + 0.5 * coalesce(smooth, 0), 6) AS smoothed FROM acc LEFT JOIN x ON x.id = composition""")
+SELECT acc.id, composition, round(score + 0.5 * coalesce(smooth, 0), 4) AS smoothed FROM acc LEFT JOIN x ON x.id = composition""")
 def smoothed_profile_search(spark, d):
     """The same with scores smoothed over a network of compositions."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
     edges = part.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1.0).alias("weight")).join(part.select(F.col("id").alias("b")), "b", "left_semi")
     out = profile.smoothed_search(_accepted(spark, d), part.withColumn("composition", F.col("id")), edges, 0.5, 1, 0.5)
-    return out.select("id", "composition", F.round("smoothed", 6).alias("smoothed"))
+    return out.select("id", "composition", F.round("smoothed", 4).alias("smoothed"))
 
 
 _DEC = _SQL + """, dm AS (SELECT f.structure, scan, p.mass, p.intensity FROM (SELECT structure, fragment_mass + 0.037 AS fm FROM frags) f JOIN peaks p ON abs(p.mass - fm) <= fm * 2e-5),
@@ -145,13 +145,16 @@ def utilisation_preserved(spark, d):
     return u.join(best, "scan").filter("utilisation >= 0.85 * best").select("scan", "structure")
 
 
-@query(_SQL + """, chosen AS (SELECT scan, min(structure) AS structure FROM pairs GROUP BY 1), all_ AS (SELECT DISTINCT l_orderkey AS scan FROM lineitem) SELECT p.scan, c.structure, round(sum(log10(intensity)), 4) AS score FROM (SELECT scan, structure FROM chosen) c JOIN (SELECT scan, structure, intensity FROM m) p ON p.structure = c.structure AND p.scan = c.scan + 1 WHERE NOT EXISTS (SELECT 1 FROM chosen x WHERE x.scan = p.scan AND x.structure = p.structure) GROUP BY ALL""")
+@query(_SQL + """, sc AS (SELECT scan, structure, sum(log10(intensity)) AS score FROM m GROUP BY ALL), chosen AS (SELECT scan, max(struct_pack(a := score, s := structure)).s AS structure FROM sc GROUP BY 1), near_by AS (SELECT DISTINCT c.scan // 4 AS run, structure FROM chosen c)
+SELECT sc.scan, structure, round(score, 4) AS score FROM sc JOIN near_by w USING (structure) WHERE w.run = sc.scan // 4 AND NOT EXISTS (SELECT 1 FROM chosen x WHERE x.scan = sc.scan AND x.structure = sc.structure)""")
 def back_filled_matches(spark, d):
-    """Matches that a neighbouring scan's chosen structure lacks, scored."""
-    m = _matches(spark, d)
-    chosen = m.groupBy("scan").agg(F.min("structure").alias("structure"))
-    wanted = chosen.select((F.col("scan") + 1).alias("scan"), "structure").join(chosen, ["scan", "structure"], "left_anti")
-    return m.join(wanted, ["scan", "structure"], "left_semi").groupBy("scan", "structure").agg(F.round(F.sum(F.log10("intensity")), 4).alias("score"))
+    """Structures chosen somewhere in a group of scans, scored in those where another was chosen."""
+    scored = _matches(spark, d).groupBy("scan", "structure").agg(F.sum(F.log10("intensity")).alias("score"))
+    chosen = scored.groupBy("scan").agg(F.max(F.struct("score", "structure")).alias("b")).select("scan", "b.structure")
+    run = F.floor(F.col("scan") / 4).alias("run")
+    wanted = chosen.select(run, "structure").distinct()
+    missing = scored.join(chosen, ["scan", "structure"], "left_anti").select("*", run)
+    return missing.join(wanted, ["run", "structure"], "left_semi").select("scan", "structure", F.round("score", 4).alias("score"))
 
 
 @query(_SQL + "SELECT structure, count(DISTINCT fragment) AS seen, (SELECT count(*) FROM frags f WHERE f.structure = m.structure AND f.series = 'Y') AS possible, round(count(DISTINCT fragment)::DOUBLE / (SELECT count(*) FROM frags f WHERE f.structure = m.structure AND f.series = 'Y'), 6) AS coverage FROM m WHERE series = 'Y' GROUP BY structure")

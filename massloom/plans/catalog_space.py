@@ -30,10 +30,10 @@ def bounded_product(spark, d):
     return rows.withColumn("mass", F.round(total, 4))
 
 
-@query("""WITH r AS (SELECT r_regionkey AS i, (r_regionkey + 1) * 10.0::DOUBLE AS m FROM region)
+@query("""WITH r AS (SELECT n_nationkey AS i, (n_nationkey + 1) * 10.0::DOUBLE AS m FROM nation)
 SELECT i::VARCHAR AS members, 1 AS size, m AS total FROM r UNION ALL SELECT a.i || ',' || b.i, 2, a.m + b.m FROM r a JOIN r b ON b.i >= a.i UNION ALL SELECT a.i || ',' || b.i || ',' || c.i, 3, a.m + b.m + c.m FROM r a JOIN r b ON b.i >= a.i JOIN r c ON c.i >= b.i""")
 def combinations(spark, d):
-    rows = table(spark, d, "region").select(F.col("r_regionkey").alias("i"), ((F.col("r_regionkey") + 1) * 10.0).alias("m"))
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), ((F.col("n_nationkey") + 1) * 10.0).alias("m"))
     return space.combinations_with_replacement(rows, "i", "m", 3).select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "size", "total")
 
 
