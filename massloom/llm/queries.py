@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from massloom.llm import chat, exact, fingerprint, mixing, neardup, packing, quality, repeats, secrets, warc
+from massloom.llm import chat, exact, fingerprint, infill, mixing, neardup, packing, pieces, quality, repeats, runs, secrets, warc
 from massloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,11 +55,23 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), max_repeats=3)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.find_runs(runs.plant_runs(table(spark, sf_dir, "documents")), least=24, times=3))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_digests(infill.fill_in_middle(table(spark, sf_dir, "documents"), fim_percent=90, spm_percent=20, seed=1))
+
+
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(pieces.decode_documents(pieces.encode_documents(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Query]:
     own = {name: function for name, function in globals().items() if name.startswith("op") and callable(function)}
     return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"op3_merkle_fingerprint": fingerprint.ORACLE, "op4_warc_assembly": warc.ORACLE, "op7_exact_dedup": exact.ORACLE, "op8_chat_format": chat.ORACLE, "op10_source_mix": mixing.ORACLE}
+    own = {"op3_merkle_fingerprint": fingerprint.ORACLE, "op4_warc_assembly": warc.ORACLE, "op7_exact_dedup": exact.ORACLE, "op8_chat_format": chat.ORACLE, "op10_source_mix": mixing.ORACLE, "op11_periodic_runs": runs.ORACLE, "op12_fill_in_middle": infill.ORACLE}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
