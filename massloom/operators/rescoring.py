@@ -3,43 +3,94 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.operators import fdr
 from massloom.session import Scratch
 
 
-def semi_supervised(df: DataFrame, features: list[str], is_decoy: str, start: str, rounds: int = 10, train_fdr: float = 0.01) -> DataFrame:
-    """``df`` with ``svm_score``: a linear support vector machine of decoys against the targets that pass ``train_fdr``.
+def _linear(weights: np.ndarray, x: list[Column]) -> Column:
+    """Weights times columns; the last weight is the intercept."""
+    total = F.lit(float(weights[-1]))
+    for w, c in zip(weights, x, strict=False):
+        total = total + c * float(w)
+    return total
+
+
+def fit_margin(df: DataFrame, features: list[str], label: str, cost: float = 1.0, steps: int = 30, tolerance: float = 1e-6) -> np.ndarray:
+    """Weights and intercept of the linear support vector machine with squared hinge loss, by Newton's method.
+
+    Minimises half the squared weights plus ``cost`` times the mean squared hinge; ``label`` is 1 or
+    -1. Each step sums the normal equations of the rows inside the margin and the losses of the
+    last step's halvings: a number of sums that grows with the features' square, not with the rows.
+    The intercept is not shrunk. Null features make a row void.
+    """
+    k = len(features)
+    x = [F.col(c).cast("double") for c in features]
+    y = F.col(label).cast("double")
+    rows = df.dropna(subset=[*features, label])
+    parts = [*x, F.lit(1.0)]
+    n = rows.count()
+    weights, direction = np.zeros(k + 1), np.zeros(k + 1)
+    shrink = np.diag([1.0] * k + [0.0])
+    halvings = [1.0, 0.5, 0.25, 0.125, 1 / 64]
+
+    def losses(options: list[np.ndarray]) -> list[Column]:
+        return [F.sum(F.pow(F.greatest(F.lit(0.0), 1 - y * _linear(w, x)), 2)) for w in options]
+
+    for _ in range(steps if n else 0):
+        margin = y * _linear(weights, x)
+        inside = (margin < 1).cast("double")
+        sums = [F.sum(inside * parts[i] * parts[j]) for i in range(k + 1) for j in range(i, k + 1)] + [F.sum(inside * y * p) for p in parts]
+        found = rows.agg(*sums).first()
+        gram, at = np.zeros((k + 1, k + 1)), 0
+        for i in range(k + 1):
+            for j in range(i, k + 1):
+                gram[i, j] = gram[j, i] = found[at]
+                at += 1
+        target = 2 * cost / n * np.array([found[at + i] for i in range(k + 1)])
+        hessian = shrink + 2 * cost / n * gram
+        new = np.linalg.lstsq(hessian, target, rcond=None)[0]
+        direction = new - weights
+        if np.abs(direction).max() <= tolerance * (1 + np.abs(weights).max()):
+            return new
+        tried = [weights + h * direction for h in halvings]
+        loss = np.array(rows.agg(*(c.alias(f"l{i}") for i, c in enumerate(losses(tried)))).first(), float)
+        value = np.array([w[:k] @ w[:k] / 2 for w in tried]) + cost / n * loss
+        weights = tried[int(np.argmin(value))]
+    return weights
+
+
+def semi_supervised(df: DataFrame, features: list[str], is_decoy: str, start: str, rounds: int = 10, train_fdr: float = 0.01, cost: float = 1.0) -> DataFrame:
+    """``df`` with ``svm_score``: the margin of a linear support vector machine of decoys against the targets that pass ``train_fdr``.
 
     The first targets are those that pass by ``start``; each round takes those that pass by the last
     model's margin, until their number no longer grows. Where fewer than ten pass, the score is
-    ``start``. Fitting runs on Spark's own learner.
+    ``start``. Features are standardised, and both classes weigh as their rows. A model is a handful
+    of numbers and its score a column; rows with a null feature have a null score once a model is
+    fitted.
     """
     scratch = Scratch(df.sparkSession, "rescoring")
-    vector = VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip").transform(df)
-    scaled = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(vector).transform(vector).drop("__raw")
-    rows = scratch.keep(scaled.withColumn("svm_score", F.col(start).cast("double")), "start")
-    passed = 0
+    moments = df.agg(*(f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("m", F.mean), ("s", F.stddev_samp)))).first()
+    names = [f"__x{i}" for i in range(len(features))]
+    scaled = {x: (F.col(c).cast("double") - (moments[f"m{i}"] or 0.0)) / (moments[f"s{i}"] or 1.0) for i, (x, c) in enumerate(zip(names, features, strict=True))}
+    rows = scratch.keep(df.withColumns(scaled).withColumn("svm_score", F.col(start).cast("double")), "start")
+    decoy, best, passed = F.col(is_decoy), None, 0
     for _ in range(rounds):
-        rates = fdr.q_values(rows, "svm_score", F.col(is_decoy))
+        scored = rows if best is None else rows.withColumn("svm_score", _linear(best, [F.col(x) for x in names]))
+        rates = fdr.q_values(scored.filter("svm_score IS NOT NULL"), "svm_score", decoy)
         least = rates.filter(F.col("q_value") <= train_fdr).agg(F.min("score")).first()[0]
         if least is None:
             break
-        train = rows.filter(F.col(is_decoy) | (F.col("svm_score") >= least)).withColumn("label", (~F.col(is_decoy)).cast("double"))
-        n = train.filter("label = 1").count()
+        train = scratch.keep(scored.filter(decoy | (F.col("svm_score") >= least)).select(*names, F.when(decoy, -1.0).otherwise(1.0).alias("__y")), "train")
+        n = train.filter("__y > 0").count()
         if n < 10 or n <= passed:
             break
-        passed = n
-        model = LinearSVC(featuresCol="__x", labelCol="label", rawPredictionCol="__margins", predictionCol="__label", maxIter=50, regParam=0.01).fit(train)
-        from pyspark.ml.functions import vector_to_array
-
-        scored = model.transform(rows.drop("svm_score")).withColumn("svm_score", vector_to_array("__margins")[1]).drop("__margins", "__label")
-        rows = scratch.keep(scored, "scored")
-    return rows.drop("__x")
+        passed, best = n, fit_margin(train, names, "__y", cost)
+        scratch.drop(train)
+    out = rows if best is None else rows.withColumn("svm_score", _linear(best, [F.col(x) for x in names]))
+    return out.drop(*names)
 
 
 def two_class_density(df: DataFrame, value: str, positive: str, grid: int = 512, rounds: int = 10, bandwidth: float | None = None) -> DataFrame:

@@ -32,6 +32,37 @@ def match_fragments(peaks: DataFrame, fragments: DataFrame, tolerance: float = 2
     return found.withColumn("error", (F.col("mass") - F.col("fragment_mass")) / F.col("fragment_mass"))
 
 
+def precursor_candidates(precursors: DataFrame, structures: DataFrame, tolerance: float = 1e-5, shifts: DataFrame | None = None) -> DataFrame:
+    """(scan, structure, shift, precursor_error) of each precursor (scan, precursor_mass) and the structures (structure, structure_mass) it may come from.
+
+    ``shifts`` (shift, shift_mass) are what a precursor may carry besides its structure, a short list;
+    without one the precursor is the structure itself, shift null. Each pair keeps its least error.
+    """
+    rows = precursors.select("scan", F.col("precursor_mass").cast("double").alias("at"))
+    if shifts is None:
+        rows = rows.withColumn("shift", F.lit(None).cast("string"))
+    else:
+        rows = rows.crossJoin(shifts.select("shift", "shift_mass")).withColumn("at", F.col("at") - F.col("shift_mass"))
+    found = rangejoin.ppm_join(rows, structures.select("structure", "structure_mass"), "at", "structure_mass", tolerance)
+    error = (F.col("structure_mass") - F.col("at")) / F.col("at")
+    best = found.groupBy("scan", "structure").agg(F.min(F.struct(F.abs(error).alias("e"), "shift", error.alias("signed"))).alias("b"))
+    return best.select("scan", "structure", "b.shift", F.col("b.signed").alias("precursor_error"))
+
+
+def match_candidates(peaks: DataFrame, fragments: DataFrame, candidates: DataFrame, tolerance: float = 2e-5) -> DataFrame:
+    """As ``match_fragments`` for given pairs (scan, structure) only.
+
+    Fragments are looked up by the structures that candidates name and meet the peaks of their own
+    scan, by scan and bin of mass; no peak meets a structure that is no candidate of its scan.
+    """
+    wanted = candidates.select(*PAIR).distinct().join(fragments, "structure")
+    mass, width, slack = F.col("fragment_mass"), F.lit(8.0 * tolerance), 1e-9
+    bin_of = lambda m: F.floor(F.log(m) / width)
+    dealt = wanted.filter(mass > 0).withColumn("__bin", F.explode(F.sequence(bin_of(mass * (1 - tolerance - slack)), bin_of(mass * (1 + tolerance + slack)))))
+    found = dealt.join(peaks.filter("mass > 0").withColumn("__bin", bin_of(F.col("mass"))), ["scan", "__bin"]).drop("__bin")
+    return found.filter(F.abs(F.col("mass") - mass) <= mass * tolerance).withColumn("error", (F.col("mass") - mass) / mass)
+
+
 def expected_ladders(fragments: DataFrame) -> DataFrame:
     """Per structure: n_theoretical backbone positions, and the glycosylated ones from either end."""
     place = lambda kinds: F.when(F.col("series").isin(*kinds) & F.col("glycosylated"), F.struct("series", "position"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from massloom.operators import localise, rescoring, spectrum
 from massloom.plans import profile, search
-from massloom.plans.catalog_tandem import _SQL, _fragments, _matches, _peaks, _structures
+from massloom.plans.catalog_tandem import _SQL, PRECURSOR_TOLERANCE, _candidates, _fragments, _matches, _peaks, _precursors, _structures
 from massloom.plans.inputs import days, registrar
 from massloom.session import Scratch, table
 
@@ -23,7 +23,7 @@ ws AS (SELECT scan, structure, sum(score * [0.5, 0.75, 1, 1, 1, 1, 0.75, 0.5, 0.
 
 def _depths(spark, d):
     ranked = localise.window_ranks(_peaks(spark, d).distinct())
-    found = spectrum.match_fragments(ranked, _fragments(spark, d), 2e-5).distinct()
+    found = spectrum.match_candidates(ranked, _fragments(spark, d), _candidates(spark, d), 2e-5).distinct()
     raw = _matches(spark, d).select("scan", "structure", "fragment", "mass", "intensity")
     rows = raw.join(found.select("scan", "structure", "fragment", "mass", "intensity", "depth"), ["scan", "structure", "fragment", "mass", "intensity"])
     return localise.depth_scores(rows, _fragments(spark, d).groupBy("structure").agg(F.count("*").alias("n")))
@@ -97,8 +97,10 @@ def smoothed_profile_search(spark, d):
     return out.select("id", "composition", F.round("smoothed", 4).alias("smoothed"))
 
 
-_DEC = _SQL + """, dm AS (SELECT f.structure, scan, p.mass, p.intensity FROM (SELECT structure, fragment_mass + 0.037 AS fm FROM frags) f JOIN peaks p ON abs(p.mass - fm) <= fm * 2e-5),
-s AS (SELECT scan, structure, round(sum(log10(intensity)), 4) AS score, false AS dc FROM m GROUP BY ALL UNION ALL SELECT scan, structure, round(sum(log10(intensity)), 4), true FROM dm GROUP BY ALL),
+_DEC = _SQL + """, near AS (SELECT o_orderkey AS scan, structure FROM orders, structs WHERE abs(1000.0::DOUBLE + 37.5 * regexp_extract(structure, '(\\d+)', 1)::INT - (1000.0::DOUBLE + o_totalprice % 1000)) <= (1000.0::DOUBLE + o_totalprice % 1000) * 0.1),
+tm AS (SELECT e.* FROM everything e JOIN near USING (scan, structure)),
+dm AS (SELECT f.structure, p.scan, p.mass, p.intensity FROM (SELECT structure, fragment_mass + 0.037 AS fm FROM frags) f JOIN peaks p ON abs(p.mass - fm) <= fm * 2e-5 JOIN near ON near.scan = p.scan AND near.structure = f.structure),
+s AS (SELECT scan, structure, round(sum(log10(intensity)), 4) AS score, false AS dc FROM tm GROUP BY ALL UNION ALL SELECT scan, structure, round(sum(log10(intensity)), 4), true FROM dm GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY scan, dc ORDER BY score DESC, structure) AS n FROM s), k AS (SELECT score, sum((NOT dc)::INT) AS a, sum(dc::INT) AS b FROM best WHERE n = 1 GROUP BY 1),
 r AS (SELECT score, (sum(a) OVER w)::BIGINT AS targets, (sum(b) OVER w)::BIGINT AS decoys FROM k WINDOW w AS (ORDER BY score DESC)), q AS (SELECT *, CASE WHEN targets = 0 THEN 1 ELSE decoys::DOUBLE / targets END AS fdr FROM r)
 SELECT score, targets, decoys, round(min(fdr) OVER (ORDER BY score), 6) AS q_value FROM q"""
@@ -110,7 +112,8 @@ def compared_search(spark, d):
     targets = _fragments(spark, d)
     decoys = targets.withColumn("fragment_mass", F.col("fragment_mass") + 0.037)
     score = lambda m: m.groupBy("scan", "structure").agg(F.round(F.sum(F.log10("intensity")), 4).alias("score"))
-    _, rates = search.compared_search(_peaks(spark, d), targets, decoys, score)
+    structures = _structures(spark, d)
+    _, rates = search.compared_search(_precursors(spark, d), _peaks(spark, d), (structures, targets), (structures, decoys), score, PRECURSOR_TOLERANCE)
     return rates.select("score", "targets", "decoys", F.round("q_value", 6).alias("q_value"))
 
 

@@ -32,7 +32,19 @@ def _structures(spark, d):
     return _fragments(spark, d).groupBy("structure").agg(
         F.lit(LENGTH).alias("length"), F.sum(F.when(F.col("is_core") & (F.col("series") == "Y"), 1).otherwise(0)).alias("core_size"), (F.count("*") % 7 + 2).alias("size"),
         F.avg("fragment_mass").alias("peptide_mass"), (F.max("fragment_mass") * 2).alias("precursor_mass"),
-    )
+    ).withColumn("structure_mass", 1000.0 + 37.5 * F.regexp_extract("structure", r"(\d+)", 1).cast("int"))
+
+
+PRECURSOR_TOLERANCE = 0.1  # these tables' masses are sparse
+SHIFTS = [("none", 0.0), ("ammonium", 17.02655)]
+
+
+def _precursors(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("scan"), (1000.0 + F.col("o_totalprice") % 1000).alias("precursor_mass"))
+
+
+def _candidates(spark, d):
+    return spectrum.precursor_candidates(_precursors(spark, d), _structures(spark, d), PRECURSOR_TOLERANCE, spark.createDataFrame(SHIFTS, "shift string, shift_mass double"))
 
 
 def _signatures(spark, d):
@@ -47,13 +59,17 @@ def _expected(spark, d):
 
 
 def _matches(spark, d):
-    return spectrum.match_fragments(_peaks(spark, d), _fragments(spark, d), 2e-5)
+    return spectrum.match_candidates(_peaks(spark, d), _fragments(spark, d), _candidates(spark, d), 2e-5)
 
 
 _SQL = """WITH peaks AS (SELECT l_orderkey AS scan, l_extendedprice / l_quantity AS mass, l_extendedprice AS intensity FROM lineitem),
 frags AS (SELECT p_brand AS structure, p_partkey AS fragment, p_retailprice AS fragment_mass, ['b', 'y', 'Y'][p_partkey % 3 + 1] AS series, p_size % 19 + 1 AS position, p_size > 25 AS glycosylated, p_size <= 20 AS is_core, p_size::DOUBLE AS reference FROM part),
 structs AS (SELECT structure, 20 AS len, sum((is_core AND series = 'Y')::INT) AS core_size, count(*) % 7 + 2 AS size, avg(fragment_mass) AS peptide_mass, max(fragment_mass) * 2 AS precursor_mass FROM frags GROUP BY 1),
-m AS (SELECT *, (mass - fragment_mass) / fragment_mass AS error FROM frags JOIN peaks ON abs(mass - fragment_mass) <= fragment_mass * 2e-5),
+cand AS (SELECT scan, structure, arg_min(shift, row(abs(smass - am) / am, shift)) AS shift, arg_min((smass - am) / am, row(abs(smass - am) / am, shift)) AS precursor_error
+  FROM (SELECT o_orderkey AS scan, shift, 1000.0::DOUBLE + o_totalprice % 1000 - shift_mass AS am FROM orders, (VALUES ('none', 0.0::DOUBLE), ('ammonium', 17.02655::DOUBLE)) AS s (shift, shift_mass)),
+    (SELECT structure, 1000.0::DOUBLE + 37.5 * regexp_extract(structure, '(\\d+)', 1)::INT AS smass FROM structs) WHERE abs(smass - am) <= am * 0.1 GROUP BY ALL),
+everything AS (SELECT *, (mass - fragment_mass) / fragment_mass AS error FROM frags JOIN peaks ON abs(mass - fragment_mass) <= fragment_mass * 2e-5),
+m AS (SELECT e.* FROM everything e JOIN cand USING (scan, structure)),
 pairs AS (SELECT DISTINCT scan, structure FROM m),
 ladders AS (SELECT structure, count(DISTINCT CASE WHEN series IN ('b', 'y') THEN series || position END) AS n_theoretical, count(DISTINCT CASE WHEN series = 'b' AND glycosylated THEN position END) AS n_gl,
   count(DISTINCT CASE WHEN series = 'y' AND glycosylated THEN position END) AS c_gl FROM frags GROUP BY 1),
@@ -85,13 +101,19 @@ bin AS (SELECT scan, structure, -log10(greatest(exp(list_sum(list_transform(tail
 """
 
 
-@query(_SQL + "SELECT structure, series, count(*) AS matches, count(DISTINCT scan) AS scans, round(avg(error) * 1e6, 4) AS mean_ppm FROM m GROUP BY ALL")
+@query(_SQL + "SELECT structure, series, count(*) AS matches, count(DISTINCT scan) AS scans, round(avg(error) * 1e6, 4) AS mean_ppm FROM everything GROUP BY ALL")
 def fragment_matches(spark, d):
     """All peaks of all spectra against all fragments, within tolerance."""
-    m = _matches(spark, d)
+    m = spectrum.match_fragments(_peaks(spark, d), _fragments(spark, d), 2e-5)
     return m.groupBy("structure", "series").agg(F.count("*").alias("matches"), F.count_distinct("scan").alias("scans"), F.round(F.avg("error") * 1e6, 4).alias("mean_ppm"))
 
 
+@query(_SQL + "SELECT scan, structure, shift, round(precursor_error * 1e6, 3) AS precursor_ppm FROM cand")
+def precursor_candidates(spark, d):
+    """Structures that each scan's precursor may come from, with or without a mass shift."""
+    return _candidates(spark, d).select("scan", "structure", "shift", F.round(F.col("precursor_error") * 1e6, 3).alias("precursor_ppm"))
+
+
 def _coverage(spark, d, m=None):
     f = _fragments(spark, d)
     return spectrum.coverage(m if m is not None else _matches(spark, d), _structures(spark, d), spectrum.expected_ladders(f))
@@ -233,10 +255,11 @@ best AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY score DESC, str
 c AS (SELECT score, (sum(t) OVER w)::BIGINT AS targets, (sum(dc) OVER w)::BIGINT AS decoys FROM k WINDOW w AS (ORDER BY score DESC)), f AS (SELECT *, CASE WHEN targets = 0 THEN 1 ELSE decoys::DOUBLE / targets END AS fdr FROM c)
 SELECT score, targets, decoys, round(min(fdr) OVER (ORDER BY score), 6) AS q_value FROM f""")
 def classic_search(spark, d):
-    """Spectra against structures: fragments matched, scored, the best per scan with targets and decoys competing, error rates."""
+    """Spectra against structures: candidates of the precursor, their fragments matched and scored, the best per scan with targets and decoys competing, error rates."""
     from massloom.plans.search import classic_search as search
 
     signatures = spectrum.signature_hits(_peaks(spark, d), _signatures(spark, d), 1e-4)
     decoy = F.regexp_extract("structure", r"(\d+)", 1).cast("int") % 2 == 0
-    rates = search(_peaks(spark, d), _fragments(spark, d), _structures(spark, d), signatures, _expected(spark, d), decoy)
+    shifts = spark.createDataFrame(SHIFTS, "shift string, shift_mass double")
+    rates = search(_precursors(spark, d), _peaks(spark, d), _fragments(spark, d), _structures(spark, d), signatures, _expected(spark, d), decoy, PRECURSOR_TOLERANCE, shifts)
     return rates.select("score", "targets", "decoys", F.round("q_value", 6).alias("q_value"))
