@@ -1,41 +1,16 @@
-"""Connected components of an edge table by alternating large and small stars."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from massloom.operators import graph
 from massloom.session import Scratch
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b); the component is its smallest id.
 
-    Each round links every id to the smallest id it sees and ends when the table stays the same.
-    Each round is a table in the shared folder; only a count and a checksum reach the driver.
+    The links are written first, so that the search does not make them again each round.
     """
-
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
-
-    def kept(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-        out = scratch.keep(edges.distinct(), name)
-        state = out.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return out, tuple(state)
-
-    # a > b throughout
-    edges, state = kept(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b"), "edges")
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        smallest = least(both).select("u", F.least("u", "m").alias("m"))
-        large = both.join(smallest, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        large = scratch.keep(large.distinct(), "large")
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        lowest = least(down)
-        small = down.join(lowest, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(lowest.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        new, new_state = kept(small.filter("a <> b"), "edges")
-        scratch.drop(edges, large)
-        edges, done, state = new, new_state == state, new_state
-        if done:
-            stars = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-            return stars.union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return graph.components(scratch.keep(links, "links"))

@@ -13,6 +13,7 @@ nodes whose members are all in one component need nothing more.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -48,21 +49,29 @@ def least_match(similarity: float) -> float:
     return similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / TOKENS)
 
 
+def _text_key(text: str) -> str:
+    """What tells the texts of one doc_id apart."""
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def _features(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = MinHash(TOKENS)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 ids, texts = batch.column(0).slice(low, 256), batch.column(1).slice(low, 256)
-                sizes, keys, tokens = [], [], []
+                sizes, keys, tokens, digests = [], [], [], []
                 for text in texts:
-                    values = shingle_set(text.as_py(), width)
+                    text = text.as_py() or ""
+                    values = shingle_set(text, width)
+                    digests.append(_text_key(text))
                     sizes.append(len(values))
                     keys.append(xxhash.xxh3_128_digest(values.tobytes()))
                     tokens.append(sign(values).tobytes() if len(values) else None)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "set_key", "tokens"])
+                columns = [ids, pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "set_key", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, tokens binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_key string, n_shingles long, set_key binary, tokens binary")
 
 
 def _branch(rows: DataFrame, level: int, trees: int) -> DataFrame:
@@ -156,18 +165,21 @@ def _candidate_groups(rows: DataFrame, similarity: float) -> DataFrame:
     return ordered.mapInArrow(run, "node long, id long, component long, sketch binary").dropDuplicates(["node", "id"])
 
 
-def _packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, packed) of the documents that ``ids`` names, one row each."""
+def _packed_texts(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, packed) of the members that ``ids`` names, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
-                ids_, texts = batch.column(0).slice(low, 512), batch.column(1).slice(low, 512)
-                yield pa.RecordBatch.from_arrays([ids_, pa.array([pack((t.as_py() or "").encode()) for t in texts], pa.binary())], ["id", "packed"])
+                ids_, texts = batch.column(0).slice(low, 512), [t.as_py() or "" for t in batch.column(1).slice(low, 512)]
+                keys = pa.array(map(_text_key, texts), pa.string())
+                yield pa.RecordBatch.from_arrays([ids_, keys, pa.array([pack(t.encode()) for t in texts], pa.binary())], ["doc_id", "text_key", "packed"])
 
-    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, packed binary")
-    return packed.join(ids.select("id").distinct().hint("merge"), "id", "left_semi")  # ids grow with the documents
+    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_key string, packed binary")
+    wanted = members.select("id", "doc_id", "text_key").join(ids.select("id").distinct().hint("merge"), "id", "left_semi")  # ids grow with the documents
+    found = packed.join(wanted.hint("merge"), ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])  # rows may be repeated
+    return found.select("id", "packed")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -250,25 +262,21 @@ def _sketch(tokens: Column | str) -> Column:
     return F.unhex(F.regexp_replace(text, "(..)......", "$1"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99999) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
+def _linked_sets(docs: DataFrame, width: int, similarity: float, recall: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features of all rows, the members (id, doc_id, text_key, set_key, ...), one for each distinct set of shingles, and links (a, b) between members.
 
-    Documents with Jaccard similarity of their ``width``-word shingles of ``similarity`` or more are
-    linked; a component is named by its smallest doc_id, and that document is kept. Null texts and
-    texts without words have no shingles and are linked with nothing. A null doc_id is a component
-    of its own; rows that repeat a doc_id all get that document's component, which is found from
-    the rows together. An empty table gives no rows; other columns are not read.
+    A member's doc_id is the smallest of the rows with its set. Members have ids of their own, as
+    rows that repeat a doc_id may have different sets.
     """
-    scratch = Scratch(docs.sparkSession, "neardup")
     percent = round(100 * similarity)
     trees = trees_for(similarity, recall)
     features = scratch.keep(_features(docs, width), "features")
 
     with_words = features.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(with_words.groupBy("set_key").agg(F.min("doc_id").alias("id")), "classes")
-    # Of repeated ids one row stands for the document; equal sets are linked whatever their other rows hold.
-    ids = with_words.select(F.col("doc_id").alias("id"), "set_key", "tokens").join(classes, ["id", "set_key"], "left_semi")
-    members = scratch.keep(ids.dropDuplicates(["id"]).select("id", "tokens", _sketch("tokens").alias("sketch")), "members")
+    first = with_words.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("set_key", "first.*")
+    rows = with_words.select("set_key", "doc_id", "text_key", "tokens").join(first.hint("merge"), ["set_key", "doc_id", "text_key"], "left_semi").dropDuplicates(["set_key"])
+    # Numbered once, as the table is written; from here on a member's id is what the table says.
+    members = scratch.keep(rows.select(F.monotonically_increasing_id().alias("id"), "doc_id", "text_key", "set_key", "tokens", _sketch("tokens").alias("sketch")), "members")
 
     def known_nodes(rows: DataFrame, components: DataFrame | None, name: str) -> DataFrame:
         """Rows of nodes that hold more than one component, with the size of the node and its smallest id."""
@@ -288,10 +296,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
     side = lambda name: members.select(F.col("id").alias(name), F.col("sketch").alias(f"sketch_{name}"))
     pairs = _agreeing(pairs.join(side("a"), "a").join(side("b"), "b"), least_match(similarity))
     pairs = scratch.keep(pairs, "pairs")
-    texts = scratch.keep(_packed_texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "texts")
+    texts = scratch.keep(_packed_texts(docs, members, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))), "texts")
     links = scratch.keep(_confirmed_pairs(pairs, texts, width, percent), "links")
     scratch.drop(texts)
-    equal = with_words.join(classes.withColumnRenamed("id", "b"), "set_key").select(F.col("doc_id").alias("a"), "b").filter("a <> b").distinct()
 
     components = scratch.keep(connected_components(links, scratch), "components")
     rows, leaves = known_nodes(root.select("node", "id"), components, "level-1"), []
@@ -308,12 +315,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, re
     for more in leaves[1:]:
         small = small.union(more)
     groups = scratch.keep(_candidate_groups(small.join(members.select("id", "sketch"), "id"), similarity), "groups")
-    texts = scratch.keep(_packed_texts(docs, groups.select("id")), "more-texts")
+    texts = scratch.keep(_packed_texts(docs, members, groups.select("id")), "more-texts")
     more = scratch.keep(_confirmed_groups(groups, texts, width, similarity, percent), "more-links")
     scratch.drop(texts, groups)
 
-    final = connected_components(links.union(more).union(equal), scratch)
-    labelled = features.drop("tokens", "set_key").join(final, F.col("doc_id") == F.col("id"), "left")
+    return features, members, links.union(more)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99999) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id and kept.
+
+    Documents with Jaccard similarity of their ``width``-word shingles of ``similarity`` or more are
+    linked; a component is named by its smallest doc_id, and that document is kept. Null texts and
+    texts without words have no shingles and are linked with nothing. A null doc_id is a component
+    of its own; rows that repeat a doc_id are one document: each row's links count, and all get the
+    component that these tie together. An empty table gives no rows; other columns are not read.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup")
+    features, members, links = _linked_sets(docs, width, similarity, recall, scratch)
+    named = lambda name: members.select(F.col("id").alias(name), F.col("doc_id").alias(f"doc_{name}"))
+    links = links.join(named("a"), "a").join(named("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    with_words = features.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_key")
+    equal = with_words.join(members.select("set_key", F.col("doc_id").alias("b")), "set_key").select(F.col("doc_id").alias("a"), "b").filter("a <> b").distinct()
+    final = connected_components(links.filter("a <> b").union(equal), scratch)
+    labelled = features.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
     return labelled.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -340,9 +365,17 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.99999) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest doc_id; all columns stay.
 
-    Rows without text, words or doc_id stay; rows that repeat a doc_id stay or go together; an
-    empty table gives no rows.
+    Rows without text, words or doc_id stay. Here each text counts by itself: of rows that repeat a
+    doc_id with different texts, those that no other kept text is linked with stay; rows that repeat
+    both stay or go together. An empty table gives no rows.
     """
-    gone = near_duplicates(docs, width, similarity, recall).filter("NOT kept").select(F.col("doc_id").alias("id")).distinct()
+    scratch = Scratch(docs.sparkSession, "neardup")
+    features, members, links = _linked_sets(docs, width, similarity, recall, scratch)
+    final = connected_components(links, scratch)
+    placed = members.select("id", "doc_id", "text_key").join(final, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    stay = placed.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*")
+    with_words = features.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "text_key").distinct()
+    gone = with_words.join(stay.hint("merge"), ["doc_id", "text_key"], "left_anti").select(F.col("doc_id").alias("id"), "text_key")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # whatever the columns are called
-    return rows.join(gone.hint("merge"), F.col("row.doc_id") == F.col("id"), "left_anti").select("row.*")
+    text_key = F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit("")))
+    return rows.join(gone.hint("merge"), (F.col("row.doc_id") == F.col("id")) & (text_key == F.col("text_key")), "left_anti").select("row.*")

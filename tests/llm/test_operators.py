@@ -192,6 +192,53 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch):
     assert {i: r["component_id"] for i, r in by_id(neardup.near_duplicates(df, 4)).items()} == {i: c for i, (_, c) in expected.items()}
 
 
+def shingles_of(text, width):
+    w = (text or "").encode().lower().split()
+    k = min(width, len(w))
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+
+
+def test_near_duplicates_under_repeated_ids(spark):
+    """Ids that stand for two texts each, near copies of either under ids of their own, and rows repeated whole."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(30):
+        for k in (0, 1):
+            w = words(rng, 200).split(" ")
+            rows.append((100 + i, " ".join(w)))
+            w[rng.randrange(200)] = "changed"
+            rows.append((1000 * (k + 1) + i if i % 3 else 10 * k + i % 9, " ".join(w)))
+    rows += rows[:7] + [(None, rows[0][1]), (100, None), (101, "")]
+    rng.shuffle(rows)
+    sets = [shingles_of(t, 5) if i is not None else set() for i, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+
+    def closed(start, links):
+        while True:
+            new = dict(start)
+            for a, b in links:
+                new[a] = new[b] = min(new[a], new[b])
+            if new == start:
+                return start
+            start = new
+
+    named = {i: i for i, _ in rows if i is not None}
+    component = closed(named, [(rows[a][0], rows[b][0]) for a, b in links])
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(4)
+    found = neardup.near_duplicates(df, 5).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found))) == sorted(
+        repr((i, len(shingles_of(t, 5)), component.get(i), component.get(i) == i)) for i, t in rows
+    )
+    assert len(set(component.values())) < 31  # no link of an id's second text is lost
+    by_text = closed({k: k for k in range(len(rows))}, links)
+    stays = {}
+    for k, (i, t) in enumerate(rows):
+        if sets[k]:
+            stays[by_text[k]] = min(stays.get(by_text[k], (i, "~", "")), (i, hashlib.md5(t.encode()).hexdigest(), t))
+    expected = [k for k, (i, t) in enumerate(rows) if not sets[k] or (i, t) == (stays[by_text[k]][0], stays[by_text[k]][2])]
+    assert sorted(r["n"] for r in neardup.drop_near_duplicates(df, 5).collect()) == expected
+
+
 def test_repeats(documents, texts):
     seen, expected = set(), {}
     for i in sorted(texts):
