@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from pathlib import Path
 
 import ahocorasick
@@ -29,7 +30,7 @@ from sentencepiece import sentencepiece_model_pb2
 
 BLANK = "▁"
 ROWS = 256  # documents of one output batch
-_ENTRIES, _PAIRS, _LONGEST = 400_000, 1_000_000, 48  # remembered words, parts and pairs at most, and the longest of these strings
+_ENTRIES, _PAIRS, _LONGEST = 300_000, 500_000, 32  # remembered words, parts and pairs at most, and the longest of these strings
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6  # kinds of pieces in the model's file
 
 
@@ -92,18 +93,26 @@ class Vocabulary:
         self._segment_ids = _Remembered(self.encode_segment)
         self._word_ids = _Remembered(lambda word: self._encode_segments(BLANK + word))
 
-        # A character that pieces contain, but that is no piece, is a token for the table; its id is negative.
-        characters = sorted(set().union(*self.score))
-        self._ends = ahocorasick.Automaton()
+    @cached_property
+    def _known(self) -> frozenset[str]:
+        """The characters that pieces contain."""
+        return frozenset().union(*self.score)
+
+    @cached_property
+    def _segments(self) -> Callable[[str], list[str]]:
+        return _cutter(self.score, sorted(self._known)).findall
+
+    @cached_property
+    def _ends(self) -> ahocorasick.Automaton:
+        """All pieces, as (id, length); a character that pieces contain, but that is no piece, is a token of a negative id."""
+        ends = ahocorasick.Automaton()
         for i, piece in self.piece.items():
-            self._ends.add_word(piece, (i, len(piece)))
-        for c in characters:
-            if c not in self.score:
-                self.piece[-1 - ord(c)] = c
-                self._ends.add_word(c, (-1 - ord(c), 1))
-        self._ends.make_automaton()
-        self._segments = _cutter(self.score, characters).findall
-        self._known = set(characters)
+            ends.add_word(piece, (i, len(piece)))
+        for c in self._known - self.score.keys():
+            self.piece[-1 - ord(c)] = c
+            ends.add_word(c, (-1 - ord(c), 1))
+        ends.make_automaton()
+        return ends
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short string by its definition: of all neighbours that make a piece, those of the best score merge first, of equal ones the leftmost."""
