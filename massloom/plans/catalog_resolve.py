@@ -123,3 +123,63 @@ def multivariate_posteriors(spark, d):
     )
     model = densities.product_kernels(rows, ["a", "b"], F.col("is_decoy"), F.when(F.col("b") > 40, 0.8).otherwise(0.2))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(model.posterior(), 6).alias("posterior"))
+
+
+def _peptides(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("peptide"), (1000.0 + F.col("c_custkey") * 60.3).alias("peptide_mass"))
+
+
+def _peptide_fragments(spark, d):
+    made = F.array(*(F.struct(F.lit(k).alias("fragment"), (F.col("peptide_mass") * k / 9 + 1).alias("fragment_mass"), F.lit("by"[k % 2]).alias("series")) for k in range(1, 9)))
+    return _peptides(spark, d).select("peptide", F.explode(made).alias("f")).select("peptide", "f.*")
+
+
+def _predicted(spark, d):
+    from massloom.plans import catalog_rates as core
+    from massloom.plans import predictive
+
+    return predictive.predicted_candidates(core._precursors(spark, d), core._peaks(spark, d), core._glycans(spark, d), core._shifts(spark, d), _peptides(spark, d), core.TOLERANCE, 1e-3, 10.0, 3, 1000.0)
+
+
+def _scored(spark, d):
+    from massloom.plans import catalog_rates as core
+    from massloom.plans import predictive
+
+    return predictive.score_predicted(core._peaks(spark, d), _predicted(spark, d), _peptide_fragments(spark, d), core._shifts(spark, d), 1e-2)
+
+
+def _predictive_sql() -> str:
+    from massloom.plans.catalog_rates import _CORE
+
+    return _CORE + """, wg AS (SELECT *, CASE WHEN lag(score) OVER x - score > 1e-2 THEN 1 ELSE 0 END AS new FROM r WHERE score > -1 AND n >= 1 WINDOW x AS (PARTITION BY scan ORDER BY score DESC, glycan)),
+est AS (SELECT * FROM (SELECT *, 1 + sum(new) OVER (PARTITION BY scan ORDER BY score DESC, glycan ROWS UNBOUNDED PRECEDING) AS grp FROM wg) WHERE grp <= 3),
+pep AS (SELECT c_custkey AS peptide, 1000.0::DOUBLE + c_custkey * 60.3::DOUBLE AS mass FROM customer),
+cd AS MATERIALIZED (SELECT scan, glycan, peptide, pep.mass, est.score AS glycan_score FROM est JOIN pep ON abs(pep.mass - est.peptide_mass) <= est.peptide_mass * 1e-3),
+pf AS (SELECT scan, glycan, peptide, k, mass * k / 9 + 1 AS fm FROM cd, (SELECT unnest(range(1, 9)) AS k)),
+pm AS (SELECT f.scan, glycan, peptide, k, fm, q.mass AS found, q.intensity FROM pf f JOIN q ON q.scan = f.scan AND abs(q.mass - fm) <= fm * 1e-2),
+ps AS (SELECT scan, glycan, peptide, sum(log10(intensity) * (1 - pow(abs((found - fm) / fm) / 1e-2, 4))) * count(DISTINCT k) / 8 AS peptide_score FROM pm GROUP BY ALL),
+sc AS (SELECT scan, glycan, peptide, peptide_score, glycan_score, peptide_score + glycan_score AS score FROM cd JOIN ps USING (scan, glycan, peptide))"""
+
+
+@query(_predictive_sql() + " SELECT scan, glycan, peptide, round(mass, 3) AS peptide_mass, round(glycan_score, 5) AS glycan_score FROM cd")
+def predicted_candidates(spark, d):
+    """Peptides at the masses that each scan's ladder peaks suggest."""
+    out = _predicted(spark, d)
+    return out.withColumn("peptide_mass", F.round("peptide_mass", 3)).withColumn("glycan_score", F.round("glycan_score", 5))
+
+
+@query(_predictive_sql() + " SELECT scan, glycan, peptide, round(peptide_score, 4) AS peptide_score, round(glycan_score, 4) AS glycan_score, round(score, 4) AS score FROM sc")
+def predictive_scores(spark, d):
+    """Candidates made for each scan, scored in that scan only."""
+    out = _scored(spark, d)
+    return out.select("scan", "glycan", "peptide", *(F.round(c, 4).alias(c) for c in ("peptide_score", "glycan_score", "score")))
+
+
+@query(_predictive_sql() + """, bs AS (SELECT scan, glycan, peptide, round(score, 4) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY scan ORDER BY round(score, 4) DESC, peptide, glycan) = 1),
+kc AS (SELECT score, sum((peptide % 3 > 0)::INT) AS t, sum((peptide % 3 = 0)::INT) AS dc FROM bs GROUP BY 1), rc AS (SELECT score, sum(t) OVER z AS t, sum(dc) OVER z AS dc FROM kc WINDOW z AS (ORDER BY score DESC)),
+qv AS (SELECT score, min(CASE WHEN t = 0 THEN 1 ELSE dc::DOUBLE / t END) OVER (ORDER BY score) AS q FROM rc) SELECT scan, glycan, peptide, score, round(q, 6) AS q_value FROM bs JOIN qv USING (score) WHERE peptide % 3 > 0 AND q <= 0.5""")
+def glycopeptide_analysis(spark, d):
+    """From peaks and precursors to identified glycopeptides with error rates, by predictive search."""
+    from massloom.plans import predictive
+
+    return predictive.identified_glycopeptides(_scored(spark, d), F.col("peptide") % 3 == 0, 4, 0.5).withColumn("q_value", F.round("q_value", 6))
