@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,27 +43,39 @@ def smooth_overlaps(df: DataFrame, mass: str, start: str, end: str, tolerance: f
     A merged feature has the mean mass of its members and their whole span, which the next one is
     held against. Where the step in mass is over the tolerance nothing can merge, so the rows between
     such steps are a piece that is gone through by itself; pieces are numbered over all rows in cells.
-    Returns mass, start, end and members.
+    A piece streams through its task in order, of which only the last feature is held, so a chain of
+    close masses takes time, but no memory, that grows with it. Rows with a null mass, start or end
+    are no features. Returns mass, start, end and members.
     """
     scratch = Scratch(df.sparkSession, "smooth")
-    rows = df.select(F.col(ident).alias("id"), F.col(mass).cast("double").alias("m"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e"))
+    rows = df.select(F.col(ident).alias("id"), F.col(mass).cast("double").alias("m"), F.col(start).cast("double").alias("s"), F.col(end).cast("double").alias("e")).dropna(subset=["m", "s", "e"])
     marked = ordered.previous(scratch.keep(rows, "rows"), "m", ["s", "id"], "before")
     marked = marked.withColumn("new", F.coalesce((F.col("m") - F.col("before") > tolerance * F.col("m")).cast("int"), F.lit(1)))
     pieces = ordered.running(scratch.keep(marked, "marked"), "m", {"piece": ("sum", "new")}, ties=["s", "id"])
-    lists = pieces.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("m", "s", "e", "id"))).alias("l"))
-    feature = lambda m, s, e, n: F.struct(m.alias("m"), s.alias("s"), e.alias("e"), n.alias("n"))
-    state = lambda done, last: F.struct(done.alias("done"), last.alias("last"))
-    first = feature(F.col("l")[0]["m"], F.col("l")[0]["s"], F.col("l")[0]["e"], F.lit(1).cast("long"))
-    none = F.slice(F.array(first), 1, 0)
-
-    def step(held: Column, r: Column) -> Column:
-        last = held["last"]
-        merges = (F.abs(last["m"] - r["m"]) / r["m"] <= tolerance) & (last["s"] <= r["e"]) & (r["s"] <= last["e"])
-        merged = feature((last["m"] * last["n"] + r["m"]) / (last["n"] + 1), F.least(last["s"], r["s"]), F.greatest(last["e"], r["e"]), last["n"] + 1)
-        return F.when(merges, state(held["done"], merged)).otherwise(state(F.array_append(held["done"], last), feature(r["m"], r["s"], r["e"], F.lit(1).cast("long"))))
-
-    folded = F.aggregate(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))), state(none, first), step, lambda h: F.array_append(h["done"], h["last"]))
-    return lists.select(F.explode(folded).alias("f")).select(F.col("f.m").alias("mass"), F.col("f.s").alias("start"), F.col("f.e").alias("end"), F.col("f.n").alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # piece, mass, start, end, members of the feature that may still grow
+
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            columns = [*zip(*done, strict=True)][1:] if done else [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], ["mass", "start", "end", "members"])
+
+        for batch in batches:
+            done = []
+            for piece, m, s, e in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if held is not None and held[0] == piece and abs(held[1] - m) / m <= tolerance and held[2] <= e and s <= held[3]:
+                    n = held[4]
+                    held = (piece, (held[1] * n + m) / (n + 1), min(held[2], s), max(held[3], e), n + 1)
+                else:
+                    if held is not None:
+                        done.append(held)
+                    held = (piece, m, s, e, 1)
+            yield batch_of(done)
+        if held is not None:
+            yield batch_of([held])
+
+    sorted_pieces = pieces.repartition("piece").sortWithinPartitions("piece", "m", "s", "e", "id").select("piece", "m", "s", "e")
+    return sorted_pieces.mapInArrow(run, "mass double, start double, end double, members long")
 
 
 def greedy_mass_clusters(df: DataFrame, keys: list[str], mass: str, intensity: str, ident: str, tolerance: float) -> DataFrame:

@@ -42,11 +42,12 @@ def block_smooth(laplacian: np.ndarray, observed: np.ndarray, strength: float, r
     return out, press
 
 
-def smooth_sites(nodes: DataFrame, edges: DataFrame, site: str, strengths: list[float], thresholds: list[float], regularize: float = 1.0) -> DataFrame:
+def smooth_sites(nodes: DataFrame, edges: DataFrame, site: str, strengths: list[float], thresholds: list[float], regularize: float = 1.0, most: int = 4000) -> DataFrame:
     """(site, strength, threshold, press, id, smooth): each site's scores at every strength and every threshold below which a score counts as not observed.
 
     ``nodes`` holds (site, id, observed), ``edges`` (site, a, b, weight); each combination of site,
-    strength and threshold is a task's group of its own.
+    strength and threshold is a task's group of its own. A site's network is solved as a dense matrix,
+    so one of more than ``most`` compositions is an error rather than a task that outgrows its memory.
     """
     grid = F.explode(F.array(*(F.struct(F.lit(float(s)).alias("strength"), F.lit(float(t)).alias("threshold")) for s in strengths for t in thresholds)))
     spread = lambda df: df.withColumn("__g", grid).select(*df.columns, "__g.*")
@@ -54,6 +55,8 @@ def smooth_sites(nodes: DataFrame, edges: DataFrame, site: str, strengths: list[
 
     def run(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(own["id"].unique())
+        if len(ids) > most:
+            raise ValueError(f"site {key[0]} has {len(ids)} compositions, more than {most}")
         at = {i: n for n, i in enumerate(ids)}
         matrix = np.zeros((len(ids), len(ids)))
         for a, b, w in zip(links["a"], links["b"], links["weight"], strict=True):
