@@ -22,43 +22,45 @@ def fit_margin(df: DataFrame, features: list[str], label: str, cost: float = 1.0
     """Weights and intercept of the linear support vector machine with squared hinge loss, by Newton's method.
 
     Minimises half the squared weights plus ``cost`` times the mean squared hinge; ``label`` is 1 or
-    -1. Each step sums the normal equations of the rows inside the margin and the losses of the
-    last step's halvings: a number of sums that grows with the features' square, not with the rows.
-    The intercept is not shrunk. Null features make a row void.
+    -1. Each step is one pass that sums the loss and the normal equations of the rows inside the
+    margin: a number of sums that grows with the features' square, not with the rows. A step that
+    does not lower the value is halved. The intercept is not shrunk. Null features make a row void.
     """
     k = len(features)
     x = [F.col(c).cast("double") for c in features]
     y = F.col(label).cast("double")
     rows = df.dropna(subset=[*features, label])
     parts = [*x, F.lit(1.0)]
-    n = rows.count()
-    weights, direction = np.zeros(k + 1), np.zeros(k + 1)
     shrink = np.diag([1.0] * k + [0.0])
-    halvings = [1.0, 0.5, 0.25, 0.125, 1 / 64]
-
-    def losses(options: list[np.ndarray]) -> list[Column]:
-        return [F.sum(F.pow(F.greatest(F.lit(0.0), 1 - y * _linear(w, x)), 2)) for w in options]
-
-    for _ in range(steps if n else 0):
-        margin = y * _linear(weights, x)
-        inside = (margin < 1).cast("double")
-        sums = [F.sum(inside * parts[i] * parts[j]) for i in range(k + 1) for j in range(i, k + 1)] + [F.sum(inside * y * p) for p in parts]
-        found = rows.agg(*sums).first()
-        gram, at = np.zeros((k + 1, k + 1)), 0
-        for i in range(k + 1):
-            for j in range(i, k + 1):
-                gram[i, j] = gram[j, i] = found[at]
-                at += 1
-        target = 2 * cost / n * np.array([found[at + i] for i in range(k + 1)])
-        hessian = shrink + 2 * cost / n * gram
-        new = np.linalg.lstsq(hessian, target, rcond=None)[0]
-        direction = new - weights
-        if np.abs(direction).max() <= tolerance * (1 + np.abs(weights).max()):
-            return new
-        tried = [weights + h * direction for h in halvings]
-        loss = np.array(rows.agg(*(c.alias(f"l{i}") for i, c in enumerate(losses(tried)))).first(), float)
-        value = np.array([w[:k] @ w[:k] / 2 for w in tried]) + cost / n * loss
-        weights = tried[int(np.argmin(value))]
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray]:
+        """The value at ``w`` and where Newton's method goes from there."""
+        slack = F.greatest(F.lit(0.0), 1 - y * _linear(w, x))
+        inside = (slack > 0).cast("double")
+        sums = [F.count("*"), F.sum(slack * slack), *(F.sum(inside * parts[i] * parts[j]) for i, j in pairs), *(F.sum(inside * y * p) for p in parts)]
+        n, loss, *found = rows.agg(*(c.alias(f"c{i}") for i, c in enumerate(sums))).first()
+        if not n:
+            return 0.0, w
+        gram = np.zeros((k + 1, k + 1))
+        for (i, j), value in zip(pairs, found, strict=False):
+            gram[i, j] = gram[j, i] = value
+        target = np.array(found[len(pairs) :])
+        return w[:k] @ w[:k] / 2 + cost / n * loss, np.linalg.lstsq(shrink + 2 * cost / n * gram, 2 * cost / n * target, rcond=None)[0]
+
+    weights = np.zeros(k + 1)
+    value, goal = at(weights)
+    for _ in range(steps):
+        if np.abs(goal - weights).max() <= tolerance * (1 + np.abs(weights).max()):
+            return goal
+        step = 1.0
+        while True:
+            tried = weights + step * (goal - weights)
+            new_value, new_goal = at(tried)
+            if new_value <= value or step < 1e-3:
+                break
+            step /= 2
+        weights, value, goal = tried, new_value, new_goal
     return weights
 
 
