@@ -148,13 +148,13 @@ def utilisation_preserved(spark, d):
     return u.join(best, "scan").filter("utilisation >= 0.85 * best").select("scan", "structure")
 
 
-@query(_SQL + """, sc AS (SELECT scan, structure, sum(log10(intensity)) AS score FROM m GROUP BY ALL), chosen AS (SELECT scan, max(struct_pack(a := score, s := structure)).s AS structure FROM sc GROUP BY 1), near_by AS (SELECT DISTINCT c.scan // 4 AS run, structure FROM chosen c)
-SELECT sc.scan, structure, round(score, 4) AS score FROM sc JOIN near_by w USING (structure) WHERE w.run = sc.scan // 4 AND NOT EXISTS (SELECT 1 FROM chosen x WHERE x.scan = sc.scan AND x.structure = sc.structure)""")
+@query(_SQL + """, sc AS (SELECT scan, structure, sum(log10(intensity)) AS score FROM m GROUP BY ALL), chosen AS (SELECT scan, max(struct_pack(a := score, s := structure)).s AS structure FROM sc GROUP BY 1), near_by AS (SELECT DISTINCT c.scan // 1000 AS run, structure FROM chosen c)
+SELECT sc.scan, structure, round(score, 4) AS score FROM sc JOIN near_by w USING (structure) WHERE w.run = sc.scan // 1000 AND NOT EXISTS (SELECT 1 FROM chosen x WHERE x.scan = sc.scan AND x.structure = sc.structure)""")
 def back_filled_matches(spark, d):
     """Structures chosen somewhere in a group of scans, scored in those where another was chosen."""
     scored = _matches(spark, d).groupBy("scan", "structure").agg(F.sum(F.log10("intensity")).alias("score"))
     chosen = scored.groupBy("scan").agg(F.max(F.struct("score", "structure")).alias("b")).select("scan", "b.structure")
-    run = F.floor(F.col("scan") / 4).alias("run")
+    run = F.floor(F.col("scan") / 1000).alias("run")
     wanted = chosen.select(run, "structure").distinct()
     missing = scored.join(chosen, ["scan", "structure"], "left_anti").select("*", run)
     return missing.join(wanted, ["run", "structure"], "left_semi").select("scan", "structure", F.round("score", 4).alias("score"))
