@@ -41,17 +41,22 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = F.m
     )
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
     """``docs`` with one row of each group of equal texts, that with the smallest doc_id; all columns stay.
 
-    Groups are as in ``exact_groups``, told apart by the digest of the normalised text, so rows that
-    repeat a doc_id, or have none, stay where their texts differ. A null doc_id comes last. Each task
-    leaves one row of a group before the shuffle, so a large group does not meet in one task.
+    Groups are as in ``exact_groups``: by the content hash together with the normalised text, so bytes
+    are compared inside a hash's group, and rows that repeat a doc_id, or have none, stay where their
+    texts differ. A null doc_id comes last. Each task leaves one row of a group before the shuffle, so
+    a large group does not meet in one task; a text that is its own normalised form travels once.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.sha2(normalised(F.col("text")), 256).alias("digest"))
-    text = F.col("row.text")
-    first = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("row.doc_id").asc_nulls_last(), text.isNull(), text))
-    return rows.withColumn("nth", first).filter("nth = 1").select("row.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), normalised(F.col("text")).alias("norm"))
+    same = F.col("row.text").eqNullSafe(F.col("norm"))
+    held = [F.when(~same, F.col("row.text")).alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    rows = rows.select(F.struct(*held).alias("row"), "norm", content_hash(F.col("norm")).alias("hash"), same.alias("same"))
+    text = F.when(F.col("same"), F.col("norm")).otherwise(F.col("row.text"))
+    first = F.row_number().over(Window.partitionBy("hash", "norm").orderBy(F.col("row.doc_id").asc_nulls_last(), text.isNull(), text))
+    kept = rows.withColumn("nth", first).filter("nth = 1")
+    return kept.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

@@ -125,9 +125,9 @@ def test_exact_dedup(documents, texts):
             same = groups[norm[i]]
             assert (r["keep_id"], r["group_size"], r["kept"]) == (min(same), len(same), i == min(same))
             assert r["text_sha256"] == hashlib.sha256(norm[i].encode()).hexdigest()
-    kept = exact.drop_exact_copies(documents.unionAll(documents))
-    assert kept.columns == documents.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(map(min, groups.values()))
+        kept = exact.drop_exact_copies(documents.unionAll(documents), content_hash)
+        assert kept.columns == documents.columns and kept.dtypes == documents.dtypes
+        assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted((min(same), texts[min(same)]) for same in groups.values())
 
 
 def test_exact_copies_under_null_and_repeated_ids(spark):
