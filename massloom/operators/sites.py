@@ -42,16 +42,38 @@ def block_smooth(laplacian: np.ndarray, observed: np.ndarray, strength: float, r
     return out, press
 
 
+def neighbourhood_means(laplacian: np.ndarray, observed: np.ndarray, belongs: np.ndarray, strength: float, regularize: float, noise: float = 1.0) -> np.ndarray:
+    """tau: the mean of each neighbourhood, given observed scores and how far each node belongs to it.
+
+    Observed scores vary with ``noise``, with the network's own covariance over ``strength`` and with
+    means of unit variance; tau is its expectation given the scores.
+    """
+    matrix = laplacian + regularize * np.eye(len(laplacian))
+    seen = ~np.isnan(observed)
+    if not seen.any():
+        return np.zeros(belongs.shape[1])
+    om = matrix[np.ix_(seen, ~seen)]
+    schur = matrix[np.ix_(seen, seen)] - om @ (np.linalg.solve(matrix[np.ix_(~seen, ~seen)], om.T) if (~seen).any() else np.zeros((0, seen.sum())))
+    of_seen = belongs[seen]
+    spread = noise * np.eye(seen.sum()) + np.linalg.pinv(schur) / strength + of_seen @ of_seen.T
+    return of_seen.T @ np.linalg.solve(spread, observed[seen])
+
+
 def smooth_sites(nodes: DataFrame, edges: DataFrame, site: str, strengths: list[float], thresholds: list[float], regularize: float = 1.0, most: int = 4000) -> DataFrame:
     """(site, strength, threshold, press, id, smooth): each site's scores at every strength and every threshold below which a score counts as not observed.
 
     ``nodes`` holds (site, id, observed), ``edges`` (site, a, b, weight); each combination of site,
     strength and threshold is a task's group of its own. A site's network is solved as a dense matrix,
     so one of more than ``most`` compositions is an error rather than a task that outgrows its memory.
+
+    Where ``nodes`` also holds ``belongs`` (``priors.with_membership``), scores are drawn towards the
+    means of their neighbourhoods instead of zero: the means are estimated from the observed scores,
+    taken away before smoothing and added again.
     """
     grid = F.explode(F.array(*(F.struct(F.lit(float(s)).alias("strength"), F.lit(float(t)).alias("threshold")) for s in strengths for t in thresholds)))
     spread = lambda df: df.withColumn("__g", grid).select(*df.columns, "__g.*")
     keys = [site, "strength", "threshold"]
+    by_neighbourhood = "belongs" in nodes.columns
 
     def run(key: tuple, own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(own["id"].unique())
@@ -68,7 +90,12 @@ def smooth_sites(nodes: DataFrame, edges: DataFrame, site: str, strengths: list[
                 matrix[j, j] += w
         observed = own.groupby("id")["observed"].max().reindex(ids).to_numpy(dtype=float)
         observed[~(observed >= key[2])] = np.nan
-        values, press = block_smooth(matrix, observed, key[1], regularize)
+        means = np.zeros(len(ids))
+        if by_neighbourhood and len(ids):
+            belongs = np.stack(own.drop_duplicates("id").set_index("id")["belongs"].reindex(ids).to_list()).astype(float)
+            means = belongs @ neighbourhood_means(matrix, observed, belongs, key[1], regularize)
+        values, press = block_smooth(matrix, observed - means, key[1], regularize)
+        values = values + means
         return pd.DataFrame({site: [key[0]] * len(ids), "strength": key[1], "threshold": key[2], "press": press, "id": ids, "smooth": values})
 
     types = dict(nodes.dtypes)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from massloom.functions import states
-from massloom.operators import elution, fits, regress, sites
+from massloom.operators import elution, fits, priors, regress, sites
 from massloom.plans.inputs import EVENTS_SQL, days, events, registrar
 from massloom.session import table
 
@@ -169,6 +169,33 @@ def averaged_site_models(spark, d):
     return sites.averaged_models(sites.smooth_sites(nodes, edges, "site", [0.1, 0.5, 1.0], [0.0, 5.0, 6.0]), "site")
 
 
+@query()
+def neighbourhood_sites(spark, d):
+    """Networks of sites smoothed towards the means of four neighbourhoods of compositions, two of which overlap."""
+    nodes, edges = _site_inputs(spark, d)
+    ids = nodes.select("id").distinct()
+    members = ids.select("id", (F.col("id") % 3).alias("neighbourhood"), F.lit(1.0).alias("weight")).unionByName(ids.filter("id % 2 = 0").select("id", F.lit(3).cast("long").alias("neighbourhood"), F.lit(0.5).alias("weight")))
+    nodes = priors.with_membership(nodes, priors.normalised_membership(members, "colrow"), [0, 1, 2, 3])
+    return sites.best_models(sites.smooth_sites(nodes, edges, "site", [0.1, 1.0], [0.0, 6.0]), "site")
+
+
+@query("""WITH m AS (SELECT l_partkey AS id, l_suppkey % 7 AS neighbourhood, sum(l_discount)::DOUBLE AS weight FROM lineitem GROUP BY ALL), c AS (SELECT id, neighbourhood, CASE WHEN sum(weight) OVER (PARTITION BY neighbourhood) = 0 THEN 0 ELSE weight / sum(weight) OVER (PARTITION BY neighbourhood) END AS weight FROM m)
+SELECT id, neighbourhood, round(weight / CASE WHEN sum(weight) OVER (PARTITION BY id) = 0 THEN 1e-6 ELSE sum(weight) OVER (PARTITION BY id) END, 8) AS weight FROM c""")
+def neighbourhood_membership(spark, d):
+    """How far compositions belong to neighbourhoods, neighbourhoods made even first, then compositions."""
+    members = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id"), (F.col("l_suppkey") % 7).alias("neighbourhood")).agg(F.sum("l_discount").cast("double").alias("weight"))
+    return priors.normalised_membership(members, "colrow").withColumn("weight", F.round("weight", 8))
+
+
+@query("""WITH RECURSIVE r AS (SELECT l_suppkey AS site, l_partkey AS id, sum(l_quantity)::DOUBLE AS observed FROM lineitem GROUP BY ALL), p AS (SELECT site, observed AS o, count(*) * observed * 0.01::DOUBLE AS oa FROM r WHERE observed > 0 GROUP BY ALL),
+x AS (SELECT site, 0 AS n, max(o) + arg_max(oa, o) AS x FROM p GROUP BY site UNION ALL SELECT site, n + 1, x + (h * h - h) / s FROM (SELECT site, n, x, sum(oa / (x - o)) AS h, sum(oa / pow(x - o, 2)) AS s FROM x JOIN p USING (site) WHERE n < 12 GROUP BY ALL) AS q)
+SELECT site, id, observed, round(0.01 / (1 + 0.01 * count(*) OVER (PARTITION BY site)) * x / (x - observed), 8) AS share FROM r JOIN x USING (site) WHERE n = 12""")
+def composition_shares(spark, d):
+    """Shares of compositions at each site, from what was observed and a small prior."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("id")).agg(F.sum("l_quantity").cast("double").alias("observed"))
+    return priors.composition_shares(rows, ["site"]).withColumn("share", F.round("share", 8))
+
+
 @query("""WITH m AS (SELECT l_suppkey AS s, l_linenumber AS c, avg(l_quantity) AS q FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL), dm AS (SELECT l_suppkey AS s, l_linenumber AS c, avg(l_discount) AS q FROM lineitem WHERE l_linenumber < 6 GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, l_partkey, round(coalesce(CASE WHEN l_orderkey % 2 = 0 THEN dm.q ELSE m.q END, 0), 6) AS prior FROM lineitem LEFT JOIN m ON m.s = l_suppkey AND m.c = l_linenumber LEFT JOIN dm ON dm.s = l_suppkey AND dm.c = l_linenumber""")
 def site_priors(spark, d):
