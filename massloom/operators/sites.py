@@ -100,7 +100,9 @@ def smooth_sites(nodes: DataFrame, edges: DataFrame, site: str, strengths: list[
 
     types = dict(nodes.dtypes)
     schema = f"`{site}` {types[site]}, strength double, threshold double, press double, id {types['id']}, smooth double"
-    return spread(nodes).groupBy(*keys).cogroup(spread(edges).groupBy(*keys)).applyInPandas(run, schema)
+    links = spread(edges)
+    links = links.select(*(F.col(c).alias(c) for c in links.columns))  # columns of their own, as both may come from one table
+    return spread(nodes).groupBy(*keys).cogroup(links.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def best_models(smoothed: DataFrame, site: str) -> DataFrame:

@@ -187,9 +187,9 @@ def neighbourhood_membership(spark, d):
     return priors.normalised_membership(members, "colrow").withColumn("weight", F.round("weight", 8))
 
 
-@query("""WITH RECURSIVE r AS (SELECT l_suppkey AS site, l_partkey AS id, sum(l_quantity)::DOUBLE AS observed FROM lineitem GROUP BY ALL), p AS (SELECT site, observed AS o, count(*) * observed * 0.01::DOUBLE AS oa FROM r WHERE observed > 0 GROUP BY ALL),
-x AS (SELECT site, 0 AS n, max(o) + arg_max(oa, o) AS x FROM p GROUP BY site UNION ALL SELECT site, n + 1, x + (h * h - h) / s FROM (SELECT site, n, x, sum(oa / (x - o)) AS h, sum(oa / pow(x - o, 2)) AS s FROM x JOIN p USING (site) WHERE n < 12 GROUP BY ALL) AS q)
-SELECT site, id, observed, round(0.01 / (1 + 0.01 * count(*) OVER (PARTITION BY site)) * x / (x - observed), 8) AS share FROM r JOIN x USING (site) WHERE n = 12""")
+@query("""WITH RECURSIVE r AS (SELECT l_suppkey AS site, l_partkey AS id, sum(l_quantity)::DOUBLE AS observed FROM lineitem GROUP BY ALL), p AS (SELECT site, observed AS o, count(*) * observed * 0.01::DOUBLE AS oa FROM r WHERE observed > 0 GROUP BY site, observed),
+roots AS (SELECT site, 0 AS n, max(o) + arg_max(oa, o) AS x FROM p GROUP BY site UNION ALL SELECT site, n + 1, x + (h * h - h) / s FROM (SELECT site, n, x, sum(oa / (x - o)) AS h, sum(oa / ((x - o) * (x - o))) AS s FROM roots JOIN p USING (site) WHERE n < 12 GROUP BY ALL) AS q)
+SELECT site, id, observed, round(0.01 / (1 + 0.01 * count(*) OVER (PARTITION BY site)) * x / (x - observed), 8) AS share FROM r JOIN roots USING (site) WHERE n = 12""")
 def composition_shares(spark, d):
     """Shares of compositions at each site, from what was observed and a small prior."""
     rows = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("id")).agg(F.sum("l_quantity").cast("double").alias("observed"))
