@@ -47,7 +47,7 @@ def drop_exact_copies(docs: DataFrame, content_hash: Callable[[Column], Column]
     Groups are as in ``exact_groups``: by the content hash together with the normalised text, so bytes
     are compared inside a hash's group, and rows that repeat a doc_id, or have none, stay where their
     texts differ. A null doc_id comes last. Each task leaves one row of a group before the shuffle, so
-    a large group does not meet in one task; a text that is its own normalised form travels once.
+    a large group does not meet in one task. A text that is its own normalised form is not kept beside it.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), normalised(F.col("text")).alias("norm"))
     same = F.col("row.text").eqNullSafe(F.col("norm"))
