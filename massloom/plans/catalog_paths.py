@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from massloom.functions import neighbourhoods
 from massloom.operators import peakpaths, peptidegraph
 from massloom.plans.inputs import registrar
 from massloom.session import table
@@ -125,3 +126,36 @@ def common_peptide_masses(spark, d):
     pairs = table(spark, d, "part").select(F.col("p_partkey").alias("scan"), (F.col("p_partkey") + 1).alias("other"))
     rows = peptidegraph.common_masses(pairs, _nodes(spark, d), 1e-2)
     return rows.select("scan", "other", F.round("peptide_mass", 4).alias("peptide_mass"), F.round("other_mass", 4).alias("other_mass"))
+
+
+def _counted(spark, d):
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity") % 13 + 1).cast("int").alias("Hex"), (F.col("l_partkey") % 9 + 1).cast("int").alias("HexNAc"), (F.col("l_suppkey") % 4).cast("int").alias("NeuAc"), (F.col("l_orderkey") % 3).cast("int").alias("NeuGc")
+    )
+
+
+def _neighbourhoods_sql(mammalian: bool) -> str:
+    branched = "SELECT name, i, 2 + i AS lo FROM (VALUES ('bi', 1), ('tri', 2), ('tetra', 3), ('penta', 4), ('hexa', 5), ('hepta', 6)) v(name, i)"
+    top, cut = ("2 * i + 6", "2 * i + 5 - s") if mammalian else ("lo + 3", "lo + 3")
+    return f"""WITH c AS (SELECT (l_quantity % 13 + 1)::INT AS h, (l_partkey % 9 + 1)::INT AS n, (l_suppkey % 4 + l_orderkey % 3)::INT AS s FROM lineitem), br AS ({branched}),
+m AS (SELECT 'high-mannose' AS neighbourhood, h, n, s FROM c WHERE h BETWEEN 3 AND 12 AND n = 2 AND s = 0 UNION ALL SELECT 'hybrid', h, n, s FROM c WHERE h BETWEEN 2 AND 6 AND n BETWEEN 2 AND 4 AND s <= 2
+  UNION ALL SELECT name || '-antennary', h, n, s FROM c JOIN br ON n BETWEEN lo AND lo + 2 AND s BETWEEN 1 AND lo AND h BETWEEN lo AND {cut}
+  UNION ALL SELECT 'asialo-' || name || '-antennary', h, n, s FROM c JOIN br ON n BETWEEN lo AND lo + 2 AND (s = 0 OR (s = 1 AND i = 1)) AND h BETWEEN lo AND {top})
+SELECT neighbourhood, h AS "Hex", n AS "HexNAc", s AS sialic, count(*) AS members FROM m GROUP BY ALL"""
+
+
+def _neighbourhoods(spark, d, mammalian):
+    rows = neighbourhoods.labelled(_counted(spark, d), F.col, neighbourhoods.n_glycan_rules(mammalian))
+    return rows.groupBy("neighbourhood", "Hex", "HexNAc", (F.col("NeuAc") + F.col("NeuGc")).alias("sialic")).agg(F.count("*").alias("members"))
+
+
+@query(_neighbourhoods_sql(False))
+def human_neighbourhoods(spark, d):
+    """Compositions in the neighbourhoods of human N-glycans."""
+    return _neighbourhoods(spark, d, False)
+
+
+@query(_neighbourhoods_sql(True))
+def mammalian_neighbourhoods(spark, d):
+    """Compositions in the neighbourhoods of mammalian N-glycans, which allow further hexoses."""
+    return _neighbourhoods(spark, d, True)

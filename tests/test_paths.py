@@ -158,3 +158,17 @@ def test_shared_masses_lose_no_pair(spark):
     want = {(c, s, -max(v)[1], max(v)[0], len(v), len(scans)) for c, scans in expected.items() if len(scans) > 1 for s, v in scans.items()}
     assert {tuple(r) for r in found} == want and len(found) == len(want)
     assert len([r for r in found if r["shared"] == 900.0]) == 200
+
+
+def test_neighbourhoods_of_compositions(spark):
+    from massloom.functions import neighbourhoods
+
+    df = spark.createDataFrame([("biantennary", 5, 4, 2, 0), ("galactosylated", 8, 4, 0, 0), ("mannose", 9, 2, 0, 0), ("null", None, 4, 2, 0)], "name string, Hex int, HexNAc int, NeuAc int, NeuGc int")
+    names = lambda mammalian: {(r["name"], r["neighbourhood"]) for r in neighbourhoods.labelled(df, F.col, neighbourhoods.n_glycan_rules(mammalian)).collect()}
+    assert len(neighbourhoods.n_glycan_rules()) == len(neighbourhoods.n_glycan_rules(True)) == 14
+    human, wider = names(False), names(True)
+    assert {n for c, n in human if c == "biantennary"} == {"hybrid", "bi-antennary", "tri-antennary"}
+    assert {n for c, n in wider if c == "biantennary"} == {"hybrid", "bi-antennary", "tri-antennary"}
+    assert {n for c, n in human if c == "galactosylated"} == set()
+    assert {n for c, n in wider if c == "galactosylated"} == {"asialo-bi-antennary", "asialo-tri-antennary"}
+    assert {n for c, n in human if c == "mannose"} == {"high-mannose"} and not any(c == "null" for c, _ in human | wider)
