@@ -159,3 +159,13 @@ def human_neighbourhoods(spark, d):
 def mammalian_neighbourhoods(spark, d):
     """Compositions in the neighbourhoods of mammalian N-glycans, which allow further hexoses."""
     return _neighbourhoods(spark, d, True)
+
+
+@query()
+def decoy_fragments(spark, d):
+    """Fragments beside their decoys, whose shifts follow from the mass of the glycan."""
+    from massloom.operators import decoys
+
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("structure"), F.col("l_linenumber").alias("position"), (F.col("l_extendedprice") / 10).alias("fragment_mass"), (F.col("l_partkey") % 6).alias("size"))
+    glycans = table(spark, d, "orders").select(F.col("o_orderkey").alias("structure"), (600 + F.col("o_totalprice") / 100).alias("glycan_mass"))
+    return decoys.shifted_fragments(lines.join(glycans, "structure"))

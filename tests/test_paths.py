@@ -172,3 +172,24 @@ def test_neighbourhoods_of_compositions(spark):
     assert {n for c, n in human if c == "galactosylated"} == set()
     assert {n for c, n in wider if c == "galactosylated"} == {"asialo-bi-antennary", "asialo-tri-antennary"}
     assert {n for c, n in human if c == "mannose"} == {"high-mannose"} and not any(c == "null" for c, _ in human | wider)
+
+
+def test_decoy_fragments_take_the_generators_shifts(spark):
+    import numpy as np
+
+    from massloom.operators import decoys
+
+    glycans = {"a": 1216.42, "b": 1216.5, "c": None, "d": -3.0, "e": 1216.4}
+    rows = [(s, m, p, 100.0 + 7 * p, size, "x") for s, m in glycans.items() for p, size in enumerate((0, 1, 2, 3, None, 1, 2))] + [("a", 1216.42, 3, 90.0, 2, "y"), ("b", 1216.5, 2, 114.0, 2, "x")]
+    schema = "structure string, glycan_mass double, position int, fragment_mass double, size int, seed string"
+    df = spark.createDataFrame(rows, schema)
+    found = decoys.shifted_fragments(df)
+    assert found.columns == [*df.columns, "decoy_mass"]
+    expected = []
+    for s, mass in glycans.items():
+        draws = iter(np.random.RandomState(round(mass)).uniform(1.0, 30.0, 20)) if mass and mass > 0 else None
+        for r in sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[3], r[4] or 0)):
+            expected.append((*r, r[3] + next(draws) if draws and (r[4] or 0) > 1 else r[3]))
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(expected, key=key)
+    assert decoys.shifted_fragments(df.limit(0)).isEmpty()
