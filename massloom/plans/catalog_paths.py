@@ -66,7 +66,7 @@ un AS (SELECT DISTINCT scan, labels, piece, i, peaks[i] AS peak, masses[i] AS ma
 pl AS (SELECT scan, labels, piece, i, sum(intensity) AS intensity, sum(mass * intensity) / sum(intensity) AS mass FROM un GROUP BY ALL),
 wh AS (SELECT scan, labels, piece, sum(intensity) AS signal, arg_min(mass, i) AS a, arg_max(mass, i) AS b FROM pl GROUP BY ALL)
 SELECT scan, array_to_string(labels, '') AS labels, piece, members, wh.signal, round(a, 6) AS start_mass, round(b, 6) AS end_mass FROM wh JOIN (SELECT scan, labels, piece, count(*) AS members FROM gp GROUP BY ALL) USING (scan, labels, piece)""")
-def grouped_paths(spark, d):
+def merged_paths(spark, d):
     """Paths of the same blocks that begin near each other, as one."""
     rows = peakpaths.grouped_paths(_paths(spark, d), 0.05)
     return rows.select("scan", F.array_join("labels", "").alias("labels"), "piece", "members", "signal", F.round("start_mass", 6).alias("start_mass"), F.round("end_mass", 6).alias("end_mass"))

@@ -193,3 +193,10 @@ def test_decoy_fragments_take_the_generators_shifts(spark):
     key = lambda r: tuple(str(v) for v in r)
     assert sorted(map(tuple, found.collect()), key=key) == sorted(expected, key=key)
     assert decoys.shifted_fragments(df.limit(0)).isEmpty()
+
+
+def test_no_query_is_registered_twice():
+    from massloom.plans import catalog
+
+    modules = [getattr(catalog, name) for name in dir(catalog) if name.startswith("catalog_")]
+    assert sum(len(m.CATALOG) for m in modules) == len(catalog.CATALOG)
