@@ -11,6 +11,7 @@ SEVEN, EIGHT = (7, "Brand#1"), (8, "Brand#1")
 #: Of each query what it must return: a row of values, or () where the pair alone counts.
 EXPECTED = {
     "coverage_scorer": {SEVEN: (round((0.05 * 0.5 + 0.5) * 0.8 + 0.2 / 3, 6), 0.05), EIGHT: (round((math.log(2) / math.log(3) / 20 * 0.5 + 0.5) * 0.8, 6), round(math.log(2) / math.log(3) / 20, 6))},
+    "peptide_coverage_scorer": {SEVEN: (0.05,), EIGHT: ()},
 }
 
 
