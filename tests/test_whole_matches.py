@@ -15,6 +15,7 @@ EXPECTED = {
     "signature_coverage_scorer": {SEVEN: (round((0.05 * 0.5 + 0.5) * 0.8 + 0.2 / 3 - 120, 4),), EIGHT: ()},
     "signature_penalties": {SEVEN: (-120.0,), EIGHT: (-120.0,)},
     "glycan_scorers": {SEVEN: (round(math.log10(940) * math.sqrt(1 / 5), 4), round(math.log10(940) * math.sqrt(1 / 5) - 120, 4))},
+    "coverage_weighted_binomial": {SEVEN: (), EIGHT: ()},
 }
 
 
