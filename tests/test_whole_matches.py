@@ -17,6 +17,7 @@ EXPECTED = {
     "glycan_scorers": {SEVEN: (round(math.log10(940) * math.sqrt(1 / 5), 4), round(math.log10(940) * math.sqrt(1 / 5) - 120, 4))},
     "coverage_weighted_binomial": {SEVEN: (), EIGHT: ()},
     "signature_consistent_candidates": {SEVEN: (), EIGHT: ()},
+    "fragment_vectors": {SEVEN: (round(41920 / math.sqrt(2540000 * 1036), 6),), EIGHT: (round(30 / math.sqrt(1036), 6),)},
 }
 
 
