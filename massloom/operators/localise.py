@@ -28,7 +28,7 @@ def depth_scores(matches: DataFrame, theoretical: DataFrame, width: float = 100.
     sums = matches.groupBy(*PAIR).agg(*(F.sum((F.col("depth") <= i).cast("int")).alias(f"k{i}") for i in range(1, 11))).join(theoretical, "structure")
     rows = F.array(*(F.struct(F.lit(i).alias("depth"), F.least(F.col(f"k{i}"), F.col("n")).cast("int").alias("k")) for i in range(1, 11)))
     counts = sums.select(*PAIR, F.col("n").cast("int").alias("n"), F.explode(rows).alias("d")).select(*PAIR, "n", "d.depth", "d.k")
-    chance = score.binomial_tail(F.col("n"), F.col("k"), F.col("depth") / width, inclusive=True)
+    chance = score.upper_tail(F.col("n"), F.col("k"), F.col("depth") / width)
     return counts.select(*PAIR, "depth", F.when(F.col("k") == 0, F.lit(0.0)).otherwise(-10 * F.log10(F.greatest(chance, F.lit(1e-300)))).alias("score"))
 
 

@@ -18,6 +18,7 @@ EXPECTED = {
     "coverage_weighted_binomial": {SEVEN: (), EIGHT: ()},
     "signature_consistent_candidates": {SEVEN: (), EIGHT: ()},
     "fragment_vectors": {SEVEN: (round(41920 / math.sqrt(2540000 * 1036), 6),), EIGHT: (round(30 / math.sqrt(1036), 6),)},
+    "localisation_scores": {SEVEN: (), EIGHT: ()},
 }
 
 
@@ -42,3 +43,18 @@ def test_scans_without_a_fitting_precursor_are_scored(spark, tables, name):
     assert set(found) == set(EXPECTED[name])
     for pair, values in EXPECTED[name].items():
         assert not values or found[pair] == pytest.approx(values, abs=1e-6)
+
+
+def test_binomial_tails_of_many_fragments_take_few_terms_and_lose_none(spark):
+    from pyspark.sql import functions as F
+
+    from massloom.functions import score
+
+    cases = [(n, k, p) for n in (1, 2, 38, 800, 3000) for k in (0, 1, 2, 7, 60, 79, 80, 81, 200, 800) if k <= n for p in (0.0006, 0.01, 0.1, 0.5)]
+    rows = spark.createDataFrame(cases, "n int, k int, p double").select("n", "k", "p", score.upper_tail(F.col("n"), F.col("k"), F.col("p")).alias("tail")).collect()
+    logs = [0.0]
+    for i in range(1, 3001):
+        logs.append(logs[-1] + math.log(i))
+    for n, k, p, tail in rows:
+        terms = [math.exp(logs[n] - logs[i] - logs[n - i] + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1)]
+        assert tail == pytest.approx(math.fsum(terms), rel=1e-9, abs=1e-300)
