@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from massloom.functions import score
 from massloom.operators import select
+from massloom.operators.spectrum import times
 
 # Weights of the peak depths 1 to 10.
 DEPTH_WEIGHTS = (0.5, 0.75, 1.0, 1.0, 1.0, 1.0, 0.75, 0.5, 0.25, 0.25)
@@ -22,14 +23,18 @@ def window_ranks(peaks: DataFrame, width: float = 100.0, ties: list[str] | None
 def depth_scores(matches: DataFrame, theoretical: DataFrame, width: float = 100.0) -> DataFrame:
     """(scan, structure, depth, score) for depths 1 to 10: -10 log10 of the chance of as many matches among peaks of at most this depth.
 
-    ``matches`` holds scan, structure, fragment and the peak's depth, ``theoretical`` the number of
-    fragments of each structure as n.
+    ``matches`` holds scan, structure and the peak's depth, with copies where fragments are folded,
+    ``theoretical`` the number of fragments of each structure as n.
     """
-    sums = matches.groupBy(*PAIR).agg(*(F.sum((F.col("depth") <= i).cast("int")).alias(f"k{i}") for i in range(1, 11))).join(theoretical, "structure")
+    n = times(matches).cast("long")
+    sums = matches.groupBy(*PAIR).agg(*(F.sum(F.when(F.col("depth") <= i, n).otherwise(0)).alias(f"k{i}") for i in range(1, 11))).join(theoretical, "structure")
     rows = F.array(*(F.struct(F.lit(i).alias("depth"), F.least(F.col(f"k{i}"), F.col("n")).cast("int").alias("k")) for i in range(1, 11)))
     counts = sums.select(*PAIR, F.col("n").cast("int").alias("n"), F.explode(rows).alias("d")).select(*PAIR, "n", "d.depth", "d.k")
     chance = score.upper_tail(F.col("n"), F.col("k"), F.col("depth") / width)
-    return counts.select(*PAIR, "depth", F.when(F.col("k") == 0, F.lit(0.0)).otherwise(-10 * F.log10(F.greatest(chance, F.lit(1e-300)))).alias("score"))
+    own = F.when(F.col("k") == 0, F.lit(0.0)).otherwise(-10 * F.log10(F.greatest(chance, F.lit(1e-300))))
+    keys = ["n", "depth", "k"]  # many pairs have equal counts, so each chance is summed once
+    chances = counts.select(*keys).distinct().select(*keys, own.alias("score"))
+    return counts.join(chances, keys).select(*PAIR, "depth", "score")
 
 
 def weighted_scores(scores: DataFrame) -> DataFrame:
