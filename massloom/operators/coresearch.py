@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.operators import rangejoin, select
+from massloom.session import Scratch
 
 # Exponents of the matched shares of all fragments and of the core.
 FRAGMENT_WEIGHT, CORE_WEIGHT = 0.56, 0.42
@@ -22,13 +23,19 @@ def ladder_index(glycans: DataFrame, shifts: DataFrame) -> DataFrame:
     ``glycans`` holds (glycan, glycan_mass), ``shifts`` (glycan, key, shift, is_core).
     """
     sizes = shifts.groupBy("glycan").agg(F.count("*").alias("n_theoretical"), F.sum(F.col("is_core").cast("int")).alias("core_theoretical"))
-    rows = shifts.join(glycans, "glycan").join(sizes, "glycan")
+    # Shifts are exploded, so their size is not that of the files they come from; no side goes to the driver.
+    rows = shifts.hint("merge").join(glycans, "glycan").join(sizes.hint("merge"), "glycan")
     return rows.withColumn("loss", F.col("glycan_mass") - F.col("shift"))
 
 
 def ladder_matches(precursors: DataFrame, peaks: DataFrame, index: DataFrame, tolerance: float, width: float) -> DataFrame:
-    """Peaks (scan, mass, intensity) that a composition explains, with target and the columns of ``index``; ``width`` is that of the bins."""
-    rows = peaks.join(precursors.select("scan", "precursor_mass"), "scan").withColumn("below", F.col("precursor_mass") - F.col("mass"))
+    """Peaks (scan, mass, intensity) that a composition explains, with target and the columns of ``index``; ``width`` is that of the bins.
+
+    Compositions heavier than every precursor explain nothing, so they go before the join.
+    """
+    most = precursors.agg(F.max("precursor_mass").cast("double")).first()[0] or 0.0
+    index = Scratch(peaks.sparkSession, "ladders").keep(index.filter(F.col("loss") <= abs(most) * (1 + 2 * tolerance)), "index")
+    rows = peaks.join(precursors.select("scan", "precursor_mass").hint("merge"), "scan").withColumn("below", F.col("precursor_mass") - F.col("mass"))
     slack = F.col("mass") * (tolerance * 1.01)  # the tolerance is relative to the target, which lies within this
     found = rangejoin.window_join(rows, index, F.col("below") - slack, F.col("below") + slack, "loss", width)
     found = found.withColumn("target", F.col("precursor_mass") - F.col("loss"))
