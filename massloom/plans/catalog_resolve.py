@@ -145,7 +145,7 @@ def _scored(spark, d):
     from massloom.plans import catalog_rates as core
     from massloom.plans import predictive
 
-    return predictive.score_predicted(core._peaks(spark, d), _predicted(spark, d), _peptide_fragments(spark, d), core._shifts(spark, d), 1e-2)
+    return predictive.score_predicted(core._peaks(spark, d), _predicted(spark, d), _peptide_fragments(spark, d), 1e-2)
 
 
 def _predictive_sql() -> str:
