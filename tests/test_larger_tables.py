@@ -71,3 +71,28 @@ def test_matches_grow_with_distinct_fragments_only(spark):
 def test_exploded_queries_are_not_sent_whole_to_the_driver(spark, copied):
     plan = CATALOG["precursor_probing"][0](spark, copied[0])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def test_predicted_candidates_meet_fragments_in_one_row(spark):
+    from massloom.plans import predictive
+
+    frame = spark.createDataFrame
+    peaks = frame([(1, 100.0, 10.0), (1, 100.5, 100.0), (1, 300.0, 1000.0), (2, 100.0, 10.0)], "scan long, mass double, intensity double")
+    candidates = frame([(1, 5, 7, 900.0, 2.0), (1, 6, 7, 900.0, 3.0), (2, 5, 8, 950.0, 1.0)], "scan long, glycan long, peptide long, peptide_mass double, glycan_score double")
+    fragments = frame([(7, 1, 100.0, "b"), (7, 2, 300.0, "y"), (7, 3, 500.0, "b"), (8, 1, 400.0, "b"), (9, 1, 100.0, "b")], "peptide long, fragment int, fragment_mass double, series string")
+    found = {(r["scan"], r["glycan"], r["peptide"]): r["score"] for r in predictive.score_predicted(peaks, candidates, fragments, 1e-2).collect()}
+    own = (1 + 2 * (1 - 0.5**4) + 3) * 2 / 3
+    assert found == pytest.approx({(1, 5, 7): own + 2, (1, 6, 7): own + 3})
+
+
+def test_compositions_above_all_precursors_go_before_the_join(spark):
+    from massloom.operators import coresearch
+
+    glycans = spark.range(1, 2001).select(F.col("id").alias("glycan"), (F.col("id") * 100.0).alias("glycan_mass"))
+    shifts = glycans.select("glycan", F.lit(0).alias("key"), F.lit(0.0).alias("shift"), F.lit(True).alias("is_core"))
+    precursors = spark.createDataFrame([(1, 1000.0)], "scan long, precursor_mass double")
+    peaks = spark.createDataFrame([(1, 700.0, 1.0), (1, 950.0, 1.0)], "scan long, mass double, intensity double")
+    found = coresearch.ladder_matches(precursors, peaks, coresearch.ladder_index(glycans, shifts), 1e-4, 10.0)
+    assert [r["glycan"] for r in found.collect()] == [3]
+    read = [f for f in found.inputFiles() if "index" in f]
+    assert spark.read.parquet(*read).count() == 10
