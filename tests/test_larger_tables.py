@@ -4,10 +4,11 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from massloom.operators import fdr, spectrum
+from massloom.operators import fdr, sites, spectrum
 from massloom.plans.catalog import CATALOG
 
 DATA = "/root/testdata/sf0.001"
@@ -96,3 +97,29 @@ def test_compositions_above_all_precursors_go_before_the_join(spark):
     assert [r["glycan"] for r in found.collect()] == [3]
     read = [f for f in found.inputFiles() if "index" in f]
     assert spark.read.parquet(*read).count() == 10
+
+
+def test_sites_of_many_compositions_are_solved_in_parts(spark):
+    draw = np.random.default_rng(8)
+    n = 70
+    links = [(i, i + 1) for i in range(n - 1) if i not in (3, 8, 15, 16)] + [(20, 40), (21, 45), (50, 69)]
+    a, b = (np.array(side) for side in zip(*links, strict=True))
+    w = draw.random(len(a)) + 0.1
+    observed = np.where(draw.random(n) < 0.6, draw.gamma(3.0, 3.0, n), np.nan)
+    observed[4:9] = np.nan
+    belongs = draw.random((n, 3)) * (draw.random((n, 3)) < 0.5)
+    laplacian = np.zeros((n, n))
+    for i, j, v in zip(a, b, w, strict=True):
+        laplacian[[i, j], [i, j]] += v
+        laplacian[[i, j], [j, i]] -= v
+    values, press = sites.network_smooth(a, b, w, observed, 0.7, 1.0)
+    plain, plain_press = sites.block_smooth(laplacian, observed, 0.7, 1.0)
+    assert values == pytest.approx(plain) and press == pytest.approx(plain_press)
+    means = belongs @ sites.neighbourhood_means(laplacian, observed, belongs, 0.7, 1.0)
+    values, press = sites.network_smooth(a, b, w, observed, 0.7, 1.0, belongs)
+    plain, plain_press = sites.block_smooth(laplacian, observed - means, 0.7, 1.0)
+    assert values == pytest.approx(plain + means) and press == pytest.approx(plain_press)
+
+    many = spark.range(6000).select(F.lit(1).alias("site"), "id", F.when(F.col("id") % 3 > 0, F.col("id") % 10 * 1.0).alias("observed"))
+    edges = many.select("site", F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1.0).alias("weight"))
+    assert sites.smooth_sites(many, edges, "site", [1.0], [0.0]).count() == 6000  # more than 4000
