@@ -64,19 +64,19 @@ def _spectrum(scan_id: str, index: int, level: int, time: float, mz: float | Non
     return f'<spectrum id="{name}" index="{index}">{term(MS_LEVEL, level)}<scan>{term(SCAN_TIME, time)}</scan>{precursor}<binaryDataArrayList>{array(MZ_ARRAY, mzs)}{array(INTENSITY_ARRAY, intensities)}</binaryDataArrayList></spectrum>'
 
 
-def write_mzml(spectra: DataFrame, path: str) -> None:
-    """Spectra (the columns of ``sources.spectra.SPECTRA``) as mzML, one whole document for each task, written spectrum by spectrum."""
+def write_mzml(spectra: DataFrame, path: str, compression: str | None = None, together: int = 500) -> None:
+    """Spectra (the columns of ``sources.spectra.SPECTRA``) as mzML, one whole document for each task, written ``together`` spectra at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         line = lambda values: pa.RecordBatch.from_arrays([pa.array(values, pa.string())], ["value"])
         yield line(["<mzML><run><spectrumList>"])
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield line([_spectrum(*row)])
+            for start in range(0, batch.num_rows, together):
+                yield line([_spectrum(*row) for row in zip(*(c.to_pylist() for c in batch.slice(start, together).columns), strict=True)])
         yield line(["</spectrumList></run></mzML>"])
 
     names = ["scan_id", "index", "ms_level", "scan_time", "precursor_mz", "precursor_charge", "mz", "intensity"]
-    spectra.select(*names).mapInArrow(run, "value string").write.text(path)
+    spectra.select(*names).mapInArrow(run, "value string").write.text(path, compression=compression)
 
 
 def save_model(parameters: DataFrame, path: str) -> None:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import base64
 import io
+import re
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ SPECTRA = "scan_id string, index long, ms_level int, scan_time double, precursor
 
 
 def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
+    return tag.rsplit("}", 1)[-1] if "}" in tag else tag
 
 
 def _terms(element: ElementTree.Element) -> dict[str, str]:
@@ -36,36 +37,59 @@ def _array(element: ElementTree.Element) -> tuple[str | None, list[float]]:
     return kind, np.frombuffer(data, "<f8" if FLOAT_64 in terms else "<f4").astype(float).tolist()
 
 
+def _row(element: ElementTree.Element) -> tuple:
+    terms = _terms(element)
+    arrays = dict(_array(e) for e in element.iter() if _local(e.tag) == "binaryDataArray")
+    number = lambda key: float(terms[key]) if terms.get(key) else None
+    charge = number(CHARGE)
+    return element.get("id"), int(element.get("index", 0)), int(number(MS_LEVEL) or 1), number(SCAN_TIME), number(SELECTED_MZ), None if charge is None else int(charge), arrays.get(MZ_ARRAY, []), arrays.get(INTENSITY_ARRAY, [])
+
+
 def parse_spectra(content: bytes) -> Iterator[tuple]:
     """Spectra of an mzML document, one at a time; what has been read is let go."""
     for _, element in ElementTree.iterparse(io.BytesIO(content), events=("end",)):
         if _local(element.tag) != "spectrum":
             continue
-        terms = _terms(element)
-        arrays = dict(_array(e) for e in element.iter() if _local(e.tag) == "binaryDataArray")
-        number = lambda key: float(terms[key]) if terms.get(key) else None  # noqa: E731, B023
-        charge = number(CHARGE)
-        yield element.get("id"), int(element.get("index", 0)), int(number(MS_LEVEL) or 1), number(SCAN_TIME), number(SELECTED_MZ), None if charge is None else int(charge), arrays.get(MZ_ARRAY, []), arrays.get(INTENSITY_ARRAY, [])
+        yield _row(element)
         element.clear()
 
 
+_END = "</spectrum>"
+_START = re.compile(r"""<spectrum(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>""")
+
+
+def parse_part(text: str) -> Iterator[tuple]:
+    """Spectra of what a document holds between the ends of two spectra: empty ones, then one without its end. A document with prefixed tags has no such end and comes whole."""
+    for start in _START.finditer(text):
+        if not start.group().endswith("/>"):
+            yield _row(ElementTree.fromstring(text[start.start() :] + _END))
+            return
+        yield _row(ElementTree.fromstring(start.group()))
+    if ":spectrum>" in text:
+        yield from parse_spectra(text.encode())
+
+
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
-    """Spectra of the mzML files below ``path``, one row each; a file is the unit of work."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in SPECTRA.split(", ")]
-        for frame in frames:
-            for content in frame["content"]:
-                rows = []
-                for row in parse_spectra(content):
+    """Spectra of the mzML files (UTF-8) below ``path``, one row each; files are read spectrum by spectrum, and large ones split where they are not compressed."""
+
+    names = [part.split()[0] for part in SPECTRA.split(", ")]
+    doubles = pa.list_(pa.float64())
+    types = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), doubles, doubles]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(0):
+                for row in parse_part(text.as_py()):
                     rows.append(row)
                     if len(rows) == 500:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield made(rows)
                         rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+            if rows:
+                yield made(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, SPECTRA)
+    return spark.read.option("lineSep", _END).text(path).mapInArrow(run, SPECTRA)
 
 
 def read_mgf(spark: SparkSession, path: str) -> DataFrame:

@@ -123,3 +123,14 @@ def test_sites_of_many_compositions_are_solved_in_parts(spark):
     many = spark.range(6000).select(F.lit(1).alias("site"), "id", F.when(F.col("id") % 3 > 0, F.col("id") % 10 * 1.0).alias("observed"))
     edges = many.select("site", F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1.0).alias("weight"))
     assert sites.smooth_sites(many, edges, "site", [1.0], [0.0]).count() == 6000  # more than 4000
+
+
+def test_mzml_is_read_spectrum_by_spectrum(spark, tmp_path):
+    from massloom.sources import spectra
+
+    level = '<cvParam accession="MS:1000511" value="2"/>'
+    (tmp_path / "a.mzML").write_text(f'<mzML><run><spectrumList><spectrum id="a>/b" index="0">{level}</spectrum>\n<spectrum id="none"/><spectrum\n id=\'s&lt;&amp;\' index="2">{level}</spectrum><spectrum id="last" index="3"/></spectrumList></run></mzML>')
+    (tmp_path / "b.mzML").write_text(f'<x:mzML xmlns:x="y"><x:spectrum id="p" index="4">{level}</x:spectrum><x:spectrum id="q" index="5">{level}</x:spectrum></x:mzML>')
+    found = spectra.read_mzml(spark, str(tmp_path))
+    assert "binaryFile" not in found._jdf.queryExecution().toString()  # a document is not held whole
+    assert sorted((r["index"], r["scan_id"], r["ms_level"]) for r in found.collect()) == [(0, "a>/b", 2), (0, "none", 1), (2, "s<&", 2), (3, "last", 1), (4, "p", 2), (5, "q", 2)]
